@@ -250,3 +250,311 @@ def q_title_prefix(spark, sf_dir):
     v = V.videos(spark, sf_dir).select("video_id", "title")
     return c.join(v, "video_id", "left").select(
         "comment_id", with_title_prefix(clean_text("text"), F.col("title")).alias("text_proc"))
+
+
+# ----------------------------------------------------------------------------
+# Labels, metrics, hybrid merge, publication, windows
+
+from tenor.functions.numeric import THRESHOLD_GRID, argmax, class_to_sentiment, sigmoid, softmax  # noqa: E402
+from tenor.operators import hybrid as hy  # noqa: E402
+from tenor.operators import labels as lb  # noqa: E402
+from tenor.operators import metrics as mt  # noqa: E402
+from tenor.operators import model as md  # noqa: E402
+from tenor.operators import publish as pb  # noqa: E402
+from tenor.schemas import LABELS, PREDICTION_COLS  # noqa: E402
+
+PROB_COLS = [f"{c}_ft_prob" for c in LABELS] + ["sent_neg_prob", "sent_neu_prob", "sent_pos_prob"]
+
+
+def _round_preds(df):
+    return df.withColumns({c: round6(c) for c in PROB_COLS if c in df.columns})
+
+
+def _pred_select_sql(prefix: str = "") -> str:
+    return ", ".join(f"round({prefix}{c}, 6) AS {c}" if c in PROB_COLS else f"{prefix}{c}" for c in PREDICTION_COLS)
+
+
+@register("sent_codes", V.with_views("gold")
+          + " SELECT comment_id, sentiment, CAST(sentiment + 1 AS INTEGER) AS sent_class,"
+          + " CAST(sentiment + 1 - 1 AS INTEGER) AS sentiment_back FROM gold")
+def q_sent_codes(spark, sf_dir):
+    df = lb.build_labels(V.gold(spark, sf_dir))
+    return df.select("comment_id", "sentiment", "sent_class", class_to_sentiment("sent_class").alias("sentiment_back"))
+
+
+@register("sigmoid", V.with_views("gold_base") + " SELECT comment_id, "
+          + ", ".join(f"round(1.0 / (1.0 + exp(-{c}_logit)), 6) AS {c}_sig" for c in LABELS) + " FROM gold_base")
+def q_sigmoid(spark, sf_dir):
+    df = V.model_outputs(V.gold(spark, sf_dir), V.BASE_MULT)
+    return df.select("comment_id", *[round6(sigmoid(f"{c}_logit")).alias(f"{c}_sig") for c in LABELS])
+
+
+@register("softmax_argmax", V.with_views("pred_base")
+          + " SELECT comment_id, round(sent_neg_prob, 6) AS sent_neg_prob, round(sent_neu_prob, 6) AS sent_neu_prob,"
+          + " round(sent_pos_prob, 6) AS sent_pos_prob, CAST(sent_pred + 1 AS INTEGER) AS sent_class, sent_pred"
+          + " FROM pred_base")
+def q_softmax_argmax(spark, sf_dir):
+    df = V.model_outputs(V.gold(spark, sf_dir), V.BASE_MULT)
+    probs = softmax(["s0", "s1", "s2"])
+    df = df.select("comment_id", *[p.alias(n) for p, n in zip(probs, ["sent_neg_prob", "sent_neu_prob", "sent_pos_prob"])])
+    df = df.withColumn("sent_class", argmax(["sent_neg_prob", "sent_neu_prob", "sent_pos_prob"]))
+    return df.select("comment_id", *r6(["sent_neg_prob", "sent_neu_prob", "sent_pos_prob"]), "sent_class",
+                     class_to_sentiment("sent_class").alias("sent_pred"))
+
+
+@register("apply_thresholds", V.with_views("pred_irony")
+          + " SELECT comment_id, " + ", ".join(f"{c}_ft_pred" for c in LABELS) + " FROM pred_irony")
+def q_apply_thresholds(spark, sf_dir):
+    return V.predictions(spark, sf_dir, "irony").select("comment_id", *[f"{c}_ft_pred" for c in LABELS])
+
+
+@register("wide_predictions", V.with_views("pred_base")
+          + f" SELECT comment_id, video_title, sentiment, {', '.join(LABELS)}, {_pred_select_sql()} FROM pred_base")
+def q_wide_predictions(spark, sf_dir):
+    df = _round_preds(V.predictions(spark, sf_dir, "base"))
+    return df.select("comment_id", "video_title", "sentiment", *LABELS, *PREDICTION_COLS)
+
+
+@register("strata", V.with_views("strata") + " SELECT comment_id, any_pos, sent_class, stratum FROM strata")
+def q_strata(spark, sf_dir):
+    return lb.build_labels(V.gold(spark, sf_dir)).select("comment_id", "any_pos", "sent_class", "stratum")
+
+
+FILL_SQL = V.with_views("comments", "videos") + """ SELECT c.comment_id, COALESCE(c.text, '') AS text,
+    COALESCE(v.title, '') AS video_title, COALESCE(CAST(l.toxic AS INTEGER), 0) AS Spam_flag,
+    COALESCE(CAST(l.quality AS INTEGER), 0) AS irony,
+    COALESCE(CASE WHEN l.doc_id IS NULL THEN NULL ELSE CAST(c.doc_id % 3 - 1 AS INTEGER) END, 0) AS sentiment
+  FROM comments c LEFT JOIN labels l ON l.doc_id = c.doc_id LEFT JOIN videos v ON v.video_id = c.video_id"""
+
+
+@register("fill_defaults", FILL_SQL)
+def q_fill_defaults(spark, sf_dir):
+    c = V.comments(spark, sf_dir)
+    lab = V.table(spark, sf_dir, "labels")
+    v = V.videos(spark, sf_dir).select("video_id", F.col("title").alias("video_title"))
+    df = (c.join(lab, "doc_id", "left").join(v, "video_id", "left")
+           .select("comment_id", "text", "video_title",
+                   F.col("toxic").cast("int").alias("Spam_flag"), F.col("quality").cast("int").alias("irony"),
+                   F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(),
+                          (F.col("doc_id") % 3 - 1).cast("int")).alias("sentiment")))
+    return tx.fill_defaults(df, labels=["Spam_flag", "irony"])
+
+
+def _freq_sql(src: str, col_name: str = "freq", cast: str = "DOUBLE") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {i} AS label_no, {sg.q(c)} AS label, CAST(COALESCE(sum({c}), 0) AS {cast}) AS {col_name} FROM {src}"
+        for i, c in enumerate(LABELS))
+
+
+@register("class_freq", V.with_views("gold") + " " + _freq_sql("gold"))
+def q_class_freq(spark, sf_dir):
+    return lb.class_frequency(lb.build_labels(V.gold(spark, sf_dir)))
+
+
+@register("stratified_split", V.with_views("split") + " SELECT comment_id, stratum, split FROM split")
+def q_stratified_split(spark, sf_dir):
+    return V.split_table(spark, sf_dir).select("comment_id", "stratum", "split")
+
+
+@register("test_subset", V.with_views("hybrid_test")
+          + " SELECT comment_id, irony_ft_pred, sent_pred FROM hybrid_test")
+def q_test_subset(spark, sf_dir):
+    return V.hybrid_test(spark, sf_dir).select("comment_id", "irony_ft_pred", "sent_pred")
+
+
+@register("label_support", V.with_views("hybrid_test") + " " + _freq_sql("hybrid_test", "support", "BIGINT"))
+def q_label_support(spark, sf_dir):
+    return lb.class_frequency(V.hybrid_test(spark, sf_dir)).select(
+        "label_no", "label", F.col("freq").cast("bigint").alias("support"))
+
+
+def _report_sql(src: str) -> str:
+    long = " UNION ALL ".join(
+        f"SELECT comment_id, {i} AS label_no, {sg.q(c)} AS label, CAST({c} AS BIGINT) AS y,"
+        f" CAST({c}_ft_pred AS BIGINT) AS p FROM {src}" for i, c in enumerate(LABELS))
+    def ratio(n, d):
+        return f"CASE WHEN {d} > 0 THEN CAST({n} AS DOUBLE) / ({d}) ELSE 0.0 END"
+    k = len(LABELS)
+    return f""", long AS ({long}),
+per AS (SELECT label_no, label, sum(y * p) AS tp, sum((1 - y) * p) AS fp, sum(y * (1 - p)) AS fn, sum(y) AS s
+        FROM long GROUP BY label_no, label),
+lab AS (SELECT label_no, label, {ratio('tp', 'tp + fp')} AS pr, {ratio('tp', 'tp + fn')} AS rc,
+               {ratio('2 * tp', '2 * tp + fp + fn')} AS f1, s FROM per),
+tot AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(s) AS s FROM per),
+smp AS (SELECT comment_id, sum(y * p) AS i, sum(y) AS ny, sum(p) AS np FROM long GROUP BY comment_id),
+rows AS (
+  SELECT label_no AS row_no, label, pr, rc, f1, s FROM lab
+  UNION ALL SELECT {k}, 'micro avg', {ratio('tp', 'tp + fp')}, {ratio('tp', 'tp + fn')},
+                   {ratio('2 * tp', '2 * tp + fp + fn')}, s FROM tot
+  UNION ALL SELECT {k + 1}, 'macro avg', avg(pr), avg(rc), avg(f1), sum(s) FROM lab
+  UNION ALL SELECT {k + 2}, 'weighted avg', {ratio('sum(pr * s)', 'sum(s)')}, {ratio('sum(rc * s)', 'sum(s)')},
+                   {ratio('sum(f1 * s)', 'sum(s)')}, sum(s) FROM lab
+  UNION ALL SELECT {k + 3}, 'samples avg', avg({ratio('i', 'np')}), avg({ratio('i', 'ny')}),
+                   avg({ratio('2 * i', 'ny + np')}), sum(ny) FROM smp)
+SELECT CAST(row_no AS INTEGER) AS row_no, label, round(pr, 6) AS precision, round(rc, 6) AS recall,
+       round(f1, 6) AS f1, CAST(s AS BIGINT) AS support FROM rows"""
+
+
+REPORT_COLS = ["precision", "recall", "f1"]
+
+
+@register("multilabel_report", V.with_views("hybrid_test") + _report_sql("hybrid_test"))
+def q_multilabel_report(spark, sf_dir):
+    rep = mt.multilabel_report(V.hybrid_test(spark, sf_dir))
+    return rep.select("row_no", "label", *r6(REPORT_COLS), "support")
+
+
+def _macro_sql(src: str, where: str, suffix: str, n_name: str) -> str:
+    def ratio(n, d):
+        return f"CASE WHEN {d} > 0 THEN CAST({n} AS DOUBLE) / ({d}) ELSE 0.0 END"
+    return f""", rowsx AS (SELECT CAST(sentiment AS INTEGER) AS y, CAST(sent_pred AS INTEGER) AS p FROM {src} {where}),
+cls AS (SELECT y AS c FROM rowsx UNION SELECT p FROM rowsx),
+pc AS (SELECT c, count(*) FILTER (WHERE y = c AND p = c) AS tp, count(*) FILTER (WHERE y <> c AND p = c) AS fp,
+              count(*) FILTER (WHERE y = c AND p <> c) AS fn FROM cls, rowsx GROUP BY c)
+SELECT round(avg({ratio('tp', 'tp + fp')}), 6) AS sent_macro_precision{suffix},
+       round(avg({ratio('tp', 'tp + fn')}), 6) AS sent_macro_recall{suffix},
+       round(avg({ratio('2 * tp', '2 * tp + fp + fn')}), 6) AS sent_macro_f1{suffix},
+       CAST(COALESCE(sum(tp + fn), 0) AS BIGINT) AS {n_name} FROM pc"""
+
+
+SENT_F1 = ["sent_macro_precision", "sent_macro_recall", "sent_macro_f1"]
+
+
+@register("sentiment_f1", V.with_views("hybrid_test") + _macro_sql("hybrid_test", "", "", "n_rows"))
+def q_sentiment_f1(spark, sf_dir):
+    return mt.sentiment_f1(V.hybrid_test(spark, sf_dir)).select(*r6(SENT_F1), "n_rows")
+
+
+@register("sentiment_f1_irony", V.with_views("hybrid_test")
+          + _macro_sql("hybrid_test", "WHERE irony = 1", "_irony", "n_irony_rows"))
+def q_sentiment_f1_irony(spark, sf_dir):
+    cols = [f"{c}_irony" for c in SENT_F1]
+    return mt.sentiment_f1_irony(V.hybrid_test(spark, sf_dir)).select(*r6(cols), "n_irony_rows")
+
+
+GRID_SQL = ", ".join(f"(CAST({t!r} AS DOUBLE))" for t in THRESHOLD_GRID)
+TUNE_SQL = V.with_views("pred_base", "split") + """, val AS (
+  SELECT p.* FROM pred_base p WHERE p.comment_id IN (SELECT comment_id FROM split WHERE split = 'val')),
+long AS ({long}),
+grid AS (SELECT * FROM (VALUES {grid}) g(t)),
+f AS (SELECT label_no, label, t,
+             CASE WHEN sum(y) + sum(CASE WHEN prob >= t THEN 1 ELSE 0 END) > 0
+                  THEN 2.0 * sum(CASE WHEN prob >= t THEN y ELSE 0 END)
+                       / (sum(y) + sum(CASE WHEN prob >= t THEN 1 ELSE 0 END)) ELSE 0.0 END AS f1
+      FROM long, grid GROUP BY label_no, label, t),
+best AS (SELECT *, row_number() OVER (PARTITION BY label_no ORDER BY f1 DESC, t ASC) AS rn FROM f)
+SELECT CAST(label_no AS INTEGER) AS label_no, label, CASE WHEN f1 > 0 THEN t ELSE 0.5 END AS threshold,
+       round(f1, 6) AS best_f1 FROM best WHERE rn = 1""".format(
+    long=" UNION ALL ".join(f"SELECT {i} AS label_no, {sg.q(c)} AS label, {c} AS y, {c}_ft_prob AS prob FROM val"
+                            for i, c in enumerate(LABELS)),
+    grid=GRID_SQL)
+
+
+@register("tune_thresholds", TUNE_SQL)
+def q_tune_thresholds(spark, sf_dir):
+    preds = V.predictions(spark, sf_dir, "base")
+    val = lb.test_subset(preds, lb.split_ids(V.split_table(spark, sf_dir), "val"))
+    return mt.tune_thresholds(val).select(F.col("label_no").cast("int"), "label", "threshold", round6("best_f1").alias("best_f1"))
+
+
+LOSS_SQL = V.with_views("gold_base") + """, r AS (
+  SELECT ({bce}) / {k} AS bce,
+         (greatest(s0, s1, s2) + ln(exp(s0 - greatest(s0, s1, s2)) + exp(s1 - greatest(s0, s1, s2))
+            + exp(s2 - greatest(s0, s1, s2)))
+          - CASE sentiment + 1 WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END) * (1.0 + 0.5 * irony) AS ce
+  FROM gold_base)
+SELECT round(avg(bce), 6) AS multi_loss, round(avg(ce), 6) AS sent_loss,
+       round(0.7 * avg(bce) + 1.0 * avg(ce), 6) AS loss FROM r""".format(
+    k=float(len(LABELS)),
+    bce=" + ".join(f"(greatest({c}_logit, 0.0) - {c}_logit * {c} + ln(1 + exp(-abs({c}_logit))))" for c in LABELS))
+
+
+@register("multitask_loss", LOSS_SQL)
+def q_multitask_loss(spark, sf_dir):
+    df = lb.build_labels(V.model_outputs(V.gold(spark, sf_dir), V.BASE_MULT))
+    return mt.multitask_loss(df).select(*r6(["multi_loss", "sent_loss", "loss"]))
+
+
+PJ_COLS = ["irony_ft_prob", "irony_ft_pred", "Spam_flag_ft_pred", "sent_pred", "sent_pos_prob"]
+
+
+@register("pred_join", V.with_views("pred_base", "pred_irony") + " SELECT b.comment_id, "
+          + ", ".join(f"{'round(' if c in PROB_COLS else ''}b.{c}{', 6)' if c in PROB_COLS else ''} AS {c}_base, "
+                      f"{'round(' if c in PROB_COLS else ''}i.{c}{', 6)' if c in PROB_COLS else ''} AS {c}_irony"
+                      for c in PJ_COLS)
+          + " FROM pred_base b JOIN pred_irony i ON i.comment_id = b.comment_id")
+def q_pred_join(spark, sf_dir):
+    j = hy.pred_join(V.predictions(spark, sf_dir, "base"), V.predictions(spark, sf_dir, "irony"))
+    cols = []
+    for c in PJ_COLS:
+        for s in ("_base", "_irony"):
+            cols.append(round6(c + s).alias(c + s) if c in PROB_COLS else F.col(c + s))
+    return j.select("comment_id", *cols)
+
+
+@register("hybrid_merge", V.with_views("hybrid") + f" SELECT comment_id, {_pred_select_sql()} FROM hybrid")
+def q_hybrid_merge(spark, sf_dir):
+    return _round_preds(V.hybrid(spark, sf_dir)).select("comment_id", *PREDICTION_COLS)
+
+
+def _with_year(spark, sf_dir, df):
+    years = V.comments(spark, sf_dir).select("comment_id", "year")
+    return df.join(years, "comment_id")
+
+
+RATE_COLS = [f"{c}_rate" for c in LABELS] + ["sent_neg_rate", "sent_neu_rate", "sent_pos_rate"]
+HY_YEAR = V.with_views("hybrid", "comments") + ", hy AS (SELECT h.*, c.year FROM hybrid h JOIN comments c USING (comment_id))"
+
+
+@register("yearly_rates", HY_YEAR + " SELECT year, count(*) AS n_comments, "
+          + ", ".join(f"round(avg(CAST({c}_ft_pred AS DOUBLE)), 6) AS {c}_rate" for c in LABELS)
+          + ", round(avg(CASE WHEN sent_pred = -1 THEN 1.0 ELSE 0.0 END), 6) AS sent_neg_rate"
+          + ", round(avg(CASE WHEN sent_pred = 0 THEN 1.0 ELSE 0.0 END), 6) AS sent_neu_rate"
+          + ", round(avg(CASE WHEN sent_pred = 1 THEN 1.0 ELSE 0.0 END), 6) AS sent_pos_rate"
+          + " FROM hy GROUP BY year ORDER BY year")
+def q_yearly_rates(spark, sf_dir):
+    rates = pb.yearly_rates(_with_year(spark, sf_dir, V.hybrid(spark, sf_dir)))
+    return rates.select("year", "n_comments", *r6(RATE_COLS))
+
+
+@register("public_view", HY_YEAR + " SELECT year, count(*) AS n_comments, "
+          + ", ".join(f"CAST(sum({c}_ft_pred) AS BIGINT) AS n_{c}" for c in LABELS) + " FROM hy GROUP BY year")
+def q_public_view(spark, sf_dir):
+    return pb.public_view(_with_year(spark, sf_dir, V.hybrid(spark, sf_dir)))
+
+
+def _windows_input(spark, sf_dir):
+    c = V.comments(spark, sf_dir)
+    v = V.videos(spark, sf_dir).select("video_id", F.col("title").alias("video_title"))
+    return tx.add_text_proc(c.join(v, "video_id", "left"))
+
+
+WIDTH, STEP = md.window_shape()
+WIN_SQL = (V.with_views("comments", "videos")
+           + f", tp AS (SELECT c.comment_id, c.doc_id, regexp_extract_all({TITLE_PREFIX_SQL}, {sg.q(NON_SPACE + '+')}) AS w"
+           + " FROM comments c LEFT JOIN videos v ON v.video_id = c.video_id),"
+           + f" tk AS (SELECT *, CAST(1 + ceil(greatest(len(w) - {WIDTH}, 0) / {STEP}.0) AS INTEGER) AS k FROM tp),"
+           + " win AS (SELECT comment_id, doc_id, k AS n_windows, CAST(r.i AS INTEGER) AS window_no,"
+           + f" list_slice(w, r.i * {STEP} + 1, r.i * {STEP} + {WIDTH}) AS tokens FROM tk, range(k) r(i))")
+
+
+@register("token_windows", WIN_SQL + " SELECT comment_id, n_windows, window_no, len(tokens) AS n_tokens,"
+          + " array_to_string(tokens, ' ') AS window_text FROM win")
+def q_token_windows(spark, sf_dir):
+    w = md.token_windows(_windows_input(spark, sf_dir))
+    return w.select("comment_id", "n_windows", "window_no", F.size("tokens").alias("n_tokens"),
+                    F.array_join("tokens", " ").alias("window_text"))
+
+
+def _window_prob(j: int):
+    return f"CAST((doc_id * {V.BASE_MULT} + {13 * j} + 101 * window_no) % 1000 AS DOUBLE) / 1000"
+
+
+@register("window_mean", WIN_SQL + " SELECT comment_id, count(*) AS n_windows, "
+          + ", ".join(f"round(avg({_window_prob(j)}), 6) AS {c}_ft_prob" for j, c in enumerate(LABELS))
+          + " FROM win GROUP BY comment_id")
+def q_window_mean(spark, sf_dir):
+    w = md.token_windows(_windows_input(spark, sf_dir), keep=["doc_id"])
+    w = w.select("comment_id", *[F.expr(_window_prob(j)).alias(f"{c}_ft_prob") for j, c in enumerate(LABELS)])
+    m = md.window_mean(w, [f"{c}_ft_prob" for c in LABELS])
+    return m.select("comment_id", "n_windows", *r6([f"{c}_ft_prob" for c in LABELS]))

@@ -178,3 +178,71 @@ def with_views(*names: str) -> str:
     for n in names:
         visit(n)
     return "WITH " + ",\n".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in ordered) + "\n"
+
+
+# ----------------------------------------------------------------------------
+# Prediction tables of the two pseudo-models (Spark), and their SQL twins.
+
+def predictions(spark: SparkSession, sf_dir: str, which: str = "base") -> DataFrame:
+    from tenor.operators.model import prediction_columns
+    from tenor.schemas import PREDICTION_COLS
+    mult, thr = (BASE_MULT, BASE_THRESHOLDS) if which == "base" else (IRONY_MULT, IRONY_THRESHOLDS)
+    g = gold(spark, sf_dir)
+    out = prediction_columns(model_outputs(g, mult), LABELS, thr)
+    return out.select(*g.columns, *PREDICTION_COLS)
+
+
+def _pred_sql(src: str, thresholds) -> str:
+    cols = []
+    for n, t in zip(LABELS, thresholds):
+        cols += [f"{n}_p AS {n}_ft_prob", f"CAST({n}_p >= CAST({float(t)!r} AS DOUBLE) AS INTEGER) AS {n}_ft_pred"]
+    return f"""
+        SELECT comment_id, doc_id, text, video_title, sentiment, {', '.join(LABELS)}, {', '.join(cols)},
+               e0 / (e0 + e1 + e2) AS sent_neg_prob, e1 / (e0 + e1 + e2) AS sent_neu_prob,
+               e2 / (e0 + e1 + e2) AS sent_pos_prob
+        FROM (SELECT *, exp(s0 - greatest(s0, s1, s2)) AS e0, exp(s1 - greatest(s0, s1, s2)) AS e1,
+                        exp(s2 - greatest(s0, s1, s2)) AS e2 FROM {src})"""
+
+
+_SENT_PRED = ("CASE WHEN sent_neg_prob >= sent_neu_prob AND sent_neg_prob >= sent_pos_prob THEN -1 "
+              "WHEN sent_neu_prob >= sent_pos_prob THEN 0 ELSE 1 END")
+SQL_VIEWS["pred_base0"] = (["gold_base"], _pred_sql("gold_base", BASE_THRESHOLDS))
+SQL_VIEWS["pred_irony0"] = (["gold_irony"], _pred_sql("gold_irony", IRONY_THRESHOLDS))
+SQL_VIEWS["pred_base"] = (["pred_base0"], f"SELECT *, {_SENT_PRED} AS sent_pred FROM pred_base0")
+SQL_VIEWS["pred_irony"] = (["pred_irony0"], f"SELECT *, {_SENT_PRED} AS sent_pred FROM pred_irony0")
+SQL_VIEWS["strata"] = (["gold"], f"""
+        SELECT *, CAST(sentiment + 1 AS INTEGER) AS sent_class,
+               CASE WHEN greatest({', '.join(LABELS)}) > 0 THEN 1 ELSE 0 END AS any_pos,
+               CAST((CASE WHEN greatest({', '.join(LABELS)}) > 0 THEN 1 ELSE 0 END) * 3 + sentiment + 1 AS INTEGER)
+                 AS stratum
+        FROM gold""")
+SQL_VIEWS["split"] = (["strata"], """
+        SELECT comment_id, stratum,
+               CASE WHEN rn <= (7 * n + 5) // 10 THEN 'train'
+                    WHEN rn <= (17 * n + 10) // 20 THEN 'val' ELSE 'test' END AS split
+        FROM (SELECT comment_id, stratum,
+                     row_number() OVER (PARTITION BY stratum ORDER BY md5(comment_id || ':42'), comment_id) AS rn,
+                     count(*) OVER (PARTITION BY stratum) AS n
+              FROM strata)""")
+_SPEC = ["irony_ft_prob", "irony_ft_pred", "sent_neg_prob", "sent_neu_prob", "sent_pos_prob", "sent_pred"]
+SQL_VIEWS["hybrid"] = (["pred_base", "pred_irony"], """
+        SELECT b.* REPLACE ({repl})
+        FROM pred_base b LEFT JOIN pred_irony i ON i.comment_id = b.comment_id""".format(
+    repl=", ".join(f"i.{c} AS {c}" for c in _SPEC)))
+SQL_VIEWS["hybrid_test"] = (["hybrid", "split"], """
+        SELECT h.* FROM hybrid h WHERE h.comment_id IN (SELECT comment_id FROM split WHERE split = 'test')""")
+
+
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenor.operators.hybrid import hybrid_merge
+    return hybrid_merge(predictions(spark, sf_dir, "base"), predictions(spark, sf_dir, "irony"))
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenor.operators.labels import build_labels, stratified_split
+    return stratified_split(build_labels(gold(spark, sf_dir)))
+
+
+def hybrid_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenor.operators.labels import split_ids, test_subset
+    return test_subset(hybrid(spark, sf_dir), split_ids(split_table(spark, sf_dir), "test"))
