@@ -28,7 +28,7 @@ def plus_seconds(ts_ntz, secs) -> Column:
 def epoch_seconds(ts_ntz) -> Column:
     """Seconds since 1970-01-01T00:00:00 of a TIMESTAMP_NTZ (no zone applied)."""
     epoch = F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    return F.timestampdiff("SECOND", epoch, col(ts_ntz))
+    return F.timestamp_diff("SECOND", epoch, col(ts_ntz))
 
 
 def parse_iso(s) -> Column:

@@ -558,3 +558,188 @@ def q_window_mean(spark, sf_dir):
     w = w.select("comment_id", *[F.expr(_window_prob(j)).alias(f"{c}_ft_prob") for j, c in enumerate(LABELS)])
     m = md.window_mean(w, [f"{c}_ft_prob" for c in LABELS])
     return m.select("comment_id", "n_windows", *r6([f"{c}_ft_prob" for c in LABELS]))
+
+
+# ----------------------------------------------------------------------------
+# Collection: bounds, filters, window fill, dedup, caps, metadata, counters
+
+from tenor.functions.text import MUSIC_CHANNEL_MARKERS, MUSIC_KEYWORDS, is_music_video  # noqa: E402
+from tenor.functions.time import in_year, year_bounds  # noqa: E402
+from tenor.operators import collect as co  # noqa: E402
+
+NOW_ISO = "2024-06-30T12:00:00Z"   # "now" is an argument of the bounds, not the clock
+
+
+@register("year_bounds", V.with_views("comments") + f""" SELECT year,
+    printf('%04d-01-01T00:00:00Z', year) AS start_iso,
+    CASE WHEN year < {NOW_ISO[:4]} THEN printf('%04d-12-31T23:59:59Z', year) ELSE '{NOW_ISO}' END AS end_iso
+  FROM (SELECT DISTINCT year FROM comments)""")
+def q_year_bounds(spark, sf_dir):
+    years = V.comments(spark, sf_dir).select("year").distinct()
+    s, e = year_bounds("year", NOW_ISO)
+    return years.select("year", s.alias("start_iso"), e.alias("end_iso"))
+
+
+@register("year_filter", V.with_views("comments", "videos")
+          + " SELECT c.comment_id, c.video_id, v.year FROM comments c JOIN videos v ON v.video_id = c.video_id"
+          + " WHERE COALESCE(starts_with(c.published_at, CAST(v.year AS VARCHAR)), false)")
+def q_year_filter(spark, sf_dir):
+    c = V.comments(spark, sf_dir).select("comment_id", "video_id", "published_at")
+    v = V.videos(spark, sf_dir).select("video_id", "year")
+    return c.join(v, "video_id").filter(in_year("published_at", "year")).select("comment_id", "video_id", "year")
+
+
+MUSIC_SQL = ("(" + sg.contains_any_sql("lower(COALESCE(title, ''))", MUSIC_KEYWORDS)
+             + " OR " + sg.contains_any_sql("lower(COALESCE(description, ''))", MUSIC_KEYWORDS)
+             + " OR " + sg.contains_any_sql("lower(COALESCE(channel_title, ''))", MUSIC_CHANNEL_MARKERS) + ")")
+
+
+@register("music_filter", V.with_views("videos") + f" SELECT video_id, {MUSIC_SQL} AS is_music FROM videos")
+def q_music_filter(spark, sf_dir):
+    v = V.videos(spark, sf_dir)
+    return v.select("video_id", is_music_video("title", "description", "channel_title").alias("is_music"))
+
+
+@register("attach_video", V.with_views("comments", "videos")
+          + " SELECT c.comment_id, COALESCE(v.title, '') AS video_title,"
+          + " COALESCE(v.published_at, '') AS video_published_at"
+          + " FROM comments c LEFT JOIN videos v ON v.video_id = c.video_id")
+def q_attach_video(spark, sf_dir):
+    c = V.comments(spark, sf_dir).select("comment_id", "video_id")
+    return co.attach_video(c, V.videos(spark, sf_dir)).select("comment_id", "video_title", "video_published_at")
+
+
+COLLECT_SQL = V.with_views("landed", "sampled") + """,
+j AS (SELECT l.*, s.video_rank FROM landed l JOIN sampled s ON s.year = l.year AND s.video_id = l.video_id
+      WHERE COALESCE(starts_with(l.published_at, CAST(l.year AS VARCHAR)), false)),
+d AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY year, comment_id
+      ORDER BY video_rank, page, pos) AS rn FROM j) WHERE rn = 1),
+e AS (SELECT * FROM d WHERE COALESCE(lang, 'en') = 'en'),
+pv AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY year, video_id
+       ORDER BY video_rank, page, pos) AS rn FROM e) WHERE rn <= 40),
+py AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY year
+       ORDER BY video_rank, page, pos) AS rn FROM pv) WHERE rn <= 10000)"""
+
+
+def _collected(spark, sf_dir):
+    landed = V.landed_comments(spark, sf_dir)
+    return co.collect_comments(landed, V.sampled_pairs(landed))
+
+
+@register("dedup_comments", V.with_views("landed", "sampled") + """,
+j AS (SELECT l.*, s.video_rank FROM landed l JOIN sampled s ON s.year = l.year AND s.video_id = l.video_id)
+SELECT year, comment_id, video_id, page, pos FROM (SELECT *, row_number() OVER (PARTITION BY year, comment_id
+  ORDER BY video_rank, page, pos) AS rn FROM j) WHERE rn = 1""")
+def q_dedup_comments(spark, sf_dir):
+    from tenor.operators.ranking import first_per_key
+    landed = V.landed_comments(spark, sf_dir)
+    j = landed.join(V.sampled_pairs(landed), ["year", "video_id"])
+    d = first_per_key(j, ["year", "comment_id"], ["video_rank", "page", "pos"], salt_cols=["video_id", "page", "pos"])
+    return d.select("year", "comment_id", "video_id", "page", "pos")
+
+
+@register("video_cap", COLLECT_SQL + " SELECT year, comment_id, video_id FROM pv")
+def q_video_cap(spark, sf_dir):
+    landed = V.landed_comments(spark, sf_dir)
+    c = co.collect_comments(landed, V.sampled_pairs(landed), per_year=10 ** 12)
+    return c.select("year", "comment_id", "video_id")
+
+
+@register("ingest_cap", COLLECT_SQL + " SELECT year, comment_id, video_id, published_at FROM py")
+def q_ingest_cap(spark, sf_dir):
+    return _collected(spark, sf_dir).select("year", "comment_id", "video_id", "published_at")
+
+
+@register("ingest_summary", COLLECT_SQL + """, sv AS (SELECT year, count(*) AS videos FROM sampled GROUP BY year),
+sc AS (SELECT year, count(*) AS comments FROM py GROUP BY year)
+SELECT COALESCE(sv.year, sc.year) AS year, COALESCE(videos, 0) AS videos, COALESCE(comments, 0) AS comments,
+       COALESCE(videos, 0) < 2500 AS warn_videos, COALESCE(comments, 0) < 10000 AS warn_comments
+FROM sv FULL OUTER JOIN sc ON sc.year = sv.year""")
+def q_ingest_summary(spark, sf_dir):
+    landed = V.landed_comments(spark, sf_dir)
+    sampled = V.sampled_pairs(landed)
+    return co.ingest_summary(sampled, co.collect_comments(landed, sampled))
+
+
+@register("comments_per_video", COLLECT_SQL
+          + " SELECT year, video_id, count(*) AS n_comments FROM py GROUP BY year, video_id")
+def q_comments_per_video(spark, sf_dir):
+    return co.comments_per_video(_collected(spark, sf_dir))
+
+
+# Window fill over the events table: a video is an event, its views the value,
+# the search term the event type. The table spans one month, so the window tree
+# spans that month (31 windows) instead of a whole year.
+FILL_BOUNDS = [(2024, "2024-01-01T00:00:00Z", "2024-01-31T00:00:00Z")]
+GENERAL_TERMS = ["view"]
+EARLY_TERMS = ["view", "click", "purchase"]
+
+
+def _wins_sql() -> str:
+    rows = ", ".join(f"({y}, {lv}, {ix}, {s}, {e}, '{si}')" for y, lv, ix, s, e, si, _ in co.window_tree(FILL_BOUNDS))
+    return f"SELECT * FROM (VALUES {rows}) w(year, level, idx, start_s, end_s, window_start)"
+
+
+def _fill_sql(variant: str) -> str:
+    terms = GENERAL_TERMS if variant == "general" else EARLY_TERMS
+    target = co.VIDEO_SAMPLE_SIZE if variant == "general" else co.VIDEO_SAMPLE_SIZE_EARLY
+    L = co.MAX_RESULTS_PER_SEARCH
+    tl = "[" + ", ".join(sg.q(t) for t in terms) + "]"
+    pages_target = -(-target // co.SEARCH_PAGE_SIZE) * co.SEARCH_PAGE_SIZE
+    head = V.with_views("hits", "hit_videos") + f""", wins AS ({_wins_sql()}),
+hw AS (SELECT h.*, w.level, w.idx, w.start_s, w.window_start, list_position({tl}, h.term) - 1 AS term_no
+       FROM hits h JOIN wins w ON w.year = h.year AND h.ts_s BETWEEN w.start_s AND w.end_s),
+hw2 AS (SELECT * FROM hw WHERE term_no IS NOT NULL AND term_no >= 0 {'AND term_no = 0' if variant == 'general' else ''}),
+r AS (SELECT *, 0 AS ord_no, row_number() OVER (PARTITION BY year, level, idx, term_no ORDER BY views DESC, video_id) AS rank FROM hw2
+      UNION ALL
+      SELECT *, 1 AS ord_no, row_number() OVER (PARTITION BY year, level, idx, term_no ORDER BY ts_s DESC, video_id) AS rank FROM hw2),
+r2 AS (SELECT * FROM r WHERE rank <= {L}),"""
+    if variant == "general":
+        head += f"""
+n1 AS (SELECT year, level, idx, count(*) AS n1 FROM r2 WHERE ord_no = 0 AND rank <= {pages_target} GROUP BY year, level, idx),
+k AS (SELECT r2.* FROM r2 LEFT JOIN n1 ON n1.year = r2.year AND n1.level = r2.level AND n1.idx = r2.idx
+      WHERE (ord_no = 0 AND rank <= {pages_target})
+         OR (ord_no = 1 AND COALESCE(n1, 0) < {target}
+             AND rank <= ceil(({target} - COALESCE(n1, 0)) / {float(co.SEARCH_PAGE_SIZE)}) * {co.SEARCH_PAGE_SIZE})),"""
+    else:
+        head += f"""
+k AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY year, level, idx
+      ORDER BY term_no, ord_no, rank) AS rn FROM r2) WHERE rn <= {target}),"""
+    head += f"""
+f AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY year, video_id
+      ORDER BY start_s, level, term_no, ord_no, rank) AS rn FROM k) WHERE rn = 1),
+el AS (SELECT video_id, year, COALESCE(starts_with(published_at, CAST(year AS VARCHAR)), false) AND NOT {MUSIC_SQL} AS eligible
+       FROM hit_videos),
+fe AS (SELECT f.* FROM f JOIN el ON el.video_id = f.video_id AND el.year = f.year WHERE el.eligible),
+fin AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY start_s, level, term_no, ord_no, rank, video_id) AS video_rank FROM fe)"""
+    return head
+
+
+@register("window_fill", _fill_sql("general")
+          + f" SELECT year, video_rank, video_id, level, window_start FROM fin WHERE video_rank <= {co.VIDEO_SAMPLE_SIZE}")
+def q_window_fill(spark, sf_dir):
+    return co.window_fill(V.event_hits(spark, sf_dir), V.event_videos(spark, sf_dir), FILL_BOUNDS, GENERAL_TERMS)
+
+
+@register("window_fill_early", _fill_sql("early")
+          + f" SELECT year, video_rank, video_id, level, window_start FROM fin WHERE video_rank <= {co.VIDEO_SAMPLE_SIZE_EARLY}")
+def q_window_fill_early(spark, sf_dir):
+    return co.window_fill(V.event_hits(spark, sf_dir), V.event_videos(spark, sf_dir), FILL_BOUNDS, EARLY_TERMS,
+                          variant="early")
+
+
+@register("candidate_rank", _fill_sql("early") + " SELECT year, level, idx, term_no, ord_no, rank, video_id FROM k")
+def q_candidate_rank(spark, sf_dir):
+    tree = co.window_tree(FILL_BOUNDS)
+    wins = spark.createDataFrame(
+        tree, "year int, level int, idx int, start_s long, end_s long, window_start string, window_end string")
+    hw = co.attach_windows(V.event_hits(spark, sf_dir), wins, max(r[1] for r in tree))
+    r = co.rank_candidates(hw, EARLY_TERMS, "early", co.VIDEO_SAMPLE_SIZE_EARLY)
+    return r.select("year", "level", "idx", F.col("term_no").cast("int"), "ord_no", "rank", "video_id")
+
+
+@register("window_yield", _fill_sql("general") + """ SELECT year, level, window_start, count(*) AS n_videos
+  FROM fin WHERE video_rank <= 3000 GROUP BY year, level, window_start""")
+def q_window_yield(spark, sf_dir):
+    s = co.window_fill(V.event_hits(spark, sf_dir), V.event_videos(spark, sf_dir), FILL_BOUNDS, GENERAL_TERMS)
+    return co.videos_per_window(s)

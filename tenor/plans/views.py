@@ -246,3 +246,55 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tenor.operators.labels import split_ids, test_subset
     return test_subset(hybrid(spark, sf_dir), split_ids(split_table(spark, sf_dir), "test"))
+
+
+# ----------------------------------------------------------------------------
+# Collection inputs: landed comments (ids from the text, so exact copies of a
+# text are one comment seen twice), sampled (year, video) pairs, search hits.
+
+def landed_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = comments(spark, sf_dir)
+    return c.select(F.substring(F.md5("text"), 1, 16).alias("comment_id"), "video_id", "year", "page", "pos",
+                    "published_at", "text", "lang")
+
+
+def sampled_pairs(landed: DataFrame) -> DataFrame:
+    """Every (year, video) of the landed comments, ranked by video id inside the year."""
+    from pyspark.sql import Window
+    pairs = landed.select("year", "video_id").distinct()
+    return pairs.withColumn("video_rank", F.row_number().over(Window.partitionBy("year").orderBy("video_id")))
+
+
+def event_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenor.functions.time import epoch_seconds
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").cast("string").alias("video_id"),
+                    epoch_seconds("ts").alias("ts_s"), F.col("value").alias("views"),
+                    F.col("event_type").alias("term"), F.year("ts").cast("int").alias("year"))
+
+
+def event_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").cast("string").alias("video_id"), F.year("ts").cast("int").alias("year"),
+                    F.concat(F.lit("video "), F.col("event_id").cast("string")).alias("title"),
+                    F.col("props").alias("description"),
+                    F.concat(F.lit("channel "), F.col("user_id").cast("string")).alias("channel_title"),
+                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"))
+
+
+SQL_VIEWS["landed"] = (["comments"], """
+        SELECT substr(md5(text), 1, 16) AS comment_id, video_id, year, page, pos, published_at, text, lang
+        FROM comments""")
+SQL_VIEWS["sampled"] = (["landed"], """
+        SELECT year, video_id, row_number() OVER (PARTITION BY year ORDER BY video_id) AS video_rank
+        FROM (SELECT DISTINCT year, video_id FROM landed)""")
+SQL_VIEWS["hits"] = ([], """
+        SELECT CAST(event_id AS VARCHAR) AS video_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, value AS views,
+               event_type AS term, CAST(year(ts) AS INTEGER) AS year
+        FROM events""")
+SQL_VIEWS["hit_videos"] = ([], """
+        SELECT CAST(event_id AS VARCHAR) AS video_id, CAST(year(ts) AS INTEGER) AS year,
+               'video ' || CAST(event_id AS VARCHAR) AS title, props AS description,
+               'channel ' || CAST(user_id AS VARCHAR) AS channel_title,
+               strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS published_at
+        FROM events""")
