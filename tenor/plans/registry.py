@@ -743,3 +743,69 @@ def q_candidate_rank(spark, sf_dir):
 def q_window_yield(spark, sf_dir):
     s = co.window_fill(V.event_hits(spark, sf_dir), V.event_videos(spark, sf_dir), FILL_BOUNDS, GENERAL_TERMS)
     return co.videos_per_window(s)
+
+
+# ----------------------------------------------------------------------------
+# Jobs: language identification, English filter, training, inference, hybrid
+
+from tenor.operators import classifier as clf  # noqa: E402
+from tenor.operators import language as lg  # noqa: E402
+
+
+def _docs_with_titles(spark, sf_dir):
+    c = V.comments(spark, sf_dir)
+    v = V.videos(spark, sf_dir).select("video_id", F.col("title").alias("video_title"))
+    return c.join(v, "video_id", "left")
+
+
+def _identified(spark, sf_dir):
+    docs = V.comments(spark, sf_dir)
+    return lg.identify(docs, lg.train_profiles(docs))
+
+
+@register("language_id")
+def q_language_id(spark, sf_dir):
+    """M3: char-trigram profiles trained on the labelled languages, scored per text; rows-only."""
+    return _identified(spark, sf_dir).select("comment_id", "lang", "pred_lang")
+
+
+@register("english_only")
+def q_english_only(spark, sf_dir):
+    """P4 over M3's output: keep English, keep unknown (fails open); rows-only."""
+    return lg.english_only(_identified(spark, sf_dir)).select("comment_id", "year", "pred_lang")
+
+
+@register("train_multitask")
+def q_train_multitask(spark, sf_dir):
+    """M4: fit on the train split, tune thresholds on validation -> tuned thresholds; rows-only."""
+    _, _, _, _, tuned = clf.train_main(V.gold(spark, sf_dir))
+    return tuned.select(F.col("label_no").cast("int"), "label", "threshold", round6("best_f1").alias("best_f1"))
+
+
+@register("test_metrics_default")
+def q_test_metrics_default(spark, sf_dir):
+    """M4 report: test-split micro/macro F1 at 0.5 and sentiment macro F1; rows-only."""
+    _, _, metrics, sent, _ = clf.train_main(V.gold(spark, sf_dir))
+    long = metrics.select(F.inline(F.array(
+        F.struct(F.lit("ml_test_f1_micro_default").alias("metric"), F.col("ml_test_f1_micro_default").alias("value")),
+        F.struct(F.lit("ml_test_f1_macro_default").alias("metric"), F.col("ml_test_f1_macro_default").alias("value")))))
+    return long.unionByName(sent.select(F.lit("sent_test_macro_f1").alias("metric"),
+                                        F.col("sent_test_macro_f1").alias("value")))
+
+
+@register("predict_multitask")
+def q_predict_multitask(spark, sf_dir):
+    """M5: train on the labelled rows, predict every comment with sliding windows; rows-only."""
+    model, *_ = clf.train_main(V.gold(spark, sf_dir))
+    preds = clf.predict(model, _docs_with_titles(spark, sf_dir))
+    return _round_preds(preds).select("comment_id", *PREDICTION_COLS)
+
+
+@register("predict_hybrid")
+def q_predict_hybrid(spark, sf_dir):
+    """M6: base and specialist presets on the same input, merged by id; rows-only."""
+    gold = V.gold(spark, sf_dir)
+    base, *_ = clf.train_main(gold, preset="base")
+    spec, *_ = clf.train_main(gold, preset="specialist")
+    preds = clf.predict_hybrid(base, spec, _docs_with_titles(spark, sf_dir))
+    return _round_preds(preds).select("comment_id", *PREDICTION_COLS)
