@@ -809,3 +809,57 @@ def q_predict_hybrid(spark, sf_dir):
     spec, *_ = clf.train_main(gold, preset="specialist")
     preds = clf.predict_hybrid(base, spec, _docs_with_titles(spark, sf_dir))
     return _round_preds(preds).select("comment_id", *PREDICTION_COLS)
+
+
+# ----------------------------------------------------------------------------
+# Landed pages -> rows. Pages are landed from the driver tables by Spark
+# (a page holds at most 100 / 50 items, as an API page does), then flattened.
+
+from tenor.sources import pages as pg  # noqa: E402
+
+
+def _landed_comment_pages(spark, sf_dir):
+    conv = V.table(spark, sf_dir, "conversations")
+    pub = F.when(F.col("role") == "assistant", F.lit(None).cast("string")).otherwise(
+        F.format_string("2020-01-01T00:00:%02dZ", (F.col("turn") % 60).cast("int")))
+    item = F.struct(F.struct(F.struct(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.struct(pub.alias("publishedAt"), F.col("text").alias("textDisplay")).alias("snippet"),
+    ).alias("topLevelComment")).alias("snippet"))
+    rows = conv.withColumn("video_id", F.concat(F.lit("conv"), F.col("conv_id").cast("string"))) \
+        .withColumn("page", F.expr("CAST(turn div 100 AS INT)"))
+    return pg.pack_pages(rows, ["video_id", "page"], "turn", item)
+
+
+@register("comment_pages", """SELECT 'conv' || CAST(conv_id AS VARCHAR) AS video_id, CAST(turn // 100 AS INTEGER) AS page,
+  CAST(row_number() OVER (PARTITION BY conv_id, turn // 100 ORDER BY turn) - 1 AS INTEGER) AS pos,
+  CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS comment_id,
+  CASE WHEN role = 'assistant' THEN '' ELSE printf('2020-01-01T00:00:%02dZ', CAST(turn % 60 AS INTEGER)) END
+    AS published_at, text
+FROM conversations""")
+def q_comment_pages(spark, sf_dir):
+    return pg.flatten_comment_pages(_landed_comment_pages(spark, sf_dir))
+
+
+@register("video_pages", V.with_views("videos")
+          + " SELECT video_id, title, description, channel_title, published_at FROM videos")
+def q_video_pages(spark, sf_dir):
+    v = V.videos(spark, sf_dir).withColumn("__pid", F.expr("CAST(substring(video_id, 4) AS BIGINT)"))
+    item = F.struct(F.col("video_id").alias("id"), F.struct(
+        F.col("title").alias("title"), F.col("description").alias("description"),
+        F.col("channel_title").alias("channelTitle"), F.col("published_at").alias("publishedAt")).alias("snippet"))
+    landed = pg.pack_pages(v.withColumn("__page", F.expr("__pid div 50")), ["__page"], "__pid", item)
+    return pg.flatten_video_pages(landed)
+
+
+@register("search_pages", """SELECT event_type AS term, 'date' AS ord, CAST(event_id // 50 AS INTEGER) AS page,
+  CAST(row_number() OVER (PARTITION BY event_type, event_id // 50 ORDER BY event_id) - 1 AS INTEGER) AS pos,
+  CAST(event_id AS VARCHAR) AS video_id
+FROM events""")
+def q_search_pages(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("term"), F.lit("date").alias("ord"),
+        F.expr("CAST(event_id div 50 AS INT)").alias("page"), "event_id")
+    item = F.struct(F.struct(F.col("event_id").cast("string").alias("videoId")).alias("id"))
+    landed = pg.pack_pages(e, ["term", "ord", "page"], "event_id", item)
+    return pg.flatten_search_pages(landed)
