@@ -150,7 +150,7 @@ def video_eligible(videos: DataFrame, english=None) -> DataFrame:
 
 def window_fill(hits: DataFrame, videos: DataFrame, bounds, terms, variant: str = "general",
                 target: int | None = None, max_results: int = MAX_RESULTS_PER_SEARCH,
-                english: str | None = None) -> DataFrame:
+                english: str | None = None, page_size: int = SEARCH_PAGE_SIZE) -> DataFrame:
     """Sampled videos per year -> (year, video_rank, video_id, level, window_start).
 
     ``hits``: (video_id, ts_s, views, term, year); ``videos``: metadata with
@@ -162,7 +162,7 @@ def window_fill(hits: DataFrame, videos: DataFrame, bounds, terms, variant: str
         tree, "year int, level int, idx int, start_s long, end_s long, window_start string, window_end string")
     max_level = max(r[1] for r in tree) if tree else 0
     hw = attach_windows(hits, wins, max_level)
-    ranked = rank_candidates(hw, terms, variant, target, max_results)
+    ranked = rank_candidates(hw, terms, variant, target, max_results, page_size=page_size)
     order = [F.col("start_s"), F.col("level"), F.col("term_no"), F.col("ord_no"), F.col("rank")]
     first = first_per_key(ranked, ["year", "video_id"], order, salt_cols=["level", "idx", "term_no", "ord_no"])
     ok = video_eligible(videos, english)

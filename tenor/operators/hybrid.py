@@ -36,16 +36,14 @@ def hybrid_merge(base: DataFrame, specialist: DataFrame, key: str = "comment_id"
     spec = specialist.select(F.col(key).cast("string").alias(key), *[F.col(c).alias(f"__s_{c}") for c in take])
     out = base.withColumn(key, F.col(key).cast("string")).join(spec, key, "left")
     if check_unique:
+        # The check lives inside the key column so column pruning cannot drop it.
         # The join output is hash-partitioned and sorted by key, so this window
         # adds no exchange.
         dup = F.count(F.col(f"__s_{take[0]}")).over(Window.partitionBy(key))
-        out = out.withColumn("__dup", F.when(dup > 1, F.raise_error(
-            F.concat(F.lit("duplicate specialist id: "), F.col(key)))))
+        out = out.withColumn(key, F.when(dup > 1, F.raise_error(
+            F.concat(F.lit("duplicate specialist id: "), F.col(key)))).otherwise(F.col(key)))
     cols = [F.col(f"__s_{c}").alias(c) if c in take else F.col(c) for c in base.columns]
-    if check_unique:
-        cols.append(F.col("__dup"))
-    res = out.select(*cols)
-    return res.drop("__dup") if check_unique else res
+    return out.select(*cols)
 
 
 def check_label_lists(labels_base, labels_specialist) -> None:
