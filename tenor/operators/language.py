@@ -20,25 +20,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenor.functions.text import col, words
+from tenor.functions.text import SPACE, col
 from tenor.operators.ranking import first_n
 
 GRAM = 3
 TOP_K = 1000
 
 
-def grams(text, n: int = GRAM) -> Column:
-    """All character n-grams of the space-padded lowercased words of a text."""
-    ws = F.transform(words(F.lower(col(text))), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    return F.flatten(F.transform(ws, lambda w: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))))
+def _padded(text) -> Column:
+    """' ' + lowercased text with whitespace runs collapsed to one space + ' '."""
+    t = F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), f"{SPACE}+", " ")
+    return F.concat(F.lit(" "), t, F.lit(" "))
+
+
+def gram_windows(text, n: int = GRAM) -> Column:
+    """Every n-character window of the padded text, as n non-overlapping regex
+    scans at offsets 0..n-1 (linear; no per-gram lambda)."""
+    t = _padded(text)
+    pat = "(?s)" + "." * n
+    return F.concat(*[F.regexp_extract_all(F.substr(t, F.lit(k + 1)), F.lit(pat), 0) for k in range(n)])
+
+
+def in_word(gram: Column, n: int = GRAM) -> Column:
+    """A window belongs to a padded word unless a space is strictly inside it."""
+    inner = F.substring(gram, 2, n - 2)
+    return ~inner.contains(" ")
+
+
+def n_grams(text, n: int = GRAM) -> Column:
+    """Number of in-word windows: all windows minus those with an inner space
+    (for trigrams: one per space that is not at either end)."""
+    t = _padded(text)
+    windows = F.greatest(F.length(t) - (n - 1), F.lit(0))
+    if n != GRAM:
+        raise ValueError("n_grams is written for trigrams")
+    mid = F.substring(t, 2, F.greatest(F.length(t) - 2, F.lit(0)))
+    inner_spaces = F.length(mid) - F.length(F.replace(mid, F.lit(" "), F.lit("")))
+    return windows - inner_spaces
+
+
+def gram_rows(df: DataFrame, cols, text: str, n: int = GRAM) -> DataFrame:
+    """One row per in-word gram occurrence: cols + gram."""
+    g = df.select(*cols, F.explode(gram_windows(text, n)).alias("gram"))
+    return g.filter(in_word(F.col("gram"), n))
 
 
 def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang", n: int = GRAM,
                    top_k: int = TOP_K) -> DataFrame:
     """(lang, gram, delta, floor): delta = log p(gram|lang) - floor, floor = log of
     the smoothed probability of an unseen gram."""
-    g = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(grams(text, n)).alias("gram"))
+    g = gram_rows(df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("__t")),
+                  ["lang"], "__t", n)
     counts = g.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
     top = first_n(counts, ["lang"], [F.col("c").desc(), F.col("gram")], top_k, salt_cols=["gram"])
     totals = top.groupBy("lang").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("v"))
@@ -55,8 +87,7 @@ def identify(df: DataFrame, profiles: DataFrame, key: str = "comment_id", text:
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = df.repartition(parts, key)
-    g = base.select(key, grams(text, n).alias("__g")).select(key, F.size("__g").alias("__n"),
-                                                              F.explode("__g").alias("gram"))
+    g = gram_rows(base.select(key, n_grams(text, n).alias("__n"), F.col(text).alias("__t")), [key, "__n"], "__t", n)
     prof = F.broadcast(profiles.select("gram", "lang", "delta", "floor"))
     scored = (g.join(prof, "gram")
                .groupBy(key, "lang")

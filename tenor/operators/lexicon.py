@@ -82,24 +82,36 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def _map_literal(d: dict[str, float]) -> Column:
-    items = []
+def _lookup(c: Column, d: dict[str, float]) -> Column:
+    """Value of a small fixed word table (null when absent): one hash-set
+    membership test per distinct value instead of a linear map scan."""
+    by_value: dict[float, list[str]] = {}
     for k, v in d.items():
-        items += [F.lit(k), F.lit(float(v))]
-    return F.create_map(*items)
+        by_value.setdefault(float(v), []).append(k)
+    out = None
+    for v, ks in by_value.items():
+        out = (F.when(c.isin(*ks), F.lit(v)) if out is None else out.when(c.isin(*ks), F.lit(v)))
+    return out if out is not None else F.lit(None).cast("double")
 
 
 def token_rows(df: DataFrame, key: str, text: str = "text", lookback: int = 3) -> DataFrame:
     """One row per token: key, pos (0-based), tok (case kept), token (lower),
-    prev1..prevK (lower, null before the start). Empty texts keep one null row."""
+    prev1..prevK (lower, null before the start). Empty texts keep one null row.
+
+    The previous tokens are shifted copies of the token array (``slice`` +
+    ``concat``) zipped with it, so the row is built in linear time and the
+    tokenizer runs once per text."""
     toks = F.col("__toks")
-    arr = F.transform(toks, lambda t, i: F.struct(
-        i.alias("pos"), t.alias("tok"), F.lower(t).alias("token"),
-        *[F.when(i >= k, F.lower(F.element_at(toks, i - k + 1))).alias(f"prev{k}")
-          for k in range(1, lookback + 1)]))
+    low = F.col("__low")
+    n = F.size(low)
+    shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), F.least(F.lit(k), n)),
+                        F.slice(low, 1, F.greatest(n - k, F.lit(0)))).alias(f"prev{k}")
+               for k in range(1, lookback + 1)]
+    zipped = F.arrays_zip(toks.alias("tok"), low.alias("token"), *shifted)
     return (df.select(key, tokens(text).alias("__toks"))
-              .select(key, F.explode_outer(arr).alias("t"))
-              .select(key, "t.*"))
+              .select(key, "__toks", F.transform("__toks", lambda x: F.lower(x)).alias("__low"))
+              .select(key, F.posexplode_outer(zipped).alias("pos", "t"))
+              .select(key, "pos", "t.*"))
 
 
 def _lex(lexicon: DataFrame, cols: list[str], prefix: str, on: str = "token") -> DataFrame:
@@ -127,10 +139,9 @@ def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: s
     t = (t.join(_lex(valence_lex, ["valence"], "", "token"), "token", "left")
           .join(_lex(polarity_lex, ["polarity", "subjectivity", "intensity"], "", "token"), "token", "left")
           .join(_lex(polarity_lex, ["intensity"], "m1_", "prev1"), "prev1", "left"))
-    neg = F.array(*[F.lit(w) for w in negations])
-
     def is_neg(c: str) -> Column:
-        return F.coalesce(F.array_contains(neg, F.col(c)), F.lit(False))
+        # isin over literals is planned as a hash-set lookup (InSet).
+        return F.coalesce(F.col(c).isin(*negations), F.lit(False))
 
     # Polarity model: modifier = a lexicon word whose intensity is not 1.
     mod1 = F.coalesce(F.col("m1_intensity"), F.lit(1.0))
@@ -205,8 +216,6 @@ def _valence_rules(t: DataFrame, base: DataFrame, key: str, text: str, valence_l
     for k in (1, 2, 3):
         t = t.join(_lex(valence_lex, ["valence"], f"l{k}_", f"prev{k}"), f"prev{k}", "left")
     # Original-case previous tokens are needed for booster emphasis.
-    bmap = _map_literal(boosters)
-    neg = F.array(*[F.lit(w) for w in negations])
     capdiff = F.col("__capdiff")
     tok = F.col("tok")
     v = F.col("valence")
@@ -216,13 +225,13 @@ def _valence_rules(t: DataFrame, base: DataFrame, key: str, text: str, valence_l
     for k in (1, 2, 3):
         prev, cur = F.col(f"prev{k}"), F.col(f"__v{k - 1}")
         eligible = prev.isNotNull() & F.col(f"l{k}_valence").isNull()
-        b = F.coalesce(F.element_at(bmap, prev), F.lit(0.0)) * DAMP.get(k, 1.0)
-        negated = F.coalesce(F.array_contains(neg, prev), F.lit(False)) | prev.endswith("n't")
+        b = F.coalesce(_lookup(prev, boosters), F.lit(0.0)) * DAMP.get(k, 1.0)
+        negated = F.coalesce(prev.isin(*negations), F.lit(False)) | prev.endswith("n't")
         t = (t.withColumn("__b", F.when(cur < 0, -b).otherwise(b))
               .withColumn(f"__v{k}", F.when(eligible, F.when(negated, (cur + F.col("__b")) * NEGATION_SCALAR)
                                              .otherwise(cur + F.col("__b"))).otherwise(cur)))
     # Words outside the lexicon and booster words carry no valence of their own.
-    v = F.when(F.col("valence").isNull() | F.element_at(bmap, F.col("token")).isNotNull(),
+    v = F.when(F.col("valence").isNull() | _lookup(F.col("token"), boosters).isNotNull(),
                F.lit(0.0)).otherwise(F.col("__v3"))
     but = F.col("__but")
     t = t.withColumn("__v4", v)
