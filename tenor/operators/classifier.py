@@ -163,3 +163,32 @@ def predict_hybrid(base_model: MultiTaskModel, specialist: MultiTaskModel, df: D
     """M6: both models on the same input; irony and sentiment from the specialist."""
     check_label_lists(base_model.labels, specialist.labels)
     return hybrid_merge(predict(base_model, df, key), predict(specialist, df, key), key, base_model.labels)
+
+
+def save_model(model: MultiTaskModel, path: str) -> None:
+    """Persist to shared storage: feature pipeline, one folder per head, and a
+    one-row config (labels, thresholds, preprocessing, window policy)."""
+    import json
+
+    model.features.write().overwrite().save(f"{path}/features")
+    for i, m in enumerate(model.label_models):
+        m.write().overwrite().save(f"{path}/label_{i}")
+    model.sent_model.write().overwrite().save(f"{path}/sentiment")
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    cfg = {"label_names": model.labels, "thresholds": model.thresholds, **model.config}
+    s.createDataFrame([(json.dumps(cfg),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def load_model(path: str) -> MultiTaskModel:
+    import json
+
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    cfg = json.loads(s.read.text(f"{path}/config").first()["value"])
+    labels = cfg.pop("label_names")
+    thresholds = cfg.pop("thresholds")
+    feats = PipelineModel.load(f"{path}/features")
+    heads = [LogisticRegressionModel.load(f"{path}/label_{i}") for i in range(len(labels))]
+    sent = LogisticRegressionModel.load(f"{path}/sentiment")
+    return MultiTaskModel(feats, heads, sent, labels, thresholds, cfg)
