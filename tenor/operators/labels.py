@@ -78,8 +78,9 @@ def stratified_split(df: DataFrame, key: str = "comment_id", seed: int = SPLIT_S
 
 def test_subset(df: DataFrame, ids: DataFrame, key: str = "comment_id") -> DataFrame:
     """Rows whose id (as a string) is in ``ids``."""
+    from tenor.operators.joins import broadcast_bounded
     ids = ids.select(F.col(ids.columns[0]).cast("string").alias(key)).distinct()
-    return df.withColumn(key, F.col(key).cast("string")).join(ids, key, "left_semi")
+    return df.withColumn(key, F.col(key).cast("string")).join(broadcast_bounded(ids), key, "left_semi")
 
 
 def split_ids(df: DataFrame, name: str, key: str = "comment_id") -> DataFrame:

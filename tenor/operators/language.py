@@ -69,8 +69,11 @@ def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang", n: int
                    top_k: int = TOP_K) -> DataFrame:
     """(lang, gram, delta, floor): delta = log p(gram|lang) - floor, floor = log of
     the smoothed probability of an unseen gram."""
-    g = gram_rows(df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("__t")),
-                  ["lang"], "__t", n)
+    # Gram generation is the CPU-heavy step: spread the texts over the session's
+    # shuffle partitions first instead of inheriting the input's split layout.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("__t"))
+    g = gram_rows(texts.repartition(parts), ["lang"], "__t", n)
     counts = g.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
     top = first_n(counts, ["lang"], [F.col("c").desc(), F.col("gram")], top_k, salt_cols=["gram"])
     totals = top.groupBy("lang").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("v"))
@@ -83,20 +86,34 @@ def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang", n: int
 
 def identify(df: DataFrame, profiles: DataFrame, key: str = "comment_id", text: str = "text",
              n: int = GRAM, out: str = "pred_lang") -> DataFrame:
-    """Add ``out``: the most likely language, or null (tie / nothing matched)."""
+    """Add ``out``: the most likely language, or null (tie / nothing matched).
+
+    The profile is pivoted to one row per gram with one delta column per
+    language, so every gram occurrence is one row through the broadcast join
+    and the aggregate is per text only. The language list and the per-language
+    floors are read from the profile (one row per language, bounded)."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The profile is small (top_k rows per language): cache it, so reading its
+    # language list and broadcasting it do not train it twice.
+    profiles = profiles.persist()
+    floors = {r["lang"]: r["floor"] for r in profiles.groupBy("lang").agg(F.first("floor").alias("floor")).collect()}
+    langs = sorted(floors)
+    wide = profiles.groupBy("gram").pivot("lang", langs).agg(F.first("delta"))
+    wide = wide.select("gram", *[F.col(f"`{lang}`").alias(f"__d{i}") for i, lang in enumerate(langs)])
     base = df.repartition(parts, key)
     g = gram_rows(base.select(key, n_grams(text, n).alias("__n"), F.col(text).alias("__t")), [key, "__n"], "__t", n)
-    prof = F.broadcast(profiles.select("gram", "lang", "delta", "floor"))
-    scored = (g.join(prof, "gram")
-               .groupBy(key, "lang")
-               .agg((F.sum("delta") + F.max("__n") * F.max("floor")).alias("__ll")))
-    # Per text at most one row per profile language, so the list is bounded.
-    best = scored.groupBy(key).agg(F.max_by("lang", "__ll").alias("__lang"), F.max("__ll").alias("__max"),
-                                   F.collect_list("__ll").alias("__lls"))
-    at_top = F.size(F.filter("__lls", lambda x: x == F.col("__max")))
-    res = best.select(key, F.when(at_top == 1, F.col("__lang")).alias(out))
+    sums = (g.join(F.broadcast(wide), "gram")
+             .groupBy(key, "__n")
+             .agg(*[F.sum(f"__d{i}").alias(f"__s{i}") for i in range(len(langs))]))
+    # Log likelihood per language that matched at least one gram (null otherwise).
+    ll = [F.col(f"__s{i}") + F.col("__n") * F.lit(floors[lang]) for i, lang in enumerate(langs)]
+    best = F.greatest(*ll) if len(ll) > 1 else ll[0]
+    at_top = sum((F.coalesce((x == best).cast("int"), F.lit(0)) for x in ll), F.lit(0))
+    pick = F.lit(None).cast("string")
+    for x, lang in reversed(list(zip(ll, langs))):
+        pick = F.when(x == best, F.lit(lang)).otherwise(pick)
+    res = sums.select(key, F.when(at_top == 1, pick).alias(out))
     return base.join(res, key, "left")
 
 

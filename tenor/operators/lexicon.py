@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from tenor.functions.numeric import sentiment_label
 from tenor.functions.text import DISTRUST_TERMS, TRUST_TERMS, contains_any, tokens
+from tenor.operators.joins import broadcast_bounded, local_table
 from tenor.operators.ranking import first_n
 
 # ---------------------------------------------------------------------------
@@ -58,13 +59,13 @@ def _read_seed(name: str) -> list[dict]:
 
 def seed_valence(spark: SparkSession) -> DataFrame:
     rows = [(r["token"], float(r["valence"])) for r in _read_seed("valence_seed.csv")]
-    return spark.createDataFrame(rows, "token string, valence double")
+    return local_table(spark, rows, ["token", "valence"])
 
 
 def seed_polarity(spark: SparkSession) -> DataFrame:
     rows = [(r["token"], float(r["polarity"]), float(r["subjectivity"]), float(r["intensity"]))
             for r in _read_seed("polarity_seed.csv")]
-    return spark.createDataFrame(rows, "token string, polarity double, subjectivity double, intensity double")
+    return local_table(spark, rows, ["token", "polarity", "subjectivity", "intensity"])
 
 
 def seed_boosters() -> dict[str, float]:
@@ -76,10 +77,10 @@ def seed_negations() -> list[str]:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a lexicon-sized table. Lexicons are bounded word lists
-    (seed tables are built on the driver from < SEED_MAX_ROWS rows); a table that
-    is not small is still planned by size statistics and AQE's runtime check."""
-    return F.broadcast(df)
+    """Broadcast a lexicon only when its estimated size is bounded (seed tables
+    are local relations of a few hundred rows); a larger table is joined the
+    ordinary way."""
+    return broadcast_bounded(df)
 
 
 def _lookup(c: Column, d: dict[str, float]) -> Column:
@@ -94,13 +95,15 @@ def _lookup(c: Column, d: dict[str, float]) -> Column:
     return out if out is not None else F.lit(None).cast("double")
 
 
-def token_rows(df: DataFrame, key: str, text: str = "text", lookback: int = 3) -> DataFrame:
-    """One row per token: key, pos (0-based), tok (case kept), token (lower),
-    prev1..prevK (lower, null before the start). Empty texts keep one null row.
+def token_rows(df: DataFrame, key: str, text: str = "text", lookback: int = 3, carry=()) -> DataFrame:
+    """One row per token: key, *carry, pos (0-based), tok (case kept), token
+    (lower), prev1..prevK (lower, null before the start). Empty texts keep one
+    null row.
 
     The previous tokens are shifted copies of the token array (``slice`` +
     ``concat``) zipped with it, so the row is built in linear time and the
     tokenizer runs once per text."""
+    carry = list(carry)
     toks = F.col("__toks")
     low = F.col("__low")
     n = F.size(low)
@@ -108,37 +111,70 @@ def token_rows(df: DataFrame, key: str, text: str = "text", lookback: int = 3) -
                         F.slice(low, 1, F.greatest(n - k, F.lit(0)))).alias(f"prev{k}")
                for k in range(1, lookback + 1)]
     zipped = F.arrays_zip(toks.alias("tok"), low.alias("token"), *shifted)
-    return (df.select(key, tokens(text).alias("__toks"))
-              .select(key, "__toks", F.transform("__toks", lambda x: F.lower(x)).alias("__low"))
-              .select(key, F.posexplode_outer(zipped).alias("pos", "t"))
-              .select(key, "pos", "t.*"))
+    return (df.select(key, *carry, tokens(text).alias("__toks"))
+              .select(key, *carry, "__toks", F.transform("__toks", lambda x: F.lower(x)).alias("__low"))
+              .select(key, *carry, F.posexplode_outer(zipped).alias("pos", "t"))
+              .select(key, *carry, "pos", "t.*"))
 
 
 def _lex(lexicon: DataFrame, cols: list[str], prefix: str, on: str = "token") -> DataFrame:
     return small(lexicon.select(F.col("token").alias(on), *[F.col(c).alias(f"{prefix}{c}") for c in cols]))
 
 
+def _is_upper(x: Column) -> Column:
+    return (F.upper(x) == x) & (F.lower(x) != x)
+
+
+def _doc_facts(text: str) -> list[Column]:
+    """Per-text facts of the rule model, computed on the text row before exploding:
+    mixed case, position of the first 'but', punctuation emphasis."""
+    toks = tokens(text)
+    lower_toks = F.transform(toks, lambda x: F.lower(x))
+    txt = F.coalesce(F.col(text), F.lit(""))
+    n_excl = F.length(txt) - F.length(F.replace(txt, F.lit("!"), F.lit("")))
+    n_q = F.length(txt) - F.length(F.replace(txt, F.lit("?"), F.lit("")))
+    q_amp = F.when(n_q > 3, F.lit(QUESTION_BIG)).when(n_q > 1, n_q * QUESTION_STEP).otherwise(F.lit(0.0))
+    return [(F.exists(toks, _is_upper) & F.exists(toks, lambda x: ~_is_upper(x))).alias("__capdiff"),
+            (F.array_position(lower_toks, "but") - 1).alias("__but"),
+            (F.least(n_excl, F.lit(EXCLAIM_MAX)) * EXCLAIM_STEP + q_amp).alias("__amp")]
+
+
 def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: str = "comment_id",
           text: str = "text", rules: bool = False, boosters: dict | None = None,
-          negations: list[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """Add the six score columns (``SCORE_COLS``) to ``df`` (``key`` unique).
+          negations: list[str] | None = None, keep=None, partitions: int | None = None,
+          rebalance: bool = True) -> DataFrame:
+    """Six score columns (``SCORE_COLS``) per ``key`` (unique).
+
+    The rows are hash-partitioned by key once (``rebalance``; the count is the
+    session's shuffle partitions): tokenizing is the CPU-heavy step and must not
+    inherit a narrow upstream layout (one file split, or the few partitions of
+    a per-year cap). The per-key aggregate and the join back reuse that
+    partitioning, so they add no exchange. ``keep=None``: every column of
+    ``df`` is returned with the scores. ``keep=[cols]``: only key, those
+    columns (narrow: ids, years, flags) and the scores; the narrow columns ride
+    along as group keys, so there is no join back and nothing upstream runs
+    twice.
 
     ``rules=False``: valence is the plain lexicon sum (SQL-checkable);
-    ``rules=True``: boosters, ALL-CAPS emphasis, negation in the three
-    previous words, ``but`` clauses and ``!``/``?`` emphasis are applied.
-    Polarity/subjectivity: mean over matched words, scaled by a modifier
-    word before it and flipped by a negation before that (both modes).
-    """
+    ``rules=True``: boosters, ALL-CAPS emphasis, negation in the three previous
+    words, ``but`` clauses and ``!``/``?`` emphasis. Polarity/subjectivity:
+    mean over matched words, scaled by a modifier word before it and flipped by
+    a negation before that (both modes)."""
     boosters = boosters if boosters is not None else seed_boosters()
     negations = negations if negations is not None else seed_negations()
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = df.repartition(n, key)
-
-    t = token_rows(base, key, text)
+    join_back = keep is None
+    keep = [] if keep is None else list(keep)
+    if rebalance:
+        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, key)
+    facts = _doc_facts(text) if rules else []
+    pre = df.select(key, *keep, text, *facts)
+    fact_cols = ["__capdiff", "__but", "__amp"] if rules else []
+    t = token_rows(pre, key, text, carry=[*keep, *fact_cols])
     t = (t.join(_lex(valence_lex, ["valence"], "", "token"), "token", "left")
           .join(_lex(polarity_lex, ["polarity", "subjectivity", "intensity"], "", "token"), "token", "left")
           .join(_lex(polarity_lex, ["intensity"], "m1_", "prev1"), "prev1", "left"))
+
     def is_neg(c: str) -> Column:
         # isin over literals is planned as a hash-set lookup (InSet).
         return F.coalesce(F.col(c).isin(*negations), F.lit(False))
@@ -151,23 +187,21 @@ def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: s
     p = F.col("polarity") * mod1 * F.when(negated, F.lit(POLARITY_NEGATION)).otherwise(F.lit(1.0))
     s = F.least(F.col("subjectivity") * mod1, F.lit(1.0))
     t = t.withColumn("p", F.when(scored, p)).withColumn("s", F.when(scored, s))
-
-    if not rules:
-        t = t.withColumn("v", F.when(F.col("tok").isNotNull(), F.coalesce(F.col("valence"), F.lit(0.0))))
-        doc = None
+    if rules:
+        t = _valence_rules(t, valence_lex, boosters, negations)
     else:
-        t, doc = _valence_rules(t, base, key, text, valence_lex, boosters, negations)
+        t = t.withColumn("v", F.when(F.col("tok").isNotNull(), F.coalesce(F.col("valence"), F.lit(0.0))))
 
     v = F.col("v")
-    agg = t.groupBy(key).agg(
+    agg = t.groupBy(key, *keep).agg(
         F.sum(v).alias("__s"),
         F.sum(F.when(v > 0, v + 1.0).otherwise(0.0)).alias("__pos"),
         F.sum(F.when(v < 0, v - 1.0).otherwise(0.0)).alias("__neg"),
         F.count(F.when(v == 0, 1)).alias("__neu"),
         F.avg("p").alias("__p"), F.avg("s").alias("__subj"),
+        *([F.max("__amp").alias("__amp")] if rules else []),
     )
-    if doc is not None:
-        agg = agg.join(doc, key)
+    if rules:
         amp = F.col("__amp")
         ssum = (F.when(F.col("__s") > 0, F.col("__s") + amp)
                 .when(F.col("__s") < 0, F.col("__s") - amp).otherwise(F.col("__s")))
@@ -175,7 +209,7 @@ def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: s
         neg_sum = F.when(F.col("__pos") < -F.col("__neg"), F.col("__neg") - amp).otherwise(F.col("__neg"))
     else:
         ssum, pos_sum, neg_sum = F.col("__s"), F.col("__pos"), F.col("__neg")
-    agg = agg.select(key, ssum.alias("__s"), pos_sum.alias("__pos"), neg_sum.alias("__neg"),
+    agg = agg.select(key, *keep, ssum.alias("__s"), pos_sum.alias("__pos"), neg_sum.alias("__neg"),
                      "__neu", "__p", "__subj")
     total = F.col("__pos") - F.col("__neg") + F.col("__neu")
     share = lambda c: F.when(total > 0, F.abs(c) / total).otherwise(F.lit(0.0))
@@ -184,7 +218,7 @@ def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: s
     if rules:
         compound = F.least(F.greatest(compound, F.lit(-1.0)), F.lit(1.0))
     scores = agg.select(
-        key,
+        key, *keep,
         share(F.col("__neg")).alias("vader_neg"),
         share(F.col("__neu")).alias("vader_neu"),
         share(F.col("__pos")).alias("vader_pos"),
@@ -192,35 +226,18 @@ def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: s
         F.least(F.greatest(F.coalesce(F.col("__p"), F.lit(0.0)), F.lit(-1.0)), F.lit(1.0)).alias("tb_polarity"),
         F.least(F.greatest(F.coalesce(F.col("__subj"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("tb_subjectivity"),
     )
-    return base.join(scores, key, "left")
+    return df.join(scores, key, "left") if join_back else scores
 
 
-def _valence_rules(t: DataFrame, base: DataFrame, key: str, text: str, valence_lex: DataFrame,
-                   boosters: dict, negations: list[str]):
-    """Per-token valence with the published rules; returns (tokens, per-doc table)."""
-    # Document-level facts, computed on the text row (no extra pass over tokens).
-    toks = tokens(text)
-    lower_toks = F.transform(toks, lambda x: F.lower(x))
-    is_upper = lambda x: (F.upper(x) == x) & (F.lower(x) != x)
-    txt = F.coalesce(F.col(text), F.lit(""))
-    n_excl = F.length(txt) - F.length(F.replace(txt, F.lit("!"), F.lit("")))
-    n_q = F.length(txt) - F.length(F.replace(txt, F.lit("?"), F.lit("")))
-    q_amp = F.when(n_q > 3, F.lit(QUESTION_BIG)).when(n_q > 1, n_q * QUESTION_STEP).otherwise(F.lit(0.0))
-    doc = base.select(
-        key,
-        (F.exists(toks, is_upper) & F.exists(toks, lambda x: ~is_upper(x))).alias("__capdiff"),
-        (F.array_position(lower_toks, "but") - 1).alias("__but"),
-        (F.least(n_excl, F.lit(EXCLAIM_MAX)) * EXCLAIM_STEP + q_amp).alias("__amp"),
-    )
-    t = t.join(doc.select(key, "__capdiff", "__but"), key)
+def _valence_rules(t: DataFrame, valence_lex: DataFrame, boosters: dict, negations: list[str]) -> DataFrame:
+    """Per-token valence with the published rules (uses the carried text facts)."""
     for k in (1, 2, 3):
         t = t.join(_lex(valence_lex, ["valence"], f"l{k}_", f"prev{k}"), f"prev{k}", "left")
-    # Original-case previous tokens are needed for booster emphasis.
     capdiff = F.col("__capdiff")
     tok = F.col("tok")
     v = F.col("valence")
     # Each step is its own column so that no step's expression is inlined twice.
-    t = t.withColumn("__v0", F.when(is_upper(tok) & capdiff,
+    t = t.withColumn("__v0", F.when(_is_upper(tok) & capdiff,
                                     F.when(v > 0, v + CAPS_BOOST).otherwise(v - CAPS_BOOST)).otherwise(v))
     for k in (1, 2, 3):
         prev, cur = F.col(f"prev{k}"), F.col(f"__v{k - 1}")
@@ -231,15 +248,12 @@ def _valence_rules(t: DataFrame, base: DataFrame, key: str, text: str, valence_l
               .withColumn(f"__v{k}", F.when(eligible, F.when(negated, (cur + F.col("__b")) * NEGATION_SCALAR)
                                              .otherwise(cur + F.col("__b"))).otherwise(cur)))
     # Words outside the lexicon and booster words carry no valence of their own.
-    v = F.when(F.col("valence").isNull() | _lookup(F.col("token"), boosters).isNotNull(),
-               F.lit(0.0)).otherwise(F.col("__v3"))
-    but = F.col("__but")
-    t = t.withColumn("__v4", v)
-    v = F.col("__v4")
+    t = t.withColumn("__v4", F.when(F.col("valence").isNull() | _lookup(F.col("token"), boosters).isNotNull(),
+                                    F.lit(0.0)).otherwise(F.col("__v3")))
+    v, but = F.col("__v4"), F.col("__but")
     v = (F.when(but < 0, v).when(F.col("pos") < but, v * BUT_BEFORE)
          .when(F.col("pos") > but, v * BUT_AFTER).otherwise(v))
-    t = t.withColumn("v", F.when(tok.isNotNull(), v))
-    return t, doc.select(key, "__amp")
+    return t.withColumn("v", F.when(tok.isNotNull(), v))
 
 
 def add_flags(df: DataFrame, text: str = "text", distrust=DISTRUST_TERMS, trust=TRUST_TERMS) -> DataFrame:
@@ -251,9 +265,15 @@ def add_flags(df: DataFrame, text: str = "text", distrust=DISTRUST_TERMS, trust=
 
 
 def analyze(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: str = "comment_id",
-            text: str = "text", rules: bool = False, **kw) -> DataFrame:
-    """M1 + M2 + P9 + P11: scores, lowered text and flags (also used for removed rows, M7)."""
-    return add_flags(score(df, valence_lex, polarity_lex, key, text, rules, **kw), text)
+            text: str = "text", rules: bool = False, keep=None, **kw) -> DataFrame:
+    """M1 + M2 + P9 + P11: scores, lowered text and flags (also used for removed rows, M7).
+
+    With ``keep`` only key, ``keep``, the flags and the scores come back (see :func:`score`)."""
+    if keep is None:
+        return add_flags(score(df, valence_lex, polarity_lex, key, text, rules, **kw), text)
+    flagged = add_flags(df, text)
+    return score(flagged, valence_lex, polarity_lex, key, text, rules,
+                 keep=[*keep, "is_distrust", "is_trust"], **kw)
 
 
 def label_sentiment(df: DataFrame) -> DataFrame:

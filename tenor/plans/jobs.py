@@ -117,7 +117,7 @@ def lexicon_job(spark: SparkSession, patterns, out: str, valence_lex: DataFrame
     comments = rd.read_comments(spark, patterns)
     kept, removed = tx.split_letters(comments)
     sk.write_ndjson_by_year(lx.analyze(removed, valence_lex, polarity_lex, rules=rules), f"{out}/removed_comments")
-    capped = lx.cap_per_year(kept, max_per_year)
+    capped = stage(lx.cap_per_year(kept, max_per_year), "capped")
     scored = stage(lx.analyze(capped, valence_lex, polarity_lex, rules=rules), "scored")
     sk.write_csv(scored, f"{out}/comments_sentiment_analysis")
     sk.write_ndjson_by_year(lx.review_sample(scored, sample_n, seed), f"{out}/samples")

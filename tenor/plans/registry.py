@@ -111,7 +111,8 @@ def q_keyword_flags_frequent(spark, sf_dir):
 
 
 def _scored_comments(spark, sf_dir, rules=False):
-    return lx.score(V.comments(spark, sf_dir), lx.seed_valence(spark), lx.seed_polarity(spark), rules=rules)
+    return lx.score(V.comments(spark, sf_dir), lx.seed_valence(spark), lx.seed_polarity(spark), rules=rules,
+                    keep=[])
 
 
 VADER = ["vader_neg", "vader_neu", "vader_pos", "vader_compound"]
@@ -168,7 +169,7 @@ def lexicon_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: raw comments -> letter filter -> yearly cap -> scores + flags ->
     label -> per-year summary (the lexicon job end to end)."""
     capped = _capped(spark, sf_dir)
-    scored = lx.analyze(capped, lx.seed_valence(spark), lx.seed_polarity(spark))
+    scored = lx.analyze(capped, lx.seed_valence(spark), lx.seed_polarity(spark), keep=["year"])
     summary = lx.yearly_summary(lx.label_sentiment(scored))
     return summary.select("year", "count", "pos_count", "neu_count", "neg_count", "distrust_count",
                           "trust_count", *r6(SUMMARY_COLS))
@@ -219,7 +220,7 @@ SQL_REMOVED = (V.with_views("raw_comments")
           + f" SELECT comment_id, year, {r6_sql(lx.SCORE_COLS)}, is_distrust, is_trust FROM flagged")
 def q_removed_scored(spark, sf_dir):
     _, removed = _kept_removed(spark, sf_dir)
-    df = lx.analyze(removed, lx.seed_valence(spark), lx.seed_polarity(spark))
+    df = lx.analyze(removed, lx.seed_valence(spark), lx.seed_polarity(spark), keep=["year"])
     return df.select("comment_id", "year", *r6(lx.SCORE_COLS), "is_distrust", "is_trust")
 
 
@@ -526,7 +527,8 @@ def q_public_view(spark, sf_dir):
 def _windows_input(spark, sf_dir):
     c = V.comments(spark, sf_dir)
     v = V.videos(spark, sf_dir).select("video_id", F.col("title").alias("video_title"))
-    return tx.add_text_proc(c.join(v, "video_id", "left"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return tx.add_text_proc(c.join(v, "video_id", "left")).repartition(parts, "comment_id")
 
 
 WIDTH, STEP = md.window_shape()
