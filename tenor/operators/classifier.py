@@ -35,8 +35,9 @@ from tenor.schemas import LABELS, PREDICTION_COLS
 
 PRESETS = {"base": {"bigrams": False}, "specialist": {"bigrams": True}}
 NUM_FEATURES = 1 << 16
-# Independent fits run as concurrent Spark jobs (as CrossValidator's parallelism).
-FIT_PARALLELISM = 4
+# Independent fits run as concurrent Spark jobs (as CrossValidator's parallelism):
+# one per head (ten labels + sentiment), at most this many.
+FIT_PARALLELISM = 16
 # Rows per partition of the cached training set: every optimizer iteration is a
 # job over all its partitions, so a small labelled set should not be spread thin.
 ROWS_PER_FIT_PARTITION = 20_000
@@ -102,7 +103,7 @@ def fit(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labe
             LogisticRegression(featuresCol="features", labelCol="sent_class", weightCol="__ws",
                                maxIter=max_iter, regParam=reg_param, family="multinomial",
                                probabilityCol="__sprob", rawPredictionCol="__sraw", predictionCol="__spred"))
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(estimators)))) as pool:
             fitted = list(pool.map(lambda est: est.fit(train), estimators))
         models, sent = fitted[:-1], fitted[-1]
     finally:

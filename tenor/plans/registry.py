@@ -765,13 +765,39 @@ def _identified(spark, sf_dir):
     return lg.identify(docs, lg.train_profiles(docs))
 
 
-@register("language_id")
+LANG_SQL = V.with_views("comments") + f""",
+pad AS (SELECT comment_id, lang, ' ' || regexp_replace(lower(COALESCE(text, '')), {sg.q(SPACE + '+')}, ' ', 'g') || ' ' AS t
+        FROM comments),
+g AS (SELECT p.comment_id, p.lang, substr(p.t, r.i, 3) AS gram FROM pad p, range(1, length(p.t) - 1) r(i)),
+gw AS (SELECT * FROM g WHERE substr(gram, 2, 1) <> ' '),
+cnt AS (SELECT lang, gram, count(*) AS c FROM gw WHERE lang IS NOT NULL GROUP BY lang, gram),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) AS rn FROM cnt)
+        WHERE rn <= {lg.TOP_K}),
+tot AS (SELECT lang, sum(c) AS total, count(*) AS v FROM top GROUP BY lang),
+prof AS (SELECT t.lang, t.gram,
+                ln(t.c + 1.0) - ln(tot.total + tot.v + 1.0) - (-ln(tot.total + tot.v + 1.0)) AS delta,
+                -ln(tot.total + tot.v + 1.0) AS floor
+         FROM top t JOIN tot ON tot.lang = t.lang),
+nn AS (SELECT comment_id, greatest(length(t) - 2, 0)
+              - (length(substr(t, 2, length(t) - 2)) - length(replace(substr(t, 2, length(t) - 2), ' ', ''))) AS n
+       FROM pad),
+ll AS (SELECT gw.comment_id, prof.lang, sum(prof.delta) + max(nn.n) * max(prof.floor) AS ll
+       FROM gw JOIN prof ON prof.gram = gw.gram JOIN nn ON nn.comment_id = gw.comment_id
+       GROUP BY gw.comment_id, prof.lang),
+best AS (SELECT comment_id, max(ll) AS m FROM ll GROUP BY comment_id),
+pick AS (SELECT ll.comment_id, CASE WHEN count(*) = 1 THEN min(ll.lang) END AS pred_lang
+         FROM ll JOIN best ON best.comment_id = ll.comment_id AND ll.ll = best.m GROUP BY ll.comment_id)"""
+
+
+@register("language_id", LANG_SQL + " SELECT c.comment_id, c.lang, p.pred_lang FROM comments c"
+          " LEFT JOIN pick p ON p.comment_id = c.comment_id")
 def q_language_id(spark, sf_dir):
     """M3: char-trigram profiles trained on the labelled languages, scored per text; rows-only."""
     return _identified(spark, sf_dir).select("comment_id", "lang", "pred_lang")
 
 
-@register("english_only")
+@register("english_only", LANG_SQL + " SELECT c.comment_id, c.year, p.pred_lang FROM comments c"
+          " LEFT JOIN pick p ON p.comment_id = c.comment_id WHERE COALESCE(p.pred_lang, 'en') = 'en'")
 def q_english_only(spark, sf_dir):
     """P4 over M3's output: keep English, keep unknown (fails open); rows-only."""
     return lg.english_only(_identified(spark, sf_dir)).select("comment_id", "year", "pred_lang")
