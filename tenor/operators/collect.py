@@ -180,7 +180,10 @@ def collect_comments(comments: DataFrame, sampled: DataFrame, english: str | Non
 
     ``comments``: (year, video_id, page, pos, comment_id, published_at, text[, lang]);
     ``sampled``: (year, video_id, video_rank)."""
-    c = comments.join(sampled.select("year", "video_id", "video_rank"), ["year", "video_id"])
+    from tenor.operators.joins import broadcast_bounded
+    # The sampled videos are at most target x years rows; AQE broadcasts them at
+    # run time when no size can be proven at plan time.
+    c = comments.join(broadcast_bounded(sampled.select("year", "video_id", "video_rank")), ["year", "video_id"])
     c = c.filter(in_year("published_at", "year"))
     order = [F.col("video_rank"), F.col("page"), F.col("pos")]
     c = first_per_key(c, ["year", "comment_id"], order, salt_cols=["video_id", "page", "pos"])

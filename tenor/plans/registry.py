@@ -130,11 +130,11 @@ def q_polarity_scores(spark, sf_dir):
     return _scored_comments(spark, sf_dir).select("comment_id", *r6(TB))
 
 
-@register("valence_rules")
+@register("valence_rules", V.with_views("comments") + "," + sg.rules_ctes("rules", "comments")
+          + f" SELECT comment_id, {r6_sql(VADER)} FROM rules")
 def q_valence_rules(spark, sf_dir):
-    """M1 with all rules (boosters, caps, negation, but, punctuation); rows-only."""
-    return _scored_comments(spark, sf_dir, rules=True).select(
-        "comment_id", *[F.round(c, 4 if c == "vader_compound" else 3).alias(c) for c in VADER])
+    """M1 with all rules (boosters, caps, negation, but, punctuation)."""
+    return _scored_comments(spark, sf_dir, rules=True).select("comment_id", *r6(VADER))
 
 
 SENT_LABEL_SQL = ("CASE WHEN vader_compound >= 0.05 THEN 'positive' "
