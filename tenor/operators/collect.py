@@ -131,7 +131,8 @@ def rank_candidates(hw: DataFrame, terms, variant: str = "general", target: int
         pages_target = -(-target // page_size) * page_size
         n1 = (ranked.filter((F.col("ord_no") == 0) & (F.col("rank") <= pages_target))
                     .groupBy(*wkey).agg(F.count(F.lit(1)).alias("__n1")))
-        ranked = ranked.join(n1, wkey, "left").fillna(0, ["__n1"])
+        # One row per window (the tree is bounded), so the counts are broadcast.
+        ranked = ranked.join(F.broadcast(n1), wkey, "left").fillna(0, ["__n1"])
         need = F.ceil((F.lit(target) - F.col("__n1")) / F.lit(page_size)) * page_size
         keep = (((F.col("ord_no") == 0) & (F.col("rank") <= pages_target))
                 | ((F.col("ord_no") == 1) & (F.col("__n1") < target) & (F.col("rank") <= need)))
