@@ -140,11 +140,13 @@ def tune_thresholds(df: DataFrame, labels=LABELS, prob_suffix: str = "_ft_prob",
     cand = cum.filter(F.col("k") >= 1).select(
         "label_no", "label", F.element_at(g, F.col("k").cast("int")).alias("t"),
         _ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("npos")).alias("f1"))
-    best = cand.groupBy("label_no", "label").agg(
-        F.max_by("t", F.struct(F.col("f1"), -F.col("t"))).alias("t"), F.max("f1").alias("best_f1"))
+    # At most labels x grid rows: a window over this tiny table picks the best F1,
+    # lowest threshold on ties.
+    pick = Window.partitionBy("label_no").orderBy(F.col("f1").desc(), F.col("t").asc())
+    best = cand.withColumn("__r", F.row_number().over(pick)).filter(F.col("__r") == 1)
     return best.select("label_no", "label",
-                       F.when(F.col("best_f1") > 0, F.col("t")).otherwise(F.lit(DEFAULT_THRESHOLD)).alias("threshold"),
-                       "best_f1")
+                       F.when(F.col("f1") > 0, F.col("t")).otherwise(F.lit(DEFAULT_THRESHOLD)).alias("threshold"),
+                       F.col("f1").alias("best_f1"))
 
 
 def multitask_loss(df: DataFrame, labels=LABELS, logit_suffix: str = "_logit",

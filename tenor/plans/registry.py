@@ -193,8 +193,13 @@ def _terms(df, terms, list_name):
 @register("term_counts", SQL_FLAGGED + " " + _term_sql(DISTRUST_TERMS, "distrust")
           + " UNION ALL " + _term_sql(TRUST_TERMS, "trust"))
 def q_term_counts(spark, sf_dir):
+    # Both lists in one aggregate (one pass over the capped comments).
     df = lx.add_flags(_capped(spark, sf_dir))
-    return _terms(df, DISTRUST_TERMS, "distrust").unionByName(_terms(df, TRUST_TERMS, "trust"))
+    n = len(DISTRUST_TERMS)
+    both = tx.term_counts(df, DISTRUST_TERMS + TRUST_TERMS)
+    first = F.col("term_no") < n
+    return both.select(F.when(first, F.col("term_no")).otherwise(F.col("term_no") - n).alias("term_no"),
+                       "term", "count", F.when(first, "distrust").otherwise("trust").alias("list"))
 
 
 @register("term_counts_frequent", SQL_FLAGGED + " " + _term_sql(FREQUENT_TERMS, "frequent"))
