@@ -259,10 +259,10 @@ def landed_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_pairs(landed: DataFrame) -> DataFrame:
-    """Every (year, video) of the landed comments, ranked by video id inside the year."""
-    from pyspark.sql import Window
+    """Every (year, video) of the landed comments; the sample order of a video is
+    the number in its id (``srcN`` -> N), so no ranking window is needed."""
     pairs = landed.select("year", "video_id").distinct()
-    return pairs.withColumn("video_rank", F.row_number().over(Window.partitionBy("year").orderBy("video_id")))
+    return pairs.withColumn("video_rank", F.expr("CAST(substring(video_id, 4) AS INT)"))
 
 
 def event_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +286,7 @@ SQL_VIEWS["landed"] = (["comments"], """
         SELECT substr(md5(text), 1, 16) AS comment_id, video_id, year, page, pos, published_at, text, lang
         FROM comments""")
 SQL_VIEWS["sampled"] = (["landed"], """
-        SELECT year, video_id, row_number() OVER (PARTITION BY year ORDER BY video_id) AS video_rank
+        SELECT year, video_id, CAST(substring(video_id, 4) AS INTEGER) AS video_rank
         FROM (SELECT DISTINCT year, video_id FROM landed)""")
 SQL_VIEWS["hits"] = ([], """
         SELECT CAST(event_id AS VARCHAR) AS video_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, value AS views,
