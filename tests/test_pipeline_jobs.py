@@ -45,3 +45,34 @@ def test_train_predict_merge_evaluate(spark, tmp):
     assert 0.0 <= m.ml_f1_micro <= 1.0 and m.num_test_rows > 0
     assert spark.read.text(os.path.join(tmp, "run", "label_config")).count() == 1
     assert gold.select(F.lit(1)).count() > 0
+
+
+def test_collect_job_from_landed_pages(spark, tmp):
+    from tenor.schemas import COMMENT_PAGE, SEARCH_PAGE, VIDEO_PAGE
+    vids = [("v1", "News one", "", "chan", "2015-01-03T00:00:00Z", 10.0),
+            ("v2", "Song lyrics", "", "chan", "2015-01-04T00:00:00Z", 50.0),     # music: excluded
+            ("v3", "News three", None, "AVEVO", "2015-01-05T00:00:00Z", 5.0),   # vevo channel: excluded
+            ("v4", "News four", "", "chan", "2015-01-06T00:00:00Z", 1.0)]
+    search = spark.createDataFrame(
+        [(2015, "2015-01-01T00:00:00Z", "2015-01-21T00:00:00Z", "news", "viewCount", 0,
+          [{"id": {"videoId": v}, "statistics": {"viewCount": views}, "snippet": {"publishedAt": pub}}
+           for v, _, _, _, pub, views in vids])], SEARCH_PAGE)
+    video_pages = spark.createDataFrame(
+        [([{"id": v, "snippet": {"title": t, "description": d, "channelTitle": c, "publishedAt": p}}
+           for v, t, d, c, p, _ in vids],)], VIDEO_PAGE)
+
+    def item(cid, pub, text):
+        return {"snippet": {"topLevelComment": {"id": cid, "snippet": {"publishedAt": pub, "textDisplay": text}}}}
+    comment_pages = spark.createDataFrame(
+        [("v1", 0, [item("c1", "2015-02-01T00:00:00Z", "hello"), item("c2", "2016-01-01T00:00:00Z", "late"),
+                    item("c3", "2015-02-02T00:00:00Z", "again")]),
+         ("v4", 0, [item("c1", "2015-02-01T00:00:00Z", "hello"), item("c4", None, "no date")]),
+         ("v2", 0, [item("c5", "2015-02-01T00:00:00Z", "music")])], COMMENT_PAGE)
+    out = os.path.join(tmp, "collect")
+    summary = jobs.collect_job(spark, search, video_pages, comment_pages,
+                               [(2015, "2015-01-01T00:00:00Z", "2015-01-21T00:00:00Z")], ["news"], out)
+    s = summary.collect()[0]
+    assert (s.year, s.videos, s.comments) == (2015, 2, 2)
+    got = spark.read.json(os.path.join(out, "comments")).collect()
+    assert sorted((r.comment_id, r.video_id, r.video_title) for r in got) == [
+        ("c1", "v1", "News one"), ("c3", "v1", "News one")]
