@@ -545,7 +545,7 @@ WIN_SQL = (V.with_views("comments", "videos")
            + f" list_slice(w, r.i * {STEP} + 1, r.i * {STEP} + {WIDTH}) AS tokens FROM tk, range(k) r(i))")
 
 
-@register("token_windows", WIN_SQL + " SELECT comment_id, n_windows, window_no, len(tokens) AS n_tokens,"
+@register("token_windows", WIN_SQL + " SELECT comment_id, n_windows, window_no, CAST(len(tokens) AS INTEGER) AS n_tokens,"
           + " array_to_string(tokens, ' ') AS window_text FROM win")
 def q_token_windows(spark, sf_dir):
     w = md.token_windows(_windows_input(spark, sf_dir))
@@ -723,19 +723,22 @@ fin AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY start_s, level,
 
 
 @register("window_fill", _fill_sql("general")
-          + f" SELECT year, video_rank, video_id, level, window_start FROM fin WHERE video_rank <= {co.VIDEO_SAMPLE_SIZE}")
+          + " SELECT year, CAST(video_rank AS INTEGER) AS video_rank, video_id, level, window_start FROM fin"
+          + f" WHERE video_rank <= {co.VIDEO_SAMPLE_SIZE}")
 def q_window_fill(spark, sf_dir):
     return co.window_fill(V.event_hits(spark, sf_dir), V.event_videos(spark, sf_dir), FILL_BOUNDS, GENERAL_TERMS)
 
 
 @register("window_fill_early", _fill_sql("early")
-          + f" SELECT year, video_rank, video_id, level, window_start FROM fin WHERE video_rank <= {co.VIDEO_SAMPLE_SIZE_EARLY}")
+          + " SELECT year, CAST(video_rank AS INTEGER) AS video_rank, video_id, level, window_start FROM fin"
+          + f" WHERE video_rank <= {co.VIDEO_SAMPLE_SIZE_EARLY}")
 def q_window_fill_early(spark, sf_dir):
     return co.window_fill(V.event_hits(spark, sf_dir), V.event_videos(spark, sf_dir), FILL_BOUNDS, EARLY_TERMS,
                           variant="early")
 
 
-@register("candidate_rank", _fill_sql("early") + " SELECT year, level, idx, term_no, ord_no, rank, video_id FROM k")
+@register("candidate_rank", _fill_sql("early")
+          + " SELECT year, level, idx, term_no, ord_no, CAST(rank AS INTEGER) AS rank, video_id FROM k")
 def q_candidate_rank(spark, sf_dir):
     tree = co.window_tree(FILL_BOUNDS)
     wins = spark.createDataFrame(
