@@ -19,10 +19,8 @@ def read_comments(spark: SparkSession, patterns, schema: T.StructType = COMMENT)
     df = spark.read.schema(schema).json(patterns)
     path = F.col("_metadata.file_path")
     year = F.regexp_extract(path, YEAR_FROM_FILE, 1)
-    df = df.withColumn("__file", path).withColumn(
-        "year", F.when(year != "", year.cast("int")).otherwise(
-            F.raise_error(F.concat(F.lit("no year in file name: "), path))))
-    return df.drop("__file")
+    return df.withColumn("year", F.when(year != "", year.cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("no year in file name: "), path))))
 
 
 def read_labelled_csv(spark: SparkSession, path, schema: T.StructType | None = LABELLED) -> DataFrame:

@@ -134,3 +134,21 @@ def test_attach_video_defaults(spark):
     v = spark.createDataFrame([("A", "T", "2011-01-01T00:00:00Z")], "video_id string, title string, published_at string")
     got = {r.comment_id: (r.video_title, r.video_published_at) for r in co.attach_video(c, v).collect()}
     assert got == {"1": ("T", "2011-01-01T00:00:00Z"), "2": ("", "")}
+
+
+def test_year_filter_edges(spark):
+    from tenor.functions.time import in_year
+    rows = [("2010-12-31T23:59:59Z", 2010), ("2011-01-01T00:00:00Z", 2010), (None, 2010), ("", 2010),
+            ("2011-01-01T00:00:00Z", 2011)]
+    df = spark.createDataFrame(rows, "published_at string, year int")
+    got = [r.ok for r in df.select(in_year("published_at", "year").alias("ok")).collect()]
+    assert got == [True, False, False, False, True]
+
+
+def test_year_bounds_columns(spark):
+    from tenor.functions.time import year_bounds
+    df = spark.createDataFrame([(2010,), (2024,)], "year int")
+    s, e = year_bounds("year", "2024-06-30T12:00:00Z")
+    got = [tuple(r) for r in df.select("year", s, e).orderBy("year").collect()]
+    assert got == [(2010, "2010-01-01T00:00:00Z", "2010-12-31T23:59:59Z"),
+                   (2024, "2024-01-01T00:00:00Z", "2024-06-30T12:00:00Z")]
