@@ -11,12 +11,31 @@ from tenor.schemas import COMMENT, LABEL_CONFIG, LABELLED
 YEAR_FROM_FILE = r"comments_(\d{4})\.ndjson"
 
 
+def expand_globs(spark: SparkSession, patterns) -> list[str]:
+    """The union of the files matched by the patterns, duplicates removed,
+    sorted. Only file names are listed (on the driver, through the Hadoop file
+    system, as Spark's own file index does)."""
+    patterns = [patterns] if isinstance(patterns, str) else list(patterns)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = set()
+    for pat in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(pat)
+        statuses = path.getFileSystem(conf).globStatus(path)
+        for st in statuses or []:
+            if st.isFile():
+                found.add(st.getPath().toString())
+    return sorted(found)
+
+
 def read_comments(spark: SparkSession, patterns, schema: T.StructType = COMMENT) -> DataFrame:
     """S1 + U1: NDJSON comment files over many glob patterns, one JSON object per
-    line, ``year`` from the file name. A file set matched twice is read once. A
-    matching file without a four-digit year in its name fails the job."""
-    patterns = [patterns] if isinstance(patterns, str) else list(dict.fromkeys(patterns))
-    df = spark.read.schema(schema).json(patterns)
+    line, ``year`` from the file name. A file matched by several patterns is read
+    once. A matching file without a four-digit year in its name fails the job."""
+    files = expand_globs(spark, patterns)
+    if not files:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("year", T.IntegerType())]))
+    df = spark.read.schema(schema).json(files)
     path = F.col("_metadata.file_path")
     year = F.regexp_extract(path, YEAR_FROM_FILE, 1)
     return df.withColumn("year", F.when(year != "", year.cast("int")).otherwise(

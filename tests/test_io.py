@@ -97,3 +97,10 @@ def test_page_flattening(spark):
                                "term string, ord string, page int, items array<struct<id:struct<videoId:string>>>")
     assert [r.video_id for r in pg.flatten_search_pages(sp).orderBy("pos").collect()] == ["x", "y"]
     assert sp.select(F.lit(1)).count() == 1
+
+
+def test_overlapping_patterns_read_a_file_once(spark, tmp):
+    _ndjson(os.path.join(tmp, "comments_2012.ndjson"), [{"comment_id": "z"}])
+    df = rd.read_comments(spark, [os.path.join(tmp, "comments_*.ndjson"), os.path.join(tmp, "comments_2012.ndjson")])
+    assert [(r.comment_id, r.year) for r in df.collect()] == [("z", 2012)]
+    assert rd.read_comments(spark, os.path.join(tmp, "nothing_*.ndjson")).count() == 0
