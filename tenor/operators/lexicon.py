@@ -24,7 +24,6 @@ from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tenor.functions.numeric import sentiment_label
 from tenor.functions.text import DISTRUST_TERMS, TRUST_TERMS, contains_any, tokens
