@@ -195,9 +195,14 @@ def collect_comments(comments: DataFrame, sampled: DataFrame, english: str | Non
 
 
 def attach_video(comments: DataFrame, videos: DataFrame) -> DataFrame:
-    """Add video_title and video_published_at (default '')."""
+    """Add video_title and video_published_at (default '').
+
+    One metadata row per video: broadcast when its size is provably small, so a
+    video holding a large share of the comments does not make a skewed
+    shuffle; otherwise AQE's skew-join handling splits the hot key."""
+    from tenor.operators.joins import broadcast_bounded
     v = videos.select("video_id", F.col("title").alias("__t"), F.col("published_at").alias("__p"))
-    return (comments.join(v, "video_id", "left")
+    return (comments.join(broadcast_bounded(v), "video_id", "left")
                     .withColumn("video_title", F.coalesce(F.col("__t"), F.lit("")))
                     .withColumn("video_published_at", F.coalesce(F.col("__p"), F.lit("")))
                     .drop("__t", "__p"))
