@@ -83,7 +83,8 @@ def fit(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labe
     config = {"preset": preset, "max_length": MAX_LENGTH, "stride_frac": STRIDE_FRAC, "slide": True,
               "use_title_prefix": True, "clean_like_old": True, **(config or {})}
     keep = [*labels, "sent_class"]
-    w = _windows(labelled, key, keep, config).withColumn("__w", 1.0 / F.col("n_windows"))
+    # The windows feed both the IDF fit and the staged features: compute them once.
+    w = _windows(labelled, key, keep, config).withColumn("__w", 1.0 / F.col("n_windows")).persist()
     feats = featurizer(preset).fit(w)
     train = feats.transform(w).select("features", "__w", *[F.col(c).cast("double").alias(c) for c in keep])
     train = train.withColumn("__ws", F.col("__w") * (1.0 + irony_extra * F.col("irony")))
@@ -93,6 +94,7 @@ def fit(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labe
     train = staged.coalesce(parts).persist()
     train.count()
     staged.unpersist()
+    w.unpersist()
     try:
         estimators = [
             LogisticRegression(featuresCol="features", labelCol=name, weightCol="__w", maxIter=max_iter,
