@@ -44,3 +44,17 @@ def yearly_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("year").agg(F.count(F.lit(1)).alias("comments"),
                                       F.count_if("is_distrust").alias("distrust_count"),
                                       F.count_if("is_trust").alias("trust_count"))
+
+
+def start_ingest(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint: str,
+                 available_now: bool = False, watermark: str = DEDUP_WATERMARK):
+    """Run the ingest into per-year NDJSON files (the streaming form of K1).
+
+    The file sink with a checkpoint on shared storage is exactly-once: a
+    restarted or retried batch does not duplicate rows. ``available_now``
+    processes what has landed and stops (backfills, tests)."""
+    rows = comment_stream(spark, landing_dir, watermark=watermark).drop("event_ts")
+    w = (rows.writeStream.format("json").option("path", out_dir).option("checkpointLocation", checkpoint)
+             .option("ignoreNullFields", False).partitionBy("year").outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()

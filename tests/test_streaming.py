@@ -23,3 +23,19 @@ def test_stream_dedups_filters_and_counts(spark, tmp):
         q.stop()
     r = spark.sql("SELECT * FROM tenor_counts").collect()
     assert [(x.year, x.comments, x.distrust_count, x.trust_count) for x in r] == [(2010, 2, 1, 1)]
+
+
+def test_ingest_writes_per_year_files_once(spark, tmp):
+    from tenor.streaming.ingest import start_ingest
+    land = os.path.join(tmp, "land2")
+    os.makedirs(land)
+    rows = [{"comment_id": "a", "text": "hello", "published_at": "2011-03-01T00:00:00Z"},
+            {"comment_id": "a", "text": "hello", "published_at": "2011-03-01T00:00:00Z"},
+            {"comment_id": "b", "text": "!!", "published_at": "2011-03-02T00:00:00Z"}]
+    with open(os.path.join(land, "comments_2011.ndjson"), "w") as fh:
+        fh.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    out, ckpt = os.path.join(tmp, "out"), os.path.join(tmp, "ckpt2")
+    start_ingest(spark, land, out, ckpt, available_now=True).awaitTermination(120)
+    start_ingest(spark, land, out, ckpt, available_now=True).awaitTermination(120)   # rerun: nothing new
+    got = spark.read.json(out).collect()
+    assert [(r.comment_id, r.year, r.is_trust) for r in got] == [("a", 2011, False)]
