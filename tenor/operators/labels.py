@@ -90,3 +90,16 @@ def split_ids(df: DataFrame, name: str, key: str = "comment_id") -> DataFrame:
 
 def any_positive(labels=LABELS):
     return reduce(lambda a, b: a | b, [F.col(c) > 0 for c in labels])
+
+
+def ensure_id(df: DataFrame, key: str = "comment_id", fallback: str = "_row_id") -> tuple[DataFrame, str]:
+    """D3: use ``key`` when present; otherwise (opt-in, for small files read in
+    order) number the rows 0..n-1 in file order as strings, the row index the
+    reference falls back to. Numbering is distributed (``zipWithIndex`` counts
+    each partition, then offsets them); nothing passes through the driver."""
+    if key in df.columns:
+        return df.withColumn(key, F.col(key).cast("string")), key
+    from pyspark.sql import types as T
+    schema = T.StructType([*df.schema.fields, T.StructField(fallback, T.LongType(), False)])
+    numbered = df.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1])).toDF(schema)
+    return numbered.withColumn(fallback, F.col(fallback).cast("string")), fallback

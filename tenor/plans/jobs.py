@@ -174,9 +174,11 @@ def predict_job(spark: SparkSession, model_dir: str, input_csv: str, output_csv:
 def hybrid_job(spark: SparkSession, base_csv: str, irony_csv: str, out_csv: str) -> None:
     """J2/J3 on two prediction files -> K2 + provenance."""
     tune(spark)
-    base = rd.read_labelled_csv(spark, base_csv, schema=None)
-    irony = rd.read_labelled_csv(spark, irony_csv, schema=None)
-    sk.write_csv(hybrid_merge(base, irony), out_csv)
+    base, key = lb.ensure_id(rd.read_labelled_csv(spark, base_csv, schema=None))
+    irony, key2 = lb.ensure_id(rd.read_labelled_csv(spark, irony_csv, schema=None))
+    if key != key2:
+        raise ValueError("both prediction files need the id column, or neither")
+    sk.write_csv(hybrid_merge(base, irony, key), out_csv)
     write_record(spark, {"hybrid_sources": {"irony": "irony_model", "sentiment": "irony_model",
                                             "other_labels": "base_model"},
                          "base_csv": base_csv, "irony_csv": irony_csv}, f"{out_csv}_meta")
@@ -188,8 +190,9 @@ def evaluate_job(spark: SparkSession, predictions_csv: str, test_ids_path: str,
     tune(spark)
     df = normalize_columns(rd.read_labelled_csv(spark, predictions_csv, schema=None))
     require_predictions(df, labels)
+    df, key = lb.ensure_id(df)
     ids = rd.read_ids(spark, test_ids_path)
-    test = lb.test_subset(df, ids).withColumns(
+    test = lb.test_subset(df, ids, key).withColumns(
         {c: F.col(c).cast("int") for c in [*labels, *[f"{c}_ft_pred" for c in labels], "sentiment", "sent_pred"]})
     test = stage(test, "test_rows")
     rep = mt.multilabel_report(test, labels)

@@ -172,3 +172,12 @@ def test_class_frequency_and_test_subset(spark):
     ids = spark.createDataFrame([("2",), ("3",), ("9",)], "x string")
     assert sorted(r.comment_id for r in lb.test_subset(df, ids).collect()) == ["2", "3"]
     assert df.select(F.lit(1)).count() == 3
+
+
+def test_row_ids_when_no_id_column(spark):
+    df = spark.createDataFrame([("x",), ("y",), ("z",)], "text string").repartition(1)
+    out, key = lb.ensure_id(df)
+    assert key == "_row_id" and [(r.text, r._row_id) for r in out.orderBy("_row_id").collect()] == [
+        ("x", "0"), ("y", "1"), ("z", "2")]
+    same, key2 = lb.ensure_id(spark.createDataFrame([(5,)], "comment_id int"))
+    assert key2 == "comment_id" and same.collect()[0].comment_id == "5"
