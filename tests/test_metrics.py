@@ -181,3 +181,14 @@ def test_row_ids_when_no_id_column(spark):
         ("x", "0"), ("y", "1"), ("z", "2")]
     same, key2 = lb.ensure_id(spark.createDataFrame([(5,)], "comment_id int"))
     assert key2 == "comment_id" and same.collect()[0].comment_id == "5"
+
+
+def test_report_zero_division_edges(spark):
+    # a: no positives and no predictions; b: predictions only; c: positives only
+    rows = [("1", 0, 0, 1, 0, 1, 0), ("2", 0, 0, 0, 1, 0, 0)]
+    schema = "comment_id string, a int, b int, c int, a_ft_pred int, b_ft_pred int, c_ft_pred int"
+    got = {r.label: r for r in mt.multilabel_report(spark.createDataFrame(rows, schema), L3).collect()}
+    for lab in L3:
+        assert (got[lab].precision, got[lab].recall, got[lab].f1) == (0.0, 0.0, 0.0)
+    assert got["a"].support == 0 and got["c"].support == 1
+    assert got["samples avg"].f1 == 0.0 and got["micro avg"].f1 == 0.0
