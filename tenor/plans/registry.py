@@ -776,7 +776,8 @@ def _identified(spark, sf_dir):
 LANG_SQL = V.with_views("comments") + f""",
 pad AS (SELECT comment_id, lang, ' ' || regexp_replace(lower(COALESCE(text, '')), {sg.q(SPACE + '+')}, ' ', 'g') || ' ' AS t
         FROM comments),
-g AS (SELECT p.comment_id, p.lang, substr(p.t, r.i, 3) AS gram FROM pad p, range(1, length(p.t) - 1) r(i)),
+g AS (SELECT comment_id, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram
+      FROM pad),
 gw AS (SELECT * FROM g WHERE substr(gram, 2, 1) <> ' '),
 cnt AS (SELECT lang, gram, count(*) AS c FROM gw WHERE lang IS NOT NULL GROUP BY lang, gram),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) AS rn FROM cnt)
