@@ -541,8 +541,10 @@ WIN_SQL = (V.with_views("comments", "videos")
            + f", tp AS (SELECT c.comment_id, c.doc_id, regexp_extract_all({TITLE_PREFIX_SQL}, {sg.q(NON_SPACE + '+')}) AS w"
            + " FROM comments c LEFT JOIN videos v ON v.video_id = c.video_id),"
            + f" tk AS (SELECT *, CAST(1 + ceil(greatest(len(w) - {WIDTH}, 0) / {STEP}.0) AS INTEGER) AS k FROM tp),"
-           + " win AS (SELECT comment_id, doc_id, k AS n_windows, CAST(r.i AS INTEGER) AS window_no,"
-           + f" list_slice(w, r.i * {STEP} + 1, r.i * {STEP} + {WIDTH}) AS tokens FROM tk, range(k) r(i))")
+           + " win AS (SELECT comment_id, doc_id, k AS n_windows,"
+           + " CAST(generate_subscripts(wins, 1) - 1 AS INTEGER) AS window_no, unnest(wins) AS tokens"
+           + f" FROM (SELECT *, list_transform(range(k), lambda i: list_slice(w, i * {STEP} + 1, i * {STEP} + {WIDTH}))"
+           + " AS wins FROM tk))")
 
 
 @register("token_windows", WIN_SQL + " SELECT comment_id, n_windows, window_no, CAST(len(tokens) AS INTEGER) AS n_tokens,"
