@@ -11,7 +11,7 @@ larger budget only moves the threshold up, so samples are nested.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenor.llm.common import stage
@@ -119,11 +119,8 @@ def repeat_documents(documents: DataFrame, **options) -> DataFrame:
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     chosen = mix(documents, **options).filter("copies > 0")
-    c = chosen.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies").dropDuplicates(["__id", "__source", "__size"])
+    c = chosen.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).dropDuplicates(["__id", "__source", "__size"])
     size = F.coalesce(F.regexp_count(documents[text_col], F.lit(WORD)), F.lit(0)).cast("long")
     joined = documents.join(c, documents[id_col].eqNullSafe(F.col("__id")) & documents[options.get("source_col", "source")].eqNullSafe(F.col("__source")) & (size == F.col("__size")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[documents[c] for c in documents.columns])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[documents[c] for c in documents.columns])
 
-
-def kept_once(copies: Column) -> Column:
-    return copies > 0

@@ -311,7 +311,7 @@ def repeated_places(keyed: DataFrame, by_bucket: DataFrame, length: int, gram: i
         parts = []
         for k, origin, blob in zip(blobs["n"].to_pylist(), blobs["origin"].to_pylist(), blobs["blob"].to_pylist()):
             d, t, f, w, a, hot = _unpress(blob, k, [*_PLACES, np.uint32, bool])
-            parts.append((np.cumsum(d), t, f.astype(np.int64), w.astype(np.int64), a.astype(U) | U(origin) << U(32), hot))
+            parts.append((np.cumsum(d), t.view(np.int32), f.astype(np.int64), w.astype(np.int64), a.astype(U) | U(origin) << U(32), hot))
         if not parts:
             return _segment_table({})
         doc, tag, first, n, anchor, hot = map(np.concatenate, zip(*parts))
@@ -319,7 +319,7 @@ def repeated_places(keyed: DataFrame, by_bucket: DataFrame, length: int, gram: i
         last, text = None, b""
         for i in order.tolist():
             if (now := (int(doc[i]), int(tag[i]))) != last:
-                last, text = now, unpack(own[now]) if now in own else b""
+                last, text = now, unpack(own[now])
             a, f, w = int(anchor[i]), int(first[i]), int(n[i])
             if hot[i]:
                 for s in range(f, f + w):
@@ -333,7 +333,7 @@ def repeated_places(keyed: DataFrame, by_bucket: DataFrame, length: int, gram: i
     def _segment_table(out: dict[int, list]) -> pa.Table:
         rows = []
         for shard, items in out.items():
-            numbers = [np.array([x[1][0] for x in items], np.int64), np.array([x[1][1] for x in items], np.uint32), np.array([x[2] for x in items], np.uint32), np.array([x[3] for x in items], np.uint16)]
+            numbers = [np.array([x[1][0] for x in items], np.int64), np.array([x[1][1] for x in items], np.int64).astype(np.uint32), np.array([x[2] for x in items], np.uint32), np.array([x[3] for x in items], np.uint16)]
             rows.append((shard, len(items), _press(*_places(*numbers)), zstandard.ZstdCompressor(level=1).compress(b"".join(x[4] for x in items))))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), "places": pa.array([r[2] for r in rows], pa.binary()), "bytes": pa.array([r[3] for r in rows], pa.binary())})
 
@@ -396,7 +396,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = documents.select(F.col(id_col).cast("long").alias("id"))
     # Rows with the same id are told apart by a hash of their text; without any, the tag is 0.
     repeated = not ids.groupBy("id").count().filter("count > 1").isEmpty()
-    tag = F.xxhash64(F.col(text_col)).cast("int") if repeated else F.lit(0)
+    tag = F.shiftright(F.xxhash64(F.col(text_col)), 32).cast("int") if repeated else F.lit(0)
     keyed = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("doc"), tag.alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     _, size = text_size(keyed, "text")
     buckets = fan_out(size, TEXT_PER_BUCKET)
