@@ -32,7 +32,7 @@ WIDTHS = (8, 8, 16)
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 20
 #: Chunks whose ids a worker remembers.
-CACHE = 200_000
+CACHE = 600_000
 TEXT_PER_RANGE = 24 << 20
 
 
@@ -100,64 +100,127 @@ class Encoder:
         kinds = [n.get("type") for n in (conf.get("normalizer") or {}).get("normalizers", [])]
         pre = (conf.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_chunk = (kinds == ["NFC", "Replace", "Lowercase"] and pre[0].get("type") == "Split" and pre[0].get("invert") is True
-                         and pre[0].get("behavior") == "Removed" and r"[^\s" in str(pre[0].get("pattern"))
+                         and pre[0].get("behavior") == "Removed" and r"[^\s" in pre[0].get("pattern", {}).get("Regex", "")
                          and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \n") for t in conf.get("added_tokens", [])))
         self.special = [t["content"].lower() for t in conf.get("added_tokens", [])]
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 65536 else np.uint32
-        self.known: dict[str, np.ndarray] = {}
+        suffix = conf["model"].get("end_of_word_suffix")
+        #: Ids that end a run of letters: many such runs are encoded as one text and cut apart again.
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+        self._forget(np.zeros(0, np.int64))
+
+    def _forget(self, stay: np.ndarray) -> None:
+        """Keep the entries ``stay`` of the memory: a chunk's place in ``flat``, its number of ids, and its uses."""
+        names = getattr(self, "names", [])
+        if len(stay):
+            self.flat, self.size = _gather(self.flat, self.begin[stay], self.size[stay])
+        else:
+            self.flat, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        self.begin, self.uses = np.cumsum(self.size) - self.size, np.zeros(len(stay), np.int32)
+        self.names, self.pending = [names[i] for i in stay.tolist()], []
+        self.index = {n: i for i, n in enumerate(self.names)}
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode(self, texts: list[str]) -> None:
+        """Encode and remember; runs of letters, whose last id ends a word and no other does, go through together."""
+        rest = texts
+        if self.ends.any():
+            letters, rest = [], []
+            for t in texts:
+                (letters if t.isalpha() and t.lower().isalpha() else rest).append(t)
+            for a in range(0, len(letters), 2000):
+                some = letters[a:a + 2000]
+                ids = self._plain([" ".join(some)])[0]
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                if len(stop) == len(some):
+                    self._remember(some, ids, np.diff(stop, prepend=0))
+                else:
+                    rest += some
+        for a in range(0, len(rest), 4096):
+            each = self._plain(rest[a:a + 4096])
+            self._remember(rest[a:a + 4096], np.concatenate(each), np.array([len(x) for x in each], np.int64))
+
     def _split(self, chunk: str) -> tuple[str, str]:
         """(body, tail) with ids(chunk) = ids(body) + ids(tail): in ASCII, 'Word.,' is 'word' followed by '.,'."""
         if not chunk.isascii():
             return chunk, ""
         low = chunk.lower()
-        if any(s in low for s in self.special):
+        if "<" in low and any(s in low for s in self.special):
             return chunk, ""
         stem = low.rstrip(".,")
         return (stem, low[len(stem):]) if stem and stem[-1].isalnum() else (low, "")
 
-    def _chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        parts = [self._split(c) for c in chunks]
-        need = dict.fromkeys(p for pair in parts for p in pair if p)
-        if len(self.known) + len(need) > CACHE:
-            self.known = {}
-        todo = [p for p in need if p not in self.known]
-        for a in range(0, len(todo), 4096):
-            self.known.update(zip(todo[a:a + 4096], self._plain(todo[a:a + 4096])))
-        self.known[""] = np.zeros(0, self.dtype)
-        known = self.known
-        return [np.concatenate([known[s], known[t]]) if t else known[s] for s, t in parts]
+    def _remember(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.index.update(zip(names, range(len(self.names), len(self.names) + len(names))))
+        self.names += names
+        self.pending.append((ids, size))
+
+    def _settle(self) -> None:
+        """Append what was remembered to the arrays."""
+        if self.pending:
+            size = np.concatenate([s for _, s in self.pending])
+            at = len(self.flat) + np.cumsum(size) - size
+            self.flat = np.concatenate([self.flat, *[i for i, _ in self.pending]])
+            self.begin, self.size = np.concatenate([self.begin, at]), np.concatenate([self.size, size])
+            self.uses = np.concatenate([self.uses, np.zeros(len(size), np.int32)])
+            self.pending = []
+
+    def _chunks(self, chunks: list[str]) -> np.ndarray:
+        """The entries of the chunks, which are encoded first where they are new."""
+        if len(self.names) > CACHE:
+            self._forget(np.flatnonzero(self.uses > 1))
+        index = self.index
+        new = [c for c in chunks if c not in index]
+        stems, tails = [], []
+        for c in new:
+            stem, tail = self._split(c)
+            stems.append(stem)
+            tails.append(tail)
+        self._encode([p for p in dict.fromkeys(stems + tails) if p not in index])
+        self._settle()
+        both = [(c, index[s], index[t]) for c, s, t in zip(new, stems, tails) if c not in index]
+        if both:
+            pair = np.array([x[1:] for x in both], np.int64)
+            ids, size = _gather(self.flat, self.begin[pair.ravel()], self.size[pair.ravel()])
+            self._remember([x[0] for x in both], ids, size.reshape(-1, 2).sum(axis=1))
+            self._settle()
+        which = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+        self.uses[which] += 1
+        return which
 
     def __call__(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(all ids back to back, ids per text), ``end`` after each text."""
         texts = pc.fill_null(texts, "")
         if not self.by_chunk:
-            each = self._plain(texts.to_pylist())
-        else:
-            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-            coded = lists.flatten().dictionary_encode()
-            ids = self._chunks(coded.dictionary.to_pylist())
-            if end is not None:
-                ids.append(np.array([end], self.dtype))
-            size = np.array([len(x) for x in ids], np.int64)
-            begin = np.cumsum(size) - size
-            flat = np.concatenate(ids) if ids else np.zeros(0, self.dtype)
-            per = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            if end is not None:
-                which = np.insert(which, np.cumsum(per), len(ids) - 1)
-                per = per + 1
-            n = size[which]
-            at = np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            total = np.concatenate([[0], np.cumsum(n)])
-            edge = np.concatenate([[0], np.cumsum(per)])
-            return flat[at], total[edge[1:]] - total[edge[:-1]]
+            each = [x if end is None else np.append(x, x.dtype.type(end)) for x in self._plain(texts.to_pylist())]
+            return np.concatenate([np.zeros(0, self.dtype), *each]), np.array([len(x) for x in each], np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        entry = self._chunks(coded.dictionary.to_pylist())
+        per = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        which = entry[coded.indices.to_numpy(zero_copy_only=False)] if len(entry) else np.zeros(0, np.int64)
+        last = np.cumsum(per) - 1  # every text has a chunk
+        ids, size = _gather(self.flat, self.begin[which], self.size[which], None if end is None else last)
+        total = np.concatenate([[0], np.cumsum(size)])
         if end is not None:
-            each = [np.append(x, x.dtype.type(end)) for x in each]
-        return np.concatenate(each) if each else np.zeros(0, np.uint32), np.array([len(x) for x in each], np.int64)
+            ids[total[last + 1] - 1] = end
+        return ids, np.diff(total[last + 1], prepend=0)
+
+
+def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches of ``flat`` one after the other, their sizes), with room for one more id after those at ``room``."""
+    size = size.copy()
+    if room is not None:
+        size[room] += 1
+    stop = np.cumsum(size)
+    n = int(stop[-1]) if len(stop) else 0
+    at = np.repeat((begin - (stop - size)).astype(np.int32 if max(n, len(flat)) < 1 << 30 else np.int64), size)
+    at += np.arange(n, dtype=at.dtype)
+    return flat.take(at, mode="clip") if len(flat) else np.zeros(n, flat.dtype), size
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -214,7 +277,7 @@ def write_tokens(documents: DataFrame, to: str, tokenizer: str | None, end: int
     ranges.mapInArrow(write, _BLOCK).write.option("compression", "zstd").mode("overwrite").parquet(to)
 
 
-def _slices(texts: pa.Array, each: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, each: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """(offset, rows) of runs of about ``each`` bytes."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(size) - size) // each
