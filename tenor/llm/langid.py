@@ -24,7 +24,7 @@ UNKNOWN = "und"
 #: Characters a word is read in at once; longer ones are read in parts, which keeps the products in range.
 WORD_PART = 24
 #: Words whose scores a worker remembers.
-CACHE = 200_000
+CACHE = 500_000
 #: Added to each count, so that every piece is possible in every language.
 SMOOTH = 0.1
 #: Probability of a character that is no piece, relative to the rarest piece.
@@ -65,40 +65,50 @@ class Scorer:
         _, self.ids, self.beginnings = vocabulary(path)
         self.table = table
         self.known: dict[str, int] = {}
-        self.logs = np.zeros((0, table.shape[1]))
+        self.logs, self.uses = np.zeros((0, table.shape[1])), np.zeros(0, np.int32)
 
     def parts(self, parts: list[str]) -> np.ndarray:
         """Forward algorithm over all parts: alpha[j] = sum over pieces s[i:j] of alpha[i] * p(piece)."""
         ids, beginnings, odd = self.ids, self.beginnings, len(self.table) - 1
         longest = max(map(len, parts))
-        ends: list[list[tuple[int, int, int]]] = [[] for _ in range(longest + 1)]
+        # An edge as one number: word, start (below 2^6) and piece (below 2^24), by end.
+        ends: list[list[int]] = [[] for _ in range(longest + 1)]
+        get = ids.get
         for w, s in enumerate(parts):
             n = len(s)
             for i in range(n):
+                at = w << 30 | i << 24
                 for j in range(i + 1, n + 1):
                     piece = s[i:j]
-                    if piece not in beginnings:
-                        break
-                    k = ids.get(piece)
+                    k = get(piece)
                     if k is not None:
-                        ends[j].append((w, i, k))
-                if s[i] not in ids:
-                    ends[i + 1].append((w, i, odd))
+                        ends[j].append(at | k)
+                    elif j == i + 1:
+                        ends[j].append(at | odd)
+                        if piece not in beginnings:
+                            break
+                    elif piece not in beginnings:
+                        break
         alpha = np.zeros((len(parts), longest + 1, self.table.shape[1]))
         alpha[:, 0] = 1
         for j in range(1, longest + 1):
             if ends[j]:
-                w, i, k = np.array(ends[j]).T
+                edge = np.array(ends[j], np.int64)
+                w = edge >> 30
                 new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))  # words come in order
-                alpha[w[new], j] = np.add.reduceat(alpha[w, i] * self.table[k], new, axis=0)
+                alpha[w[new], j] = np.add.reduceat(alpha[w, edge >> 24 & 63] * self.table[edge & 0xFFFFFF], new, axis=0)
         return np.log(alpha[np.arange(len(parts)), [len(s) for s in parts]])
 
     def words(self, words: list[str]) -> np.ndarray:
+        """One row per word; those that were used only once are forgotten when there are too many."""
         if len(self.known) > CACHE:
-            self.known, self.logs = {}, self.logs[:0]
-        todo = list(dict.fromkeys(w for w in words if w not in self.known))
-        found = [self.logs]
+            names = list(self.known)
+            stay = np.flatnonzero(self.uses > 1)
+            self.known = {names[i]: k for k, i in enumerate(stay.tolist())}
+            self.logs, self.uses = self.logs[stay], np.zeros(len(stay), np.int32)
+        todo = [w for w in words if w not in self.known]
         todo.sort(key=len)
+        found = [self.logs]
         for a in range(0, len(todo), 4096):
             some = todo[a:a + 4096]
             cut = [parts_of(w) for w in some]
@@ -106,10 +116,11 @@ class Scorer:
             logs = np.zeros((len(some), self.table.shape[1]))
             np.add.at(logs, of, self.parts([p for c in cut for p in c]))
             found.append(logs)
-        for w in todo:
-            self.known[w] = len(self.known)
-        self.logs = np.concatenate(found)
-        return self.logs[[self.known[w] for w in words]] if words else self.logs[:0]
+        self.known.update(zip(todo, range(len(self.known), len(self.known) + len(todo))))
+        self.logs, self.uses = np.concatenate(found), np.concatenate([self.uses, np.zeros(len(todo), np.int32)])
+        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses[which] += 1
+        return self.logs[which]
 
     def texts(self, texts: pa.Array) -> np.ndarray:
         """Per text and language, the sum over its words."""

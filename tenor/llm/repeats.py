@@ -46,6 +46,8 @@ SLICE = 1 << 20
 RUN = 4096
 #: Contents of an anchor beyond which its windows are dealt one by one.
 HOT = 4096
+#: Segments that a task gathers before it packs them by bucket.
+PACKED = 1_000_000
 #: Bytes of text that a bucket of anchors, of documents, and a shard of open segments stands for.
 TEXT_PER_BUCKET = 16 << 20
 #: Stands for a null id in the order of documents: after all others.
@@ -236,6 +238,18 @@ def repeated_places(keyed: DataFrame, by_bucket: DataFrame, length: int, gram: i
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers(2 * (SLICE + length))
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> pa.RecordBatch:
+            anchor, content, doc, tag, place, n = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(doc, kind="stable")  # deltas of documents stay small
+            anchor, content, doc, tag, place, n = (x[order] for x in (anchor, content, doc, tag, place, n))
+            out = []
+            for k, i in _runs((anchor >> U(40)) % U(buckets)):
+                a, c = anchor[i], content[i]
+                out.append((k, len(i), b"".join(x.tobytes() for x in (a.astype(np.uint32), c.astype(np.uint32), (c >> U(32)).astype(np.uint16))), _press(*_places(doc[i], tag[i], place[i], n[i]))))
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.binary())], names=["bucket", "n", "hashes", "places"])
+
         for batch in batches:
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for group in _slices(byte_views(batch.column(2)), SLICE, length - 1):
@@ -245,15 +259,12 @@ def repeated_places(keyed: DataFrame, by_bucket: DataFrame, length: int, gram: i
                 anchor, content, first, n = segments(b, ends - sizes, ends, length, gram, powers)
                 piece = np.searchsorted(ends, first, side="right")
                 rows, at = np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int64)
-                doc, tag = docs[rows[piece]], tags[rows[piece]]
-                place = first - (ends - sizes)[piece] + at[piece]
-                order = np.argsort(doc, kind="stable")  # deltas of documents stay small
-                anchor, content, doc, tag, place, n = (x[order] for x in (anchor, content, doc, tag, place, n))
-                out = []
-                for k, i in _runs((anchor >> U(40)) % U(buckets)):
-                    a, c = anchor[i], content[i]
-                    out.append((k, len(i), b"".join(x.tobytes() for x in (a.astype(np.uint32), c.astype(np.uint32), (c >> U(32)).astype(np.uint16))), _press(*_places(doc[i], tag[i], place[i], n[i]))))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.binary())], names=["bucket", "n", "hashes", "places"])
+                held.append((anchor, content, docs[rows[piece]], tags[rows[piece]], first - (ends - sizes)[piece] + at[piece], n))
+                if sum(len(h[0]) for h in held) > PACKED:  # a row for each bucket, so as many entries as memory allows
+                    yield packed()
+                    held = []
+        if held:
+            yield packed()
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         anchor, low, high, doc, tag, first, n = [], [], [], [], [], [], []

@@ -166,6 +166,10 @@ def test_forward_sums_all_segmentations():
 
     words = ["the", "a", "schön", "漢", "q́x", "tion", "there"]
     got = langid.Scorer(path, table).words(words)
+    words += ["", "x" * 60]  # words come once in a call
+    scorer = langid.Scorer(path, table)
+    scorer.words(words[3:])
+    assert np.array_equal(scorer.words(words)[:7], got)
     for w, g in zip(words, got):
         assert g == pytest.approx([np.log(total("▁" + w, k)) for k in (0, 1)])
 
