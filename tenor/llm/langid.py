@@ -24,7 +24,7 @@ UNKNOWN = "und"
 #: Characters a word is read in at once; longer ones are read in parts, which keeps the products in range.
 WORD_PART = 24
 #: Words whose scores a worker remembers.
-CACHE = 500_000
+CACHE = 300_000
 #: Added to each count, so that every piece is possible in every language.
 SMOOTH = 0.1
 #: Probability of a character that is no piece, relative to the rarest piece.

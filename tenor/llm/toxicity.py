@@ -29,7 +29,7 @@ from tenor.llm.common import stage
 #: Bound of the labelled sample that lexicon and model are fitted on.
 FIT_ROWS = 20_000
 #: Terms of the lexicon at most.
-TERMS = 64
+TERMS = 128
 #: Words on either side of a hit that make its context.
 WINDOW = 8
 REPORTING = frozenset("said says wrote writes quoted quotes called reported cited".split())
