@@ -51,9 +51,17 @@ def at_threshold(prob, threshold) -> Column:
     return (col(prob) >= t).cast("int")
 
 
+def whole_number(c) -> Column:
+    """A number or numeric string ('1.0', as CSV writers put it next to gaps) as an int;
+    anything with a fraction raises."""
+    x = col(c).cast("double")
+    return F.when(x.isNull() | (x == F.floor(x)), x.cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("not a whole number: "), x.cast("string")))).cast("int")
+
+
 def sentiment_to_class(sentiment) -> Column:
     """-1/0/1 -> 0/1/2; null -> neutral (P9); any other value raises."""
-    s = F.coalesce(col(sentiment).cast("int"), F.lit(0))
+    s = F.coalesce(whole_number(sentiment), F.lit(0))
     return F.when(s.isin(-1, 0, 1), s + 1).otherwise(
         F.raise_error(F.concat(F.lit("sentiment outside {-1,0,1}: "), s.cast("string")))).cast("int")
 

@@ -22,8 +22,10 @@ SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 NON_SPACE = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
-# Lexicon tokens: runs of word characters and apostrophes (both forms).
-TOKEN = r"[\p{L}\p{N}_'’]+"
+# Lexicon tokens: runs of word characters and apostrophes (both forms), emoticons, single emoji.
+EMOTICON = r"[:;=][-o]?[()DPp/|*]"
+EMOJI = r"[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]"
+TOKEN = rf"[\p{{L}}\p{{N}}_'’]+|{EMOTICON}|{EMOJI}"
 
 URL = rf"https?://{NON_SPACE}+|www\.{NON_SPACE}+"
 HANDLE = rf"@{WORD}+"

@@ -32,8 +32,12 @@ def epoch_seconds(ts_ntz) -> Column:
 
 
 def parse_iso(s) -> Column:
-    """ISO string with trailing Z -> TIMESTAMP_NTZ (UTC wall clock)."""
-    return F.to_timestamp_ntz(col(s), F.lit(ISO_FORMAT))
+    """ISO string with trailing Z -> TIMESTAMP_NTZ (UTC wall clock), fractions of a
+    second dropped; null for an empty, missing or impossible date."""
+    t = col(s)
+    sound = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"), t)
+    part = lambda at, n: F.substring(sound, at, n).cast("int")
+    return F.try_make_timestamp_ntz(part(1, 4), part(6, 2), part(9, 2), part(12, 2), part(15, 2), F.substring(sound, 18, 2).cast("decimal(8,6)"))
 
 
 def year_bounds(year, now_iso: str) -> tuple[Column, Column]:

@@ -25,22 +25,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenor.functions.numeric import IRONY_SENT_EXTRA
+from tenor.functions.numeric import IRONY_SENT_EXTRA, at_threshold
 from tenor.operators.hybrid import check_label_lists, hybrid_merge
 from tenor.operators.labels import build_labels, stratified_split
 from tenor.operators.metrics import multilabel_report, sentiment_f1, tune_thresholds
 from tenor.operators.model import MAX_LENGTH, STRIDE_FRAC, prediction_columns, token_windows, window_mean
 from tenor.operators.text import add_text_proc
 from tenor.schemas import LABELS, PREDICTION_COLS
+from tenor.staging import stage
 
 PRESETS = {"base": {"bigrams": False}, "specialist": {"bigrams": True}}
 NUM_FEATURES = 1 << 16
 # Independent fits run as concurrent Spark jobs (as CrossValidator's parallelism):
 # one per head (ten labels + sentiment), at most this many.
 FIT_PARALLELISM = 16
-# Rows per partition of the cached training set: every optimizer iteration is a
-# job over all its partitions, so a small labelled set should not be spread thin.
-ROWS_PER_FIT_PARTITION = 20_000
 
 
 @dataclass
@@ -76,6 +74,10 @@ def _windows(df: DataFrame, key: str, keep, config: dict) -> DataFrame:
                          config.get("stride_frac", STRIDE_FRAC), config.get("slide", True), keep=keep)
 
 
+def df_parallelism(df: DataFrame) -> int:
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labels=LABELS,
         max_iter: int = 25, reg_param: float = 0.01, irony_extra: float = IRONY_SENT_EXTRA,
         config: dict | None = None, parallelism: int = FIT_PARALLELISM) -> MultiTaskModel:
@@ -89,9 +91,8 @@ def fit(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labe
     train = feats.transform(w).select("features", "__w", *[F.col(c).cast("double").alias(c) for c in keep])
     train = train.withColumn("__ws", F.col("__w") * (1.0 + irony_extra * F.col("irony")))
     staged = train.persist()
-    n_rows = staged.count()
-    parts = max(1, min(staged.rdd.getNumPartitions(), -(-n_rows // ROWS_PER_FIT_PARTITION)))
-    train = staged.coalesce(parts).persist()
+    # Every optimizer iteration is a job over all partitions: as many as there are cores.
+    train = staged.coalesce(df_parallelism(labelled)).persist()
     train.count()
     staged.unpersist()
     w.unpersist()
@@ -114,7 +115,7 @@ def fit(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labe
 
 
 def window_probabilities(model: MultiTaskModel, df: DataFrame, key: str = "comment_id") -> DataFrame:
-    """Per comment: mean window probabilities ``<label>_p`` and ``sent_*_prob``."""
+    """Per ``key``: mean window probabilities ``<label>_p`` and ``sent_*_prob``."""
     w = _windows(df, key, [], model.config)
     f = model.features.transform(w)
     for m in model.label_models:
@@ -129,14 +130,24 @@ def window_probabilities(model: MultiTaskModel, df: DataFrame, key: str = "comme
 
 
 def predict(model: MultiTaskModel, df: DataFrame, key: str = "comment_id") -> DataFrame:
-    """M5: append the prediction columns to ``df`` (other columns untouched)."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = df.repartition(parts, key)
-    probs = window_probabilities(model, base, key)
+    """M5: append the prediction columns to ``df`` (other columns untouched).
+
+    Every row gets the prediction of its own text: rows are told apart by key, text
+    and title, so a repeated or null key mixes nothing (a mean over windows is the
+    same for equal texts). Windows are averaged from the scan on; the text is
+    shuffled once, to get its predictions."""
+    title = [F.col("video_title")] if "video_title" in df.columns else []
+    base = df.withColumn("__row", F.struct(F.col(key), F.xxhash64(F.col("text"), *title)))
+    probs = window_probabilities(model, base, "__row")
     preds = prediction_columns(probs, model.labels, model.thresholds, "_p",
                                sent_probs=["sent_neg_prob", "sent_neu_prob", "sent_pos_prob"])
     keep = [c for c in base.columns if c not in PREDICTION_COLS]
-    return base.select(*keep).join(preds.select(key, *PREDICTION_COLS), key, "left")
+    return base.select(*keep).join(preds.select("__row", *PREDICTION_COLS), "__row", "left").drop("__row")
+
+
+def at_thresholds(preds: DataFrame, labels, thresholds) -> DataFrame:
+    """The same probabilities cut at other thresholds."""
+    return preds.withColumns({f"{c}_ft_pred": at_threshold(f"{c}_ft_prob", t) for c, t in zip(labels, thresholds)})
 
 
 def train_main(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labels=LABELS,
@@ -144,14 +155,13 @@ def train_main(labelled: DataFrame, preset: str = "base", key: str = "comment_id
     """The training job: labels, split, fit on train, metrics on test at 0.5,
     thresholds tuned on validation. Returns (model, split table, test metrics,
     thresholds table)."""
-    df = stratified_split(build_labels(labelled, labels), key, seed)
-    df = df.persist()
+    df = stage(stratified_split(build_labels(labelled, labels), key, seed), "split")
     model = fit(df.filter(F.col("split") == "train"), preset, key, labels, **kw)
-    val = predict(model, df.filter(F.col("split") == "val"), key)
-    tuned = tune_thresholds(val, labels, "_ft_prob")
+    scored = stage(predict(model, df.filter(F.col("split") != "train"), key), "held-out")   # at 0.5
+    tuned = tune_thresholds(scored.filter(F.col("split") == "val"), labels, "_ft_prob")
     rows = {r["label"]: r["threshold"] for r in tuned.collect()}   # ten rows
     model = model.with_thresholds([rows[c] for c in labels])
-    test = predict(model.with_thresholds([0.5] * len(labels)), df.filter(F.col("split") == "test"), key)
+    test = scored.filter(F.col("split") == "test")
     rep = multilabel_report(test, labels)
     metrics = (rep.filter(F.col("label").isin("micro avg", "macro avg"))
                   .groupBy().pivot("label", ["micro avg", "macro avg"]).agg(F.first("f1"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenor.functions.text import is_music_video
@@ -38,8 +38,6 @@ SEARCH_PAGE_SIZE = 50
 MIN_SPLIT_SECONDS = 2 * 86_400     # a window is halved only if it spans >= 2 whole days
 GENERAL_ORDERS = ["viewCount", "date"]
 # ---------------------------------------------------------------------------
-MAX_RESULTS_PER_SEARCH = 500       # how many hits one search returns at most (a parameter)
-
 ISO = "%Y-%m-%dT%H:%M:%SZ"
 
 
@@ -75,12 +73,6 @@ def window_tree(bounds) -> list[tuple]:
     return out
 
 
-def windows_frame(spark: SparkSession, bounds) -> DataFrame:
-    rows = window_tree(bounds)
-    return spark.createDataFrame(
-        rows, "year int, level int, idx int, start_s long, end_s long, window_start string, window_end string")
-
-
 def attach_windows(hits: DataFrame, windows: DataFrame, max_level: int, ts: str = "ts_s") -> DataFrame:
     """Every (hit, window) with window_start <= ts <= window_end (closed both ends).
 
@@ -101,16 +93,18 @@ def attach_windows(hits: DataFrame, windows: DataFrame, max_level: int, ts: str
 
 
 def rank_candidates(hw: DataFrame, terms, variant: str = "general", target: int = VIDEO_SAMPLE_SIZE,
-                    max_results: int = MAX_RESULTS_PER_SEARCH, orders=GENERAL_ORDERS,
-                    page_size: int = SEARCH_PAGE_SIZE) -> DataFrame:
+                    orders=GENERAL_ORDERS, page_size: int = SEARCH_PAGE_SIZE) -> DataFrame:
     """W7 (+U2): ranked raw hits per window and search.
 
     Both variants rank each (window, term, order) search by views desc
-    ("viewCount") or date desc ("date"), ties by video id, and keep at most
-    ``max_results``. general: the first term only; the second order is searched
+    ("viewCount") or date desc ("date"), ties by video id. general: the first
+    term only, whole pages until ``target`` is met; the second order is searched
     only if the first returned fewer than ``target`` hits, and only for the pages
     needed to reach it. early: every term and order, all pages, then the first
-    ``target`` of the concatenation. Output adds term_no, ord_no, rank."""
+    ``target`` of the concatenation. A search has no other limit, so no rank past
+    these bounds can matter. Output adds term_no, ord_no, rank."""
+    pages_target = -(-target // page_size) * page_size
+    most = pages_target if variant == "general" else target
     wkey = ["year", "level", "idx"]
     hw = hw.withColumn("term_no", F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("term")) - 1) \
         .filter(F.col("term_no") >= 0)
@@ -120,7 +114,7 @@ def rank_candidates(hw: DataFrame, terms, variant: str = "general", target: int
     for ord_no, order in enumerate(orders):
         key = F.col("views").desc() if order == "viewCount" else F.col("ts_s").desc()
         r = first_n(hw.withColumn("ord_no", F.lit(ord_no)), wkey + ["term_no"], [key, F.col("video_id")],
-                    max_results, rank_col="rank", salt_cols=["video_id"])
+                    most, rank_col="rank", salt_cols=["video_id"])
         per_order.append(r)
     ranked = per_order[0]
     for r in per_order[1:]:
@@ -128,7 +122,6 @@ def rank_candidates(hw: DataFrame, terms, variant: str = "general", target: int
     if variant == "general":
         # Pages of the first order stop once the target is met; the second order
         # runs only when short, for ceil((target - n1) / page) more pages.
-        pages_target = -(-target // page_size) * page_size
         n1 = (ranked.filter((F.col("ord_no") == 0) & (F.col("rank") <= pages_target))
                     .groupBy(*wkey).agg(F.count(F.lit(1)).alias("__n1")))
         # One row per window (the tree is bounded), so the counts are broadcast.
@@ -141,17 +134,23 @@ def rank_candidates(hw: DataFrame, terms, variant: str = "general", target: int
     return first_n(ranked, wkey, order, target, salt_cols=["video_id", "term_no", "ord_no"])
 
 
+def one_per_video(videos: DataFrame, keys=("video_id",)) -> DataFrame:
+    """One metadata row per video: a video is looked up more than once, and each answer lands."""
+    return first_per_key(videos, list(keys), ["published_at"])
+
+
 def video_eligible(videos: DataFrame, english=None) -> DataFrame:
     """P2 + P3 (+P4 when a language column is given): (video_id, eligible)."""
     ok = in_year("published_at", "year") & ~is_music_video("title", "description", "channel_title")
     if english is not None:
         ok = ok & (F.coalesce(F.col(english), F.lit("en")) == "en")
-    return videos.select("video_id", "year", ok.alias("eligible"))
+    once = one_per_video(videos, ("video_id", "year"))
+    return once.select("video_id", "year", ok.alias("eligible"))
 
 
 def window_fill(hits: DataFrame, videos: DataFrame, bounds, terms, variant: str = "general",
-                target: int | None = None, max_results: int = MAX_RESULTS_PER_SEARCH,
-                english: str | None = None, page_size: int = SEARCH_PAGE_SIZE) -> DataFrame:
+                target: int | None = None, english: str | None = None,
+                page_size: int = SEARCH_PAGE_SIZE) -> DataFrame:
     """Sampled videos per year -> (year, video_rank, video_id, level, window_start).
 
     ``hits``: (video_id, ts_s, views, term, year); ``videos``: metadata with
@@ -163,46 +162,82 @@ def window_fill(hits: DataFrame, videos: DataFrame, bounds, terms, variant: str
         tree, "year int, level int, idx int, start_s long, end_s long, window_start string, window_end string")
     max_level = max(r[1] for r in tree) if tree else 0
     hw = attach_windows(hits, wins, max_level)
-    ranked = rank_candidates(hw, terms, variant, target, max_results, page_size=page_size)
-    order = [F.col("start_s"), F.col("level"), F.col("term_no"), F.col("ord_no"), F.col("rank")]
-    first = first_per_key(ranked, ["year", "video_id"], order, salt_cols=["level", "idx", "term_no", "ord_no"])
-    ok = video_eligible(videos, english)
-    eligible = first.join(ok, ["year", "video_id"]).filter("eligible")
-    return first_n(eligible, ["year"], order + [F.col("video_id")], target, rank_col="video_rank",
-                   salt_cols=["video_id"]).select("year", "video_rank", "video_id", "level", "window_start")
+    ranked = rank_candidates(hw, terms, variant, target, page_size=page_size)
+    order = ["start_s", "level", "term_no", "ord_no", "rank"]
+    return _fill(ranked, order, videos, target, english).select("year", "video_rank", "video_id", "level", "window_start")
+
+
+def _fill(ranked: DataFrame, order: list[str], videos: DataFrame, target: int, english: str | None) -> DataFrame:
+    """The first occurrence of each video, then the first ``target`` eligible ones per year."""
+    first = first_per_key(ranked, ["year", "video_id"], order)
+    eligible = first.join(video_eligible(videos, english), ["year", "video_id"]).filter("eligible")
+    return first_n(eligible, ["year"], [*order, "video_id"], target, rank_col="video_rank", salt_cols=["video_id"])
+
+
+def fill_landed(hits: DataFrame, videos: DataFrame, terms, variant: str = "general", target: int | None = None,
+                english: str | None = None, orders=GENERAL_ORDERS) -> DataFrame:
+    """W6 over landed search pages, in the order in which the service answered:
+    (year, video_rank, video_id, window_start).
+
+    ``hits``: :func:`tenor.sources.pages.flatten_search_pages` with its context.
+    Windows come by start and, of equal starts, the longer first (a window before
+    its halves); inside a window by term, order, page and position. The general
+    variant uses the first term."""
+    target = target or (VIDEO_SAMPLE_SIZE if variant == "general" else VIDEO_SAMPLE_SIZE_EARLY)
+    place = lambda values, c: F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c)) - 1
+    h = (hits.withColumn("term_no", place(terms, "term")).withColumn("ord_no", place(orders, "ord"))
+             .withColumn("year", F.col("year").cast("int"))
+             .withColumn("start_s", epoch_seconds(parse_iso("window_start")))
+             .withColumn("longer", -epoch_seconds(parse_iso("window_end"))))
+    h = h.filter((F.col("term_no") == 0) if variant == "general" else (F.col("term_no") >= 0)).filter("ord_no >= 0")
+    order = ["start_s", "longer", "term_no", "ord_no", "page", "pos"]
+    return _fill(h, order, videos, target, english).select("year", "video_rank", "video_id", "window_start")
 
 
 def collect_comments(comments: DataFrame, sampled: DataFrame, english: str | None = "lang",
-                     per_video: int = MAX_COMMENTS_PER_VIDEO, per_year: int = COMMENTS_PER_YEAR) -> DataFrame:
+                     per_video: int | None = MAX_COMMENTS_PER_VIDEO,
+                     per_year: int | None = COMMENTS_PER_YEAR) -> DataFrame:
     """Comment side of collection: semi-join to the sampled videos of the year,
     P2 on the comment date, U3 first-wins dedup by id over (video_rank, page,
     pos) — an id is claimed before the language check, as in the reference —
-    then P4, W2 (per video), W3 (per year).
+    then P4, W2 (per video), W3 (per year); a cap that is None is skipped.
+
+    Dedup and caps run on ids and places alone; the surviving ones then bring
+    the other columns (text) in one join.
 
     ``comments``: (year, video_id, page, pos, comment_id, published_at, text[, lang]);
     ``sampled``: (year, video_id, video_rank)."""
-    from tenor.operators.joins import broadcast_bounded
-    # The sampled videos are at most target x years rows; AQE broadcasts them at
-    # run time when no size can be proven at plan time.
-    c = comments.join(broadcast_bounded(sampled.select("year", "video_id", "video_rank")), ["year", "video_id"])
+    places = ["year", "video_id", "page", "pos", "comment_id"]
+    narrow = comments.select(*places, "published_at", *([english] if english is not None else []))
+    c = narrow.join(sampled.select("year", "video_id", "video_rank"), ["year", "video_id"])
     c = c.filter(in_year("published_at", "year"))
-    order = [F.col("video_rank"), F.col("page"), F.col("pos")]
-    c = first_per_key(c, ["year", "comment_id"], order, salt_cols=["video_id", "page", "pos"])
+    order = ["video_rank", "page", "pos"]
+    c = first_per_key(c, ["year", "comment_id"], order)
     if english is not None:
         c = c.filter(F.coalesce(F.col(english), F.lit("en")) == "en")
-    c = first_n(c, ["year", "video_id"], order, per_video, salt_cols=["comment_id"])
-    return first_n(c, ["year"], order, per_year, salt_cols=["comment_id"])
+    if per_video is not None:
+        c = first_n(c, ["year", "video_id"], order, per_video, salt_cols=["comment_id"])
+    if per_year is not None:
+        c = first_n(c, ["year"], order, per_year, salt_cols=["comment_id"])
+    kept = c.select(*places, "video_rank")
+    k = kept.select(*[F.col(x).alias(f"__{x}") for x in places], "video_rank")
+    same = None
+    for x in places:
+        e = comments[x].eqNullSafe(k[f"__{x}"])
+        same = e if same is None else same & e
+    # A place that landed twice is one comment.
+    rest = [x for x in comments.columns if x not in places]
+    joined = comments.join(k, same).select(*[comments[x] for x in comments.columns], "video_rank")
+    return first_per_key(joined, places, ["video_rank", *rest])
 
 
 def attach_video(comments: DataFrame, videos: DataFrame) -> DataFrame:
     """Add video_title and video_published_at (default '').
 
-    One metadata row per video: broadcast when its size is provably small, so a
-    video holding a large share of the comments does not make a skewed
-    shuffle; otherwise AQE's skew-join handling splits the hot key."""
-    from tenor.operators.joins import broadcast_bounded
-    v = videos.select("video_id", F.col("title").alias("__t"), F.col("published_at").alias("__p"))
-    return (comments.join(broadcast_bounded(v), "video_id", "left")
+    One metadata row per video; AQE's run-time broadcast or skew-join handling
+    covers a video that holds a large share of the comments."""
+    v = one_per_video(videos).select("video_id", F.col("title").alias("__t"), F.col("published_at").alias("__p"))
+    return (comments.join(v, "video_id", "left")
                     .withColumn("video_title", F.coalesce(F.col("__t"), F.lit("")))
                     .withColumn("video_published_at", F.coalesce(F.col("__p"), F.lit("")))
                     .drop("__t", "__p"))
@@ -228,7 +263,3 @@ def videos_per_window(sampled: DataFrame) -> DataFrame:
     """New videos per window."""
     return sampled.groupBy("year", "level", "window_start").agg(F.count(F.lit(1)).alias("n_videos"))
 
-
-def hits_from_iso(df: DataFrame, published: str = "published_at") -> DataFrame:
-    """Hits with an ISO date -> ts_s epoch seconds."""
-    return df.withColumn("ts_s", epoch_seconds(parse_iso(published)))

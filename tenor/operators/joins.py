@@ -1,26 +1,12 @@
-"""Broadcast only what is known to be small.
-
-Tables bounded by construction (the window tree, top-k profiles, split
-offsets, label/grid frames) are hinted directly where they are built. Tables
-that come from outside (lexicons, id lists) go through :func:`broadcast_bounded`,
-which reads Catalyst's size estimate of the optimized plan (no job runs) and
-hints a broadcast only under ``max_bytes``; above it the join is left to the
-planner (sort-merge, or AQE's runtime broadcast when the real size is small).
+"""Small driver-side tables as relations whose size the planner knows.
+
+Joins with tables from outside (lexicons, id lists, video metadata) carry no
+hint: Spark's own threshold and AQE's run-time sizes decide about a broadcast.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # noqa: BLE001 - no estimate available (e.g. Spark Connect)
-        return None
 
 
 def _sql_literal(v) -> str:
@@ -35,11 +21,7 @@ def _sql_literal(v) -> str:
 
 def local_table(spark, rows, names) -> DataFrame:
     """A small driver-side table as an inline VALUES relation: Catalyst knows its
-    exact size, so :func:`broadcast_bounded` can prove it small."""
+    exact size."""
     body = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
 
-
-def broadcast_bounded(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    size = estimated_bytes(df)
-    return F.broadcast(df) if size is not None and size <= max_bytes else df

@@ -3,13 +3,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenor.functions.numeric import sentiment_to_class
+from tenor.functions.numeric import sentiment_to_class, whole_number
 from tenor.schemas import LABELS, normalize_columns, require_labels
+from tenor.staging import stage
 
 SPLIT_SEED = 42
 VAL_SIZE = 0.15
@@ -23,7 +23,7 @@ def build_labels(df: DataFrame, labels=LABELS) -> DataFrame:
     any job), null labels -> 0, sentiment -> class 0/1/2, any_pos and stratum."""
     df = normalize_columns(df)
     require_labels(df, labels)
-    df = df.withColumns({c: F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in labels})
+    df = df.withColumns({c: F.coalesce(whole_number(c), F.lit(0)) for c in labels})
     any_pos = (F.greatest(*[F.col(c) for c in labels]) > 0).cast("int") if len(labels) > 1 \
         else (F.col(labels[0]) > 0).cast("int")
     return (df.withColumn("sent_class", sentiment_to_class("sentiment"))
@@ -78,9 +78,8 @@ def stratified_split(df: DataFrame, key: str = "comment_id", seed: int = SPLIT_S
 
 def test_subset(df: DataFrame, ids: DataFrame, key: str = "comment_id") -> DataFrame:
     """Rows whose id (as a string) is in ``ids``."""
-    from tenor.operators.joins import broadcast_bounded
     ids = ids.select(F.col(ids.columns[0]).cast("string").alias(key)).distinct()
-    return df.withColumn(key, F.col(key).cast("string")).join(broadcast_bounded(ids), key, "left_semi")
+    return df.withColumn(key, F.col(key).cast("string")).join(ids, key, "left_semi")
 
 
 def split_ids(df: DataFrame, name: str, key: str = "comment_id") -> DataFrame:
@@ -88,18 +87,27 @@ def split_ids(df: DataFrame, name: str, key: str = "comment_id") -> DataFrame:
     return df.filter(F.col("split") == name).select(F.col(key).cast("string").alias(key))
 
 
-def any_positive(labels=LABELS):
-    return reduce(lambda a, b: a | b, [F.col(c) > 0 for c in labels])
-
-
 def ensure_id(df: DataFrame, key: str = "comment_id", fallback: str = "_row_id") -> tuple[DataFrame, str]:
-    """D3: use ``key`` when present; otherwise (opt-in, for small files read in
-    order) number the rows 0..n-1 in file order as strings, the row index the
-    reference falls back to. Numbering is distributed (``zipWithIndex`` counts
-    each partition, then offsets them); nothing passes through the driver."""
+    """D3: use ``key`` when present; otherwise number the rows 0..n-1 in file order
+    as strings, the row index the reference falls back to.
+
+    Several files count in the order of their paths, and a file's splits in their
+    order, whatever tasks they are read in: a split's rows have consecutive
+    ``monotonically_increasing_id`` values in reading order, and the rows of all
+    splits before it are added (one number per split). A frame that was not read
+    from files counts its partitions instead."""
     if key in df.columns:
         return df.withColumn(key, F.col(key).cast("string")), key
-    from pyspark.sql import types as T
-    schema = T.StructType([*df.schema.fields, T.StructField(fallback, T.LongType(), False)])
-    numbered = df.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1])).toDF(schema)
-    return numbered.withColumn(fallback, F.col(fallback).cast("string")), fallback
+    if fallback in df.columns:  # numbered when it was written
+        return df.withColumn(fallback, F.col(fallback).cast("string")), fallback
+    own = df.columns
+    try:
+        df = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split"))
+    except AnalysisException:
+        df = df.select("*", F.lit("").alias("__file"), F.spark_partition_id().cast("long").alias("__split"))
+    placed = stage(df.withColumn("__at", F.monotonically_increasing_id()), "file-rows")
+    splits = placed.groupBy("__file", "__split").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("__file", "__split", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__off"))
+    ids = placed.join(offsets, ["__file", "__split"]).withColumn(fallback, (F.col("__off") + F.col("__at")).cast("string"))
+    return ids.select(*own, fallback), fallback

@@ -3,11 +3,9 @@
 Character n-gram profiles (Cavnar & Trenkle, 1994; naive Bayes scoring):
 
 * train: grams of lowercased, space-padded words -> counts per (lang, gram)
-  -> the ``top_k`` most frequent grams per language (salted ranking, so one
-  dominant language is not ranked in one task) -> add-one smoothed log
-  probabilities. The profile holds at most ``top_k`` rows per language, which
-  bounds what is broadcast.
-* score: a text's grams join the broadcast profile; per (text, lang) the sum of
+  -> add-one smoothed log probabilities of every gram seen. The counts are
+  summed in the scan's own tasks first, so no text is shuffled.
+* score: a text's grams join the profile; per (text, lang) the sum of
   ``log p - floor`` over matched grams plus ``n_grams * floor`` is the log
   likelihood; the best language wins. Ties, empty texts and texts matching no
   profile gram give null, so the English filter fails open.
@@ -21,10 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenor.functions.text import SPACE, col
-from tenor.operators.ranking import first_n
+from tenor.staging import stage
 
 GRAM = 3
-TOP_K = 1000
 
 
 def _padded(text) -> Column:
@@ -65,19 +62,13 @@ def gram_rows(df: DataFrame, cols, text: str, n: int = GRAM) -> DataFrame:
     return g.filter(in_word(F.col("gram"), n))
 
 
-def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang", n: int = GRAM,
-                   top_k: int = TOP_K) -> DataFrame:
+def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang", n: int = GRAM) -> DataFrame:
     """(lang, gram, delta, floor): delta = log p(gram|lang) - floor, floor = log of
     the smoothed probability of an unseen gram."""
-    # Gram generation is the CPU-heavy step: spread the texts over the session's
-    # shuffle partitions first instead of inheriting the input's split layout.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("__t"))
-    g = gram_rows(texts.repartition(parts), ["lang"], "__t", n)
-    counts = g.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
-    top = first_n(counts, ["lang"], [F.col("c").desc(), F.col("gram")], top_k, salt_cols=["gram"])
-    totals = top.groupBy("lang").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("v"))
-    prof = top.join(totals, "lang")
+    counts = gram_rows(texts, ["lang"], "__t", n).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
+    totals = counts.groupBy("lang").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("v"))
+    prof = counts.join(totals, "lang")
     denom = F.col("total") + F.col("v") + F.lit(1.0)
     floor = -F.log(denom)
     return prof.select("lang", "gram", (F.log(F.col("c") + 1.0) - F.log(denom) - floor).alias("delta"),
@@ -89,32 +80,34 @@ def identify(df: DataFrame, profiles: DataFrame, key: str = "comment_id", text:
     """Add ``out``: the most likely language, or null (tie / nothing matched).
 
     The profile is pivoted to one row per gram with one delta column per
-    language, so every gram occurrence is one row through the broadcast join
-    and the aggregate is per text only. The language list and the per-language
-    floors are read from the profile (one row per language, bounded)."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The profile is small (top_k rows per language): cache it, so reading its
-    # language list and broadcasting it do not train it twice.
-    profiles = profiles.persist()
+    language, so every gram occurrence is one row through the join and the
+    aggregate is per text only. Grams are summed where the text is read: the
+    shuffle carries a key and sums. Texts are told apart by key and content, so
+    a repeated or null key mixes nothing; equal texts get one score. The
+    language list and the floors are read from the profile (a row per language)."""
+    profiles = stage(profiles, "language-profiles")
     floors = {r["lang"]: r["floor"] for r in profiles.groupBy("lang").agg(F.first("floor").alias("floor")).collect()}
     langs = sorted(floors)
+    if not langs:
+        return df.withColumn(out, F.lit(None).cast("string"))
     wide = profiles.groupBy("gram").pivot("lang", langs).agg(F.first("delta"))
     wide = wide.select("gram", *[F.col(f"`{lang}`").alias(f"__d{i}") for i, lang in enumerate(langs)])
-    base = df.repartition(parts, key)
-    g = gram_rows(base.select(key, n_grams(text, n).alias("__n"), F.col(text).alias("__t")), [key, "__n"], "__t", n)
-    sums = (g.join(F.broadcast(wide), "gram")
-             .groupBy(key, "__n")
-             .agg(*[F.sum(f"__d{i}").alias(f"__s{i}") for i in range(len(langs))]))
+    ident = F.struct(F.col(key), F.xxhash64(F.col(text)))
+    g = gram_rows(df.select(ident.alias("__k"), n_grams(text, n).alias("__n"), F.col(text).alias("__t")), ["__k", "__n"], "__t", n)
+    # Rows that repeat key and text add up evenly: the sums are divided by their number.
+    sums = (g.join(wide, "gram", "left")
+             .groupBy("__k", "__n")
+             .agg((F.count(F.lit(1)) / F.col("__n")).alias("__c"),
+                  *[F.sum(f"__d{i}").alias(f"__s{i}") for i in range(len(langs))]))
     # Log likelihood per language that matched at least one gram (null otherwise).
-    ll = [F.col(f"__s{i}") + F.col("__n") * F.lit(floors[lang]) for i, lang in enumerate(langs)]
+    ll = [F.col(f"__s{i}") / F.col("__c") + F.col("__n") * F.lit(floors[lang]) for i, lang in enumerate(langs)]
     best = F.greatest(*ll) if len(ll) > 1 else ll[0]
     at_top = sum((F.coalesce((x == best).cast("int"), F.lit(0)) for x in ll), F.lit(0))
     pick = F.lit(None).cast("string")
     for x, lang in reversed(list(zip(ll, langs))):
         pick = F.when(x == best, F.lit(lang)).otherwise(pick)
-    res = sums.select(key, F.when(at_top == 1, pick).alias(out))
-    return base.join(res, key, "left")
+    res = sums.select("__k", F.when(at_top == 1, pick).alias(out))
+    return df.withColumn("__k", ident).join(res, "__k", "left").drop("__k")
 
 
 def english_only(df: DataFrame, lang: str = "pred_lang", english: str = "en") -> DataFrame:

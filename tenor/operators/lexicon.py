@@ -4,14 +4,14 @@ yearly caps and review samples (W1, W4).
 The reference calls two per-row scoring libraries. Here the lexicons are
 tables and scoring is a Spark job:
 
-    comments --repartition(id)--> tokens (posexplode of one array of structs that
-    already carries the three previous tokens) --broadcast join lexicons-->
-    per-token values --groupBy(id), partial agg--> scores --join back on id-->
+    comments --> tokens (posexplode of one array of structs that already
+    carries the three previous tokens) --join lexicons--> per-token values
+    --partial aggregate in the same task--> shuffle of key + sums --> scores
 
-The comments are hash-partitioned by id once; explode, broadcast joins and the
-aggregate keep that partitioning, so the aggregate and the join back add no
-exchange. Look-back uses array positions, not a window, so a long text is
-never sorted.
+The text itself is never shuffled for scoring: its tokens are summed where it
+is read. Look-back uses array positions, not a window, so a long text is never
+sorted. Rows are told apart by key and text, so a repeated or null id pools
+nothing; rows that repeat both add up evenly and are divided again.
 
 Lexicon numbers are data (seed tables ship for tests and demos); numeric
 equality with any particular library is not claimed.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tenor.functions.numeric import sentiment_label
 from tenor.functions.text import DISTRUST_TERMS, TRUST_TERMS, contains_any, tokens
-from tenor.operators.joins import broadcast_bounded, local_table
+from tenor.operators.joins import local_table
 from tenor.operators.ranking import first_n
 
 # ---------------------------------------------------------------------------
@@ -48,7 +48,6 @@ SAMPLE_SEED = 42
 # ---------------------------------------------------------------------------
 
 SCORE_COLS = ["vader_neg", "vader_neu", "vader_pos", "vader_compound", "tb_polarity", "tb_subjectivity"]
-SEED_MAX_ROWS = 100_000
 
 
 def _read_seed(name: str) -> list[dict]:
@@ -75,13 +74,6 @@ def seed_negations() -> list[str]:
     return [r["token"] for r in _read_seed("negations.csv")]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast a lexicon only when its estimated size is bounded (seed tables
-    are local relations of a few hundred rows); a larger table is joined the
-    ordinary way."""
-    return broadcast_bounded(df)
-
-
 def _lookup(c: Column, d: dict[str, float]) -> Column:
     """Value of a small fixed word table (null when absent): one hash-set
     membership test per distinct value instead of a linear map scan."""
@@ -117,7 +109,8 @@ def token_rows(df: DataFrame, key: str, text: str = "text", lookback: int = 3, c
 
 
 def _lex(lexicon: DataFrame, cols: list[str], prefix: str, on: str = "token") -> DataFrame:
-    return small(lexicon.select(F.col("token").alias(on), *[F.col(c).alias(f"{prefix}{c}") for c in cols]))
+    # The seed tables are local relations, so the planner knows their size and broadcasts them.
+    return lexicon.select(F.col("token").alias(on), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
 
 
 def _is_upper(x: Column) -> Column:
@@ -140,19 +133,13 @@ def _doc_facts(text: str) -> list[Column]:
 
 def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: str = "comment_id",
           text: str = "text", rules: bool = False, boosters: dict | None = None,
-          negations: list[str] | None = None, keep=None, partitions: int | None = None,
-          rebalance: bool = True) -> DataFrame:
-    """Six score columns (``SCORE_COLS``) per ``key`` (unique).
-
-    The rows are hash-partitioned by key once (``rebalance``; the count is the
-    session's shuffle partitions): tokenizing is the CPU-heavy step and must not
-    inherit a narrow upstream layout (one file split, or the few partitions of
-    a per-year cap). The per-key aggregate and the join back reuse that
-    partitioning, so they add no exchange. ``keep=None``: every column of
-    ``df`` is returned with the scores. ``keep=[cols]``: only key, those
-    columns (narrow: ids, years, flags) and the scores; the narrow columns ride
-    along as group keys, so there is no join back and nothing upstream runs
-    twice.
+          negations: list[str] | None = None, keep=None) -> DataFrame:
+    """Six score columns (``SCORE_COLS``) per row; ``key`` may repeat or be null.
+
+    ``keep=None``: every column of ``df`` is returned with the scores (joined
+    back on key and text hash). ``keep=[cols]``: only key, those columns
+    (narrow: ids, years, flags) and the scores; the narrow columns ride along as
+    group keys, so there is no join back.
 
     ``rules=False``: valence is the plain lexicon sum (SQL-checkable);
     ``rules=True``: boosters, ALL-CAPS emphasis, negation in the three previous
@@ -163,11 +150,9 @@ def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: s
     negations = negations if negations is not None else seed_negations()
     join_back = keep is None
     keep = [] if keep is None else list(keep)
-    if rebalance:
-        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n, key)
     facts = _doc_facts(text) if rules else []
-    pre = df.select(key, *keep, text, *facts)
+    pre = df.select(F.struct(F.col(key), F.xxhash64(F.col(text))).alias("__k"), *keep, text, *facts)
+    key, own = "__k", key
     fact_cols = ["__capdiff", "__but", "__amp"] if rules else []
     t = token_rows(pre, key, text, carry=[*keep, *fact_cols])
     t = (t.join(_lex(valence_lex, ["valence"], "", "token"), "token", "left")
@@ -198,8 +183,10 @@ def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: s
         F.sum(F.when(v < 0, v - 1.0).otherwise(0.0)).alias("__neg"),
         F.count(F.when(v == 0, 1)).alias("__neu"),
         F.avg("p").alias("__p"), F.avg("s").alias("__subj"),
+        F.count(F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, 1)).alias("__c"),  # rows with this key and text
         *([F.max("__amp").alias("__amp")] if rules else []),
     )
+    agg = agg.withColumns({c: F.col(c) / F.col("__c") for c in ("__s", "__pos", "__neg", "__neu")})
     if rules:
         amp = F.col("__amp")
         ssum = (F.when(F.col("__s") > 0, F.col("__s") + amp)
@@ -209,7 +196,7 @@ def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: s
     else:
         ssum, pos_sum, neg_sum = F.col("__s"), F.col("__pos"), F.col("__neg")
     agg = agg.select(key, *keep, ssum.alias("__s"), pos_sum.alias("__pos"), neg_sum.alias("__neg"),
-                     "__neu", "__p", "__subj")
+                     "__neu", "__p", "__subj", "__c")
     total = F.col("__pos") - F.col("__neg") + F.col("__neu")
     share = lambda c: F.when(total > 0, F.abs(c) / total).otherwise(F.lit(0.0))
     s_ = F.coalesce(F.col("__s"), F.lit(0.0))
@@ -217,7 +204,7 @@ def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: s
     if rules:
         compound = F.least(F.greatest(compound, F.lit(-1.0)), F.lit(1.0))
     scores = agg.select(
-        key, *keep,
+        key, *keep, "__c",
         share(F.col("__neg")).alias("vader_neg"),
         share(F.col("__neu")).alias("vader_neu"),
         share(F.col("__pos")).alias("vader_pos"),
@@ -225,7 +212,11 @@ def score(df: DataFrame, valence_lex: DataFrame, polarity_lex: DataFrame, key: s
         F.least(F.greatest(F.coalesce(F.col("__p"), F.lit(0.0)), F.lit(-1.0)), F.lit(1.0)).alias("tb_polarity"),
         F.least(F.greatest(F.coalesce(F.col("__subj"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("tb_subjectivity"),
     )
-    return df.join(scores, key, "left") if join_back else scores
+    if join_back:
+        ident = F.struct(F.col(own), F.xxhash64(F.col(text)))
+        return df.withColumn(key, ident).join(scores.drop("__c"), key, "left").drop(key)
+    rows = scores.withColumn("__c", F.explode(F.array_repeat(F.lit(0), F.col("__c").cast("int"))))
+    return rows.select(F.col(f"{key}.{own}").alias(own), *keep, *SCORE_COLS)
 
 
 def _valence_rules(t: DataFrame, valence_lex: DataFrame, boosters: dict, negations: list[str]) -> DataFrame:

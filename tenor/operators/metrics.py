@@ -132,7 +132,7 @@ def tune_thresholds(df: DataFrame, labels=LABELS, prob_suffix: str = "_ft_prob",
     spark = df.sparkSession
     frame = spark.createDataFrame([(i, c) for i, c in enumerate(labels)], "label_no int, label string") \
         .select("label_no", "label", F.explode(F.sequence(F.lit(0), F.lit(len(grid)))).alias("k"))
-    full = F.broadcast(frame).join(counts, ["label_no", "k"], "left").fillna(0, ["pos", "neg"])
+    full = frame.join(counts, ["label_no", "k"], "left").fillna(0, ["pos", "neg"])
     w = Window.partitionBy("label_no").orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
     cum = full.select("label_no", "label", "k",
                       F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),

@@ -90,12 +90,6 @@ def prediction_columns(df: DataFrame, labels=LABELS, thresholds=None, prob_suffi
     return out.withColumn("sent_pred", class_to_sentiment(argmax(SENTIMENT_PROB_COLS)))
 
 
-def logits_to_probs(df: DataFrame, labels=LABELS, logit_suffix: str = "_logit", out_suffix: str = "_p") -> DataFrame:
-    """P14 for every label: sigmoid of the logit."""
-    from tenor.functions.numeric import sigmoid
-    return df.withColumns({f"{c}{out_suffix}": sigmoid(F.col(f"{c}{logit_suffix}")) for c in labels})
-
-
 def expected_windows(n_tokens: int, max_length: int = MAX_LENGTH, stride_frac: float = STRIDE_FRAC) -> int:
     """Plain-Python window count, for tests."""
     width, step = window_shape(max_length, stride_frac)

@@ -50,7 +50,13 @@ def first_n(df: DataFrame, group_cols, order_cols, n: int, rank_col: str | None
     return out.drop(rn)
 
 
-def first_per_key(df: DataFrame, key_cols, order_cols, buckets: int = DEFAULT_SALT_BUCKETS,
-                  salt_cols=None) -> DataFrame:
-    """First-wins deduplication: one row per key, the earliest under ``order_cols``."""
-    return first_n(df, key_cols, order_cols, 1, salt_cols=salt_cols, buckets=buckets)
+def first_per_key(df: DataFrame, key_cols, order_cols) -> DataFrame:
+    """First-wins deduplication: one row per key, the earliest under ``order_cols`` (column
+    names; equal ones are settled by the other columns).
+
+    A grouped minimum: copies meet in the map-side aggregate, so a hot key is
+    reduced before the only shuffle."""
+    first = [c for c in order_cols if c not in key_cols]
+    rest = [c for c in df.columns if c not in key_cols and c not in first]
+    least = df.groupBy(*key_cols).agg(F.min(F.struct(*first, *rest)).alias("__first"))
+    return least.select(*key_cols, *[F.col(f"__first.{c}").alias(c) for c in [*first, *rest]]).select(*df.columns)

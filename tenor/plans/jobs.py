@@ -14,12 +14,13 @@ back, which cuts lineage so a lost executor recomputes from that table.
 from __future__ import annotations
 
 import json
-import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenor.functions.time import epoch_seconds, parse_iso
+from tenor.functions.numeric import IRONY_SENT_EXTRA, LAMBDA_MULTI, LAMBDA_SENT, whole_number
+from tenor.functions.text import DISTRUST_TERMS, TRUST_TERMS
 from tenor.operators import classifier as clf
 from tenor.operators import collect as co
 from tenor.operators import labels as lb
@@ -29,21 +30,11 @@ from tenor.operators import metrics as mt
 from tenor.operators import text as tx
 from tenor.operators.hybrid import hybrid_merge
 from tenor.schemas import LABELS, normalize_columns, require_predictions
-from tenor.session import checkpoint_dir, tune
+from tenor.session import tune
 from tenor.sources import pages as pg
 from tenor.sources import readers as rd
 from tenor.sources import sinks as sk
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir (a shared folder) to stage intermediate tables")
-    path = f"{base.rstrip('/')}/tenor-stage/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+from tenor.staging import stage
 
 
 def _json(spark: SparkSession, obj: dict) -> DataFrame:
@@ -70,35 +61,37 @@ def write_record(spark: SparkSession, obj: dict, path: str) -> None:
 # Collection
 
 def collect_job(spark: SparkSession, search_pages: DataFrame, video_pages: DataFrame,
-                comment_pages: DataFrame, bounds, terms, out: str, variant: str = "general",
-                lang_profiles: DataFrame | None = None, now_iso: str | None = None) -> DataFrame:
-    """Landed pages -> sampled videos (W6) -> comments (U3, P4, W2, W3) + J1 -> K1;
-    returns the ingest summary (A5), also written to ``out/summary``."""
+                comment_pages: DataFrame, years, terms, out: str, variant: str = "general",
+                lang_profiles: DataFrame | None = None, now_iso: str | None = None,
+                target: int | None = None) -> DataFrame:
+    """Landed pages -> sampled videos (W6, in landed order) -> comments (U3, P4, W2,
+    W3) + J1 -> K1; returns the ingest summary (A5), also written to ``out/summary``.
+
+    ``years``: the years to collect, or (year, start, end) bounds. Pages of other
+    years and windows outside the bounds (P1, with ``now_iso`` as the end of the
+    current year) are left out. A video or comment that landed more than once
+    counts once."""
     tune(spark)
-    videos = pg.flatten_video_pages(video_pages).withColumn("year", F.substring("published_at", 1, 4).cast("int"))
-    s = pg.flatten_search_pages(search_pages)
-    meta = videos.select("video_id", "published_at", F.col("year").alias("__vy"))
-    hits = (s.join(search_pages.select(F.explode("items").alias("i")).select(
-                F.col("i.id.videoId").alias("video_id"), F.col("i.statistics.viewCount").alias("views")).distinct(),
-                "video_id", "left")
-             .join(meta, "video_id", "left")
-             .select("video_id", "term", "year", F.coalesce("views", F.lit(0.0)).alias("views"),
-                     epoch_seconds(parse_iso("published_at")).alias("ts_s"))
-             .filter(F.col("ts_s").isNotNull()).distinct())
+    bounds = [b if isinstance(b, tuple) else (b, *co.year_bounds_py(int(b), now_iso or "9999")) for b in years]
+    limits = spark.createDataFrame([(int(y), s, e) for y, s, e in bounds], "year int, lo string, hi string")
+    videos = co.one_per_video(pg.flatten_video_pages(video_pages))
+    videos = stage(videos.withColumn("year", F.substring("published_at", 1, 4).try_cast("int")), "videos")
     if lang_profiles is not None:
-        videos = lg.identify(videos.withColumn("__k", F.col("video_id")), lang_profiles, "__k", "title").drop("__k")
-    sampled = stage(co.window_fill(hits, videos, bounds, terms, variant,
+        videos = stage(lg.identify(videos, lang_profiles, "video_id", "title"), "videos-with-language")
+    hits = (pg.flatten_search_pages(search_pages).withColumn("year", F.col("year").cast("int")).join(limits, "year")
+            .filter((F.col("window_start") >= F.col("lo")) & (F.col("window_end") <= F.col("hi"))).drop("lo", "hi"))
+    sampled = stage(co.fill_landed(hits, videos, terms, variant, target,
                                    english="pred_lang" if lang_profiles is not None else None), "sampled")
-    comments = pg.flatten_comment_pages(comment_pages).join(sampled.select("video_id", "year"), "video_id")
+    comments = pg.flatten_comment_pages(comment_pages).join(sampled.select("year", "video_id"), "video_id")
     english = None
     if lang_profiles is not None:
-        comments = lg.identify(comments, lang_profiles)
+        comments = stage(lg.identify(comments, lang_profiles), "comments-with-language")
         english = "pred_lang"
     collected = co.collect_comments(comments, sampled, english=english)
-    final = co.attach_video(collected, videos).select(
-        "comment_id", "video_id", "text", "published_at", "video_title", "video_published_at", "year")
+    final = stage(co.attach_video(collected, videos).select(
+        "comment_id", "video_id", "text", "published_at", "video_title", "video_published_at", "year"), "collected")
     sk.write_ndjson_by_year(final, f"{out}/comments")
-    summary = co.ingest_summary(sampled, spark.read.json(f"{out}/comments"))
+    summary = stage(co.ingest_summary(sampled, final), "ingest-summary")
     sk.write_json_record(summary, f"{out}/summary")
     return summary
 
@@ -119,16 +112,15 @@ def lexicon_job(spark: SparkSession, patterns, out: str, valence_lex: DataFrame
     sk.write_ndjson_by_year(lx.analyze(removed, valence_lex, polarity_lex, rules=rules), f"{out}/removed_comments")
     capped = stage(lx.cap_per_year(kept, max_per_year), "capped")
     scored = stage(lx.analyze(capped, valence_lex, polarity_lex, rules=rules), "scored")
-    sk.write_csv(scored, f"{out}/comments_sentiment_analysis")
+    sk.write_csv(scored.orderBy("year", F.col("published_at").asc_nulls_last(), "comment_id"), f"{out}/comments_sentiment_analysis")
     sk.write_ndjson_by_year(lx.review_sample(scored, sample_n, seed), f"{out}/samples")
-    summary = lx.yearly_summary(lx.label_sentiment(scored)).orderBy("year")
+    summary = stage(lx.yearly_summary(lx.label_sentiment(scored)), "yearly-summary").orderBy("year")
     sk.write_csv(summary, f"{out}/sentiment_summary_per_year")
-    from tenor.functions.text import DISTRUST_TERMS, TRUST_TERMS
-    sk.write_csv(tx.term_counts(scored, DISTRUST_TERMS).orderBy("term_no").select("term", "count"),
-                 f"{out}/distrust_term_counts")
-    sk.write_csv(tx.term_counts(scored, TRUST_TERMS).orderBy("term_no").select("term", "count"),
-                 f"{out}/trust_term_counts")
-    return spark.read.option("header", True).csv(f"{out}/sentiment_summary_per_year")
+    counts = stage(tx.term_counts(scored, DISTRUST_TERMS + TRUST_TERMS), "term-counts")   # one pass, a row per term
+    n = len(DISTRUST_TERMS)
+    for name, own in (("distrust", F.col("term_no") < n), ("trust", F.col("term_no") >= n)):
+        sk.write_csv(counts.filter(own).orderBy("term_no").select("term", "count"), f"{out}/{name}_term_counts")
+    return summary
 
 
 # ----------------------------------------------------------------------------
@@ -138,12 +130,13 @@ def train_job(spark: SparkSession, labelled_csv: str, out: str, preset: str = "b
     """S2 -> P6/P10 -> A3 -> W5 -> K4 -> M4 -> metrics at 0.5 (K3) -> A10 -> config (K3) -> K5."""
     tune(spark)
     df = normalize_columns(rd.read_labelled_csv(spark, labelled_csv, schema=None))
-    df = df.withColumns({c: F.col(c).cast("int") for c in [*LABELS, "sentiment"] if c in df.columns})
-    df = tx.fill_defaults(df, labels=LABELS)
+    df, key = lb.ensure_id(df)
+    df = df.withColumns({c: whole_number(c) for c in [*LABELS, "sentiment"] if c in df.columns})
+    df = stage(tx.fill_defaults(df, labels=LABELS), "labelled")
     sk.write_json_record(lb.class_frequency(lb.build_labels(df)).groupBy().pivot("label", LABELS).agg(
         F.first("freq")), f"{out}/class_frequencies")
-    model, split, metrics, sent, tuned = clf.train_main(df, preset, **kw)
-    sk.write_split_ids(split, f"{out}/split_ids")
+    model, split, metrics, sent, tuned = clf.train_main(df, preset, key, **kw)
+    sk.write_split_ids(split, f"{out}/split_ids", key)
     sk.write_json_record(one_row({
         "ml_test_f1_micro_default": metrics.select("ml_test_f1_micro_default"),
         "ml_test_f1_macro_default": metrics.select("ml_test_f1_macro_default"),
@@ -153,9 +146,11 @@ def train_job(spark: SparkSession, labelled_csv: str, out: str, preset: str = "b
                          "max_length": model.config.get("max_length"), "preprocessing": {
                              "use_title_prefix": model.config.get("use_title_prefix"),
                              "clean_like_old": model.config.get("clean_like_old")},
-                         "seed": 42, "trained_on": labelled_csv, "model_type": f"tenor-{preset}"},
+                         "seed": 42, "trained_on": labelled_csv, "model_type": f"tenor-{preset}",
+                         "base_model": f"tenor-{preset}", "loss_weights": {"lambda_sent": LAMBDA_SENT, "lambda_multi": LAMBDA_MULTI, "irony_sent_extra": IRONY_SENT_EXTRA},
+                         "timestamp": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")},
                  f"{out}/label_config")
-    test = clf.predict(model, split.filter(F.col("split") == "test"))
+    test = clf.predict(model, split.filter(F.col("split") == "test"), key)
     sk.write_report(mt.multilabel_report(test, model.labels), f"{out}/test_report_multilabel_tuned")
     return model
 
@@ -165,12 +160,22 @@ def predict_job(spark: SparkSession, model_dir: str, input_csv: str, output_csv:
     tune(spark)
     model = clf.load_model(model_dir)
     model.config["slide"] = slide
-    df = normalize_columns(rd.read_labelled_csv(spark, input_csv, schema=None))
-    sk.write_csv(clf.predict(model, df), output_csv)
+    df, key = lb.ensure_id(normalize_columns(rd.read_labelled_csv(spark, input_csv, schema=None)))
+    sk.write_csv(clf.predict(model, stage(df, "to-predict"), key), output_csv)
     write_record(spark, {"model_dir": model_dir, "labels": model.labels, "thresholds": model.thresholds,
                          "slide": slide}, f"{output_csv}_meta")
 
 
+def hybrid_predict_job(spark: SparkSession, base_dir: str, irony_dir: str, input_csv: str, output_csv: str) -> None:
+    """M6: both models on one CSV; irony and sentiment from the specialist -> K2 + provenance (K3)."""
+    tune(spark)
+    base, irony = clf.load_model(base_dir), clf.load_model(irony_dir)
+    df, key = lb.ensure_id(normalize_columns(rd.read_labelled_csv(spark, input_csv, schema=None)))
+    sk.write_csv(clf.predict_hybrid(base, irony, stage(df, "to-predict"), key), output_csv)
+    write_record(spark, {"mode": "hybrid", "base_model_dir": base_dir, "irony_model_dir": irony_dir, "labels": base.labels,
+                         "base_thresholds": base.thresholds, "irony_thresholds": irony.thresholds}, f"{output_csv}_meta")
+
+
 def hybrid_job(spark: SparkSession, base_csv: str, irony_csv: str, out_csv: str) -> None:
     """J2/J3 on two prediction files -> K2 + provenance."""
     tune(spark)
@@ -185,15 +190,21 @@ def hybrid_job(spark: SparkSession, base_csv: str, irony_csv: str, out_csv: str)
 
 
 def evaluate_job(spark: SparkSession, predictions_csv: str, test_ids_path: str, out: str,
-                 labels=LABELS) -> DataFrame:
-    """S2 + S7 -> J4 -> P10 -> A7, A8, A9, A4 -> K3. Returns the metrics row."""
+                 labels=LABELS, config_path: str | None = None) -> DataFrame:
+    """S2 + S7 (+ S6) -> J4 -> P10 -> A7, A8, A9, A4 -> K3. Returns the metrics row.
+
+    With ``config_path`` (a run's ``label_config``) the labels must be those of the run, in its order."""
     tune(spark)
+    if config_path is not None:
+        own = [r["label"] for r in rd.read_label_config(spark, config_path).orderBy("pos").collect()]   # ten rows
+        if own != list(labels):
+            raise ValueError(f"labels of the run are {own}, not {list(labels)}")
     df = normalize_columns(rd.read_labelled_csv(spark, predictions_csv, schema=None))
     require_predictions(df, labels)
     df, key = lb.ensure_id(df)
     ids = rd.read_ids(spark, test_ids_path)
     test = lb.test_subset(df, ids, key).withColumns(
-        {c: F.col(c).cast("int") for c in [*labels, *[f"{c}_ft_pred" for c in labels], "sentiment", "sent_pred"]})
+        {c: whole_number(c) for c in [*labels, *[f"{c}_ft_pred" for c in labels], "sentiment", "sent_pred"]})
     test = stage(test, "test_rows")
     rep = mt.multilabel_report(test, labels)
     sk.write_report(rep, f"{out}/test_report_multilabel")

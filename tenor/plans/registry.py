@@ -9,6 +9,7 @@ rounded to 6 places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from tenor.operators import lexicon as lx
 from tenor.operators import text as tx
 from tenor.plans import sqlgen as sg
 from tenor.plans import views as V
+from tenor.sources import pages as pg
 from tenor.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,9 +61,13 @@ def _kept_removed(spark, sf_dir):
     return tx.split_letters(V.comments(spark, sf_dir, with_removed=True))
 
 
-def _capped(spark, sf_dir):
+# Caps small enough that rows are lost to them at every test size.
+YEAR_CAP, SAMPLE_CAP, VIDEO_CAP, INGEST_CAP, FILL_TARGET = 12, 5, 4, 10, 150
+
+
+def _capped(spark, sf_dir, n=lx.MAX_PER_YEAR):
     kept, _ = _kept_removed(spark, sf_dir)
-    return lx.cap_per_year(kept)
+    return lx.cap_per_year(kept, n)
 
 
 LETTERS = sg.has_letter_sql("text")
@@ -70,6 +76,7 @@ SQL_CAPPED = SQL_KEPT + """, capped AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY year ORDER BY published_at ASC NULLS LAST, comment_id) AS rn
     FROM kept) WHERE rn <= 10000)"""
+SQL_CAPPED_SMALL = SQL_CAPPED.replace("rn <= 10000", f"rn <= {YEAR_CAP}")
 
 
 @register("letters_kept", SQL_KEPT + " SELECT comment_id, year, published_at, text FROM kept")
@@ -85,9 +92,9 @@ def q_letters_removed(spark, sf_dir):
     return removed.select("comment_id", "year", "published_at", "text")
 
 
-@register("year_cap", SQL_CAPPED + " SELECT comment_id, year, published_at FROM capped")
+@register("year_cap", SQL_CAPPED_SMALL + " SELECT comment_id, year, published_at FROM capped")
 def q_year_cap(spark, sf_dir):
-    return _capped(spark, sf_dir).select("comment_id", "year", "published_at")
+    return _capped(spark, sf_dir, YEAR_CAP).select("comment_id", "year", "published_at")
 
 
 FLAGS_SQL = (f"{sg.contains_any_sql('text_lower', DISTRUST_TERMS)} AS is_distrust, "
@@ -207,11 +214,11 @@ def q_term_counts_frequent(spark, sf_dir):
     return _terms(lx.add_flags(_capped(spark, sf_dir)), FREQUENT_TERMS, "frequent")
 
 
-@register("review_sample", SQL_CAPPED + """ SELECT comment_id, year FROM (
+@register("review_sample", SQL_CAPPED + f""" SELECT comment_id, year FROM (
     SELECT comment_id, year, row_number() OVER (PARTITION BY year ORDER BY md5(comment_id || ':42'), comment_id) AS rn
-    FROM capped) WHERE rn <= 1000""")
+    FROM capped) WHERE rn <= {SAMPLE_CAP}""")
 def q_review_sample(spark, sf_dir):
-    return lx.review_sample(_capped(spark, sf_dir)).select("comment_id", "year")
+    return lx.review_sample(_capped(spark, sf_dir), SAMPLE_CAP).select("comment_id", "year")
 
 
 SQL_REMOVED = (V.with_views("raw_comments")
@@ -532,8 +539,7 @@ def q_public_view(spark, sf_dir):
 def _windows_input(spark, sf_dir):
     c = V.comments(spark, sf_dir)
     v = V.videos(spark, sf_dir).select("video_id", F.col("title").alias("video_title"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return tx.add_text_proc(c.join(v, "video_id", "left")).repartition(parts, "comment_id")
+    return tx.add_text_proc(c.join(v, "video_id", "left"))
 
 
 WIDTH, STEP = md.window_shape()
@@ -598,15 +604,19 @@ def q_year_filter(spark, sf_dir):
     return c.join(v, "video_id").filter(in_year("published_at", "year")).select("comment_id", "video_id", "year")
 
 
+# The reference's keywords never occur in the invented pages; the query uses words that do.
+MUSIC_QUERY_WORDS = ["heon", "tion", "eaux"]
+MUSIC_QUERY_SQL = "(" + sg.contains_any_sql("lower(COALESCE(title, ''))", MUSIC_QUERY_WORDS) + " OR " + sg.contains_any_sql(
+    "lower(COALESCE(description, ''))", MUSIC_QUERY_WORDS) + " OR " + sg.contains_any_sql("lower(COALESCE(channel_title, ''))", MUSIC_CHANNEL_MARKERS) + ")"
 MUSIC_SQL = ("(" + sg.contains_any_sql("lower(COALESCE(title, ''))", MUSIC_KEYWORDS)
              + " OR " + sg.contains_any_sql("lower(COALESCE(description, ''))", MUSIC_KEYWORDS)
              + " OR " + sg.contains_any_sql("lower(COALESCE(channel_title, ''))", MUSIC_CHANNEL_MARKERS) + ")")
 
 
-@register("music_filter", V.with_views("videos") + f" SELECT video_id, {MUSIC_SQL} AS is_music FROM videos")
+@register("music_filter", V.with_views("videos") + f" SELECT video_id, {MUSIC_QUERY_SQL} AS is_music FROM videos")
 def q_music_filter(spark, sf_dir):
     v = V.videos(spark, sf_dir)
-    return v.select("video_id", is_music_video("title", "description", "channel_title").alias("is_music"))
+    return v.select("video_id", is_music_video("title", "description", "channel_title", MUSIC_QUERY_WORDS).alias("is_music"))
 
 
 @register("attach_video", V.with_views("comments", "videos")
@@ -628,11 +638,12 @@ pv AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY yea
        ORDER BY video_rank, page, pos) AS rn FROM e) WHERE rn <= 40),
 py AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY year
        ORDER BY video_rank, page, pos) AS rn FROM pv) WHERE rn <= 10000)"""
+COLLECT_SMALL_SQL = COLLECT_SQL.replace("rn <= 40)", f"rn <= {VIDEO_CAP})").replace("rn <= 10000)", f"rn <= {INGEST_CAP})")
 
 
-def _collected(spark, sf_dir):
+def _collected(spark, sf_dir, per_video=co.MAX_COMMENTS_PER_VIDEO, per_year=co.COMMENTS_PER_YEAR):
     landed = V.landed_comments(spark, sf_dir)
-    return co.collect_comments(landed, V.sampled_pairs(landed))
+    return co.collect_comments(landed, V.sampled_pairs(landed), per_video=per_video, per_year=per_year)
 
 
 @register("dedup_comments", V.with_views("landed", "sampled") + """,
@@ -643,20 +654,21 @@ def q_dedup_comments(spark, sf_dir):
     from tenor.operators.ranking import first_per_key
     landed = V.landed_comments(spark, sf_dir)
     j = landed.join(V.sampled_pairs(landed), ["year", "video_id"])
-    d = first_per_key(j, ["year", "comment_id"], ["video_rank", "page", "pos"], salt_cols=["video_id", "page", "pos"])
+    d = first_per_key(j.select("year", "comment_id", "video_rank", "page", "pos", "video_id"),
+                      ["year", "comment_id"], ["video_rank", "page", "pos"])
     return d.select("year", "comment_id", "video_id", "page", "pos")
 
 
-@register("video_cap", COLLECT_SQL + " SELECT year, comment_id, video_id FROM pv")
+@register("video_cap", COLLECT_SMALL_SQL + " SELECT year, comment_id, video_id FROM pv")
 def q_video_cap(spark, sf_dir):
     landed = V.landed_comments(spark, sf_dir)
-    c = co.collect_comments(landed, V.sampled_pairs(landed), per_year=10 ** 12)
+    c = co.collect_comments(landed, V.sampled_pairs(landed), per_video=VIDEO_CAP, per_year=None)
     return c.select("year", "comment_id", "video_id")
 
 
-@register("ingest_cap", COLLECT_SQL + " SELECT year, comment_id, video_id, published_at FROM py")
+@register("ingest_cap", COLLECT_SMALL_SQL + " SELECT year, comment_id, video_id, published_at FROM py")
 def q_ingest_cap(spark, sf_dir):
-    return _collected(spark, sf_dir).select("year", "comment_id", "video_id", "published_at")
+    return _collected(spark, sf_dir, VIDEO_CAP, INGEST_CAP).select("year", "comment_id", "video_id", "published_at")
 
 
 @register("ingest_summary", COLLECT_SQL + """, sv AS (SELECT year, count(*) AS videos FROM sampled GROUP BY year),
@@ -689,10 +701,9 @@ def _wins_sql() -> str:
     return f"SELECT * FROM (VALUES {rows}) w(year, level, idx, start_s, end_s, window_start)"
 
 
-def _fill_sql(variant: str) -> str:
+def _fill_sql(variant: str, target: int | None = None) -> str:
     terms = GENERAL_TERMS if variant == "general" else EARLY_TERMS
-    target = co.VIDEO_SAMPLE_SIZE if variant == "general" else co.VIDEO_SAMPLE_SIZE_EARLY
-    L = co.MAX_RESULTS_PER_SEARCH
+    target = target or (co.VIDEO_SAMPLE_SIZE if variant == "general" else co.VIDEO_SAMPLE_SIZE_EARLY)
     tl = "[" + ", ".join(sg.q(t) for t in terms) + "]"
     pages_target = -(-target // co.SEARCH_PAGE_SIZE) * co.SEARCH_PAGE_SIZE
     head = V.with_views("hits", "hit_videos") + f""", wins AS ({_wins_sql()}),
@@ -702,7 +713,7 @@ hw2 AS (SELECT * FROM hw WHERE term_no IS NOT NULL AND term_no >= 0 {'AND term_n
 r AS (SELECT *, 0 AS ord_no, row_number() OVER (PARTITION BY year, level, idx, term_no ORDER BY views DESC, video_id) AS rank FROM hw2
       UNION ALL
       SELECT *, 1 AS ord_no, row_number() OVER (PARTITION BY year, level, idx, term_no ORDER BY ts_s DESC, video_id) AS rank FROM hw2),
-r2 AS (SELECT * FROM r WHERE rank <= {L}),"""
+r2 AS (SELECT * FROM r),"""
     if variant == "general":
         head += f"""
 n1 AS (SELECT year, level, idx, count(*) AS n1 FROM r2 WHERE ord_no = 0 AND rank <= {pages_target} GROUP BY year, level, idx),
@@ -724,11 +735,12 @@ fin AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY start_s, level,
     return head
 
 
-@register("window_fill", _fill_sql("general")
+@register("window_fill", _fill_sql("general", FILL_TARGET)
           + " SELECT year, CAST(video_rank AS INTEGER) AS video_rank, video_id, level, window_start FROM fin"
-          + f" WHERE video_rank <= {co.VIDEO_SAMPLE_SIZE}")
+          + f" WHERE video_rank <= {FILL_TARGET}")
 def q_window_fill(spark, sf_dir):
-    return co.window_fill(V.event_hits(spark, sf_dir), V.event_videos(spark, sf_dir), FILL_BOUNDS, GENERAL_TERMS)
+    """A small target, so that the second order is searched in some windows and not in others."""
+    return co.window_fill(V.event_hits(spark, sf_dir), V.event_videos(spark, sf_dir), FILL_BOUNDS, GENERAL_TERMS, target=FILL_TARGET)
 
 
 @register("window_fill_early", _fill_sql("early")
@@ -750,6 +762,29 @@ def q_candidate_rank(spark, sf_dir):
     return r.select("year", "level", "idx", F.col("term_no").cast("int"), "ord_no", "rank", "video_id")
 
 
+LANDED_TERMS = ["purchase", "view", "click"]
+LANDED_TARGET = 300
+
+
+@register("landed_search_order", f"""WITH p AS (SELECT CAST(event_id % 700 AS VARCHAR) AS video_id, event_id // 50 AS page,
+    event_id, list_position([{', '.join(sg.q(t) for t in LANDED_TERMS)}], event_type) AS term_no FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY term_no, page ORDER BY event_id) AS pos FROM p WHERE term_no IS NOT NULL),
+f AS (SELECT video_id, min({{'t': term_no, 'p': page, 'o': pos}}) AS o FROM r GROUP BY video_id)
+SELECT CAST(row_number() OVER (ORDER BY o, video_id) AS INTEGER) AS video_rank, video_id FROM f
+ORDER BY o, video_id LIMIT {LANDED_TARGET}""")
+def q_landed_search_order(spark, sf_dir):
+    """W6 over landed pages: the service's own order of terms, pages and positions."""
+    e = V.table(spark, sf_dir, "events").select(
+        F.lit(2024).alias("year"), F.lit("2024-01-01T00:00:00Z").alias("window_start"), F.lit("2024-01-31T00:00:00Z").alias("window_end"),
+        F.col("event_type").alias("term"), F.lit("date").alias("ord"), F.expr("CAST(event_id div 50 AS INT)").alias("page"), "event_id")
+    item = F.struct(F.struct((F.col("event_id") % 700).cast("string").alias("videoId")).alias("id"))
+    pages = pg.pack_pages(e, ["year", "window_start", "window_end", "term", "ord", "page"], "event_id", item)
+    hits = pg.flatten_search_pages(pages)
+    videos = hits.select("video_id", "year", F.lit("news").alias("title"), F.lit("").alias("description"), F.lit("c").alias("channel_title"),
+                         F.lit("2024-01-02T00:00:00Z").alias("published_at"))
+    return co.fill_landed(hits, videos, LANDED_TERMS, "early", LANDED_TARGET).select("video_rank", "video_id")
+
+
 @register("window_yield", _fill_sql("general") + """ SELECT year, level, window_start, count(*) AS n_videos
   FROM fin WHERE video_rank <= 3000 GROUP BY year, level, window_start""")
 def q_window_yield(spark, sf_dir):
@@ -771,29 +806,30 @@ def _docs_with_titles(spark, sf_dir):
 
 
 def _identified(spark, sf_dir):
-    docs = V.comments(spark, sf_dir)
-    return lg.identify(docs, lg.train_profiles(docs))
+    """Every text is scored by profiles that were trained on the other half of the documents."""
+    docs = V.comments(spark, sf_dir).select("comment_id", "doc_id", "year", "lang", "text")
+    half = F.col("doc_id") % 2
+    a, b = (lg.identify(docs.filter(half == k), lg.train_profiles(docs.filter(half != k))) for k in (0, 1))
+    return a.unionByName(b)
 
 
 LANG_SQL = V.with_views("comments") + f""",
-pad AS (SELECT comment_id, lang, ' ' || regexp_replace(lower(COALESCE(text, '')), {sg.q(SPACE + '+')}, ' ', 'g') || ' ' AS t
+pad AS (SELECT comment_id, doc_id % 2 AS half, lang, ' ' || regexp_replace(lower(COALESCE(text, '')), {sg.q(SPACE + '+')}, ' ', 'g') || ' ' AS t
         FROM comments),
-g AS (SELECT comment_id, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram
+g AS (SELECT comment_id, half, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram
       FROM pad),
 gw AS (SELECT * FROM g WHERE substr(gram, 2, 1) <> ' '),
-cnt AS (SELECT lang, gram, count(*) AS c FROM gw WHERE lang IS NOT NULL GROUP BY lang, gram),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) AS rn FROM cnt)
-        WHERE rn <= {lg.TOP_K}),
-tot AS (SELECT lang, sum(c) AS total, count(*) AS v FROM top GROUP BY lang),
-prof AS (SELECT t.lang, t.gram,
+cnt AS (SELECT half, lang, gram, count(*) AS c FROM gw WHERE lang IS NOT NULL GROUP BY half, lang, gram),
+tot AS (SELECT half, lang, sum(c) AS total, count(*) AS v FROM cnt GROUP BY half, lang),
+prof AS (SELECT t.half, t.lang, t.gram,
                 ln(t.c + 1.0) - ln(tot.total + tot.v + 1.0) - (-ln(tot.total + tot.v + 1.0)) AS delta,
                 -ln(tot.total + tot.v + 1.0) AS floor
-         FROM top t JOIN tot ON tot.lang = t.lang),
+         FROM cnt t JOIN tot ON tot.lang = t.lang AND tot.half = t.half),
 nn AS (SELECT comment_id, greatest(length(t) - 2, 0)
               - (length(substr(t, 2, length(t) - 2)) - length(replace(substr(t, 2, length(t) - 2), ' ', ''))) AS n
        FROM pad),
 ll AS (SELECT gw.comment_id, prof.lang, sum(prof.delta) + max(nn.n) * max(prof.floor) AS ll
-       FROM gw JOIN prof ON prof.gram = gw.gram JOIN nn ON nn.comment_id = gw.comment_id
+       FROM gw JOIN prof ON prof.gram = gw.gram AND prof.half <> gw.half JOIN nn ON nn.comment_id = gw.comment_id
        GROUP BY gw.comment_id, prof.lang),
 best AS (SELECT comment_id, max(ll) AS m FROM ll GROUP BY comment_id),
 pick AS (SELECT ll.comment_id, CASE WHEN count(*) = 1 THEN min(ll.lang) END AS pred_lang
@@ -803,14 +839,14 @@ pick AS (SELECT ll.comment_id, CASE WHEN count(*) = 1 THEN min(ll.lang) END AS p
 @register("language_id", LANG_SQL + " SELECT c.comment_id, c.lang, p.pred_lang FROM comments c"
           " LEFT JOIN pick p ON p.comment_id = c.comment_id")
 def q_language_id(spark, sf_dir):
-    """M3: char-trigram profiles trained on the labelled languages, scored per text; rows-only."""
+    """M3: character trigram profiles, scored per text."""
     return _identified(spark, sf_dir).select("comment_id", "lang", "pred_lang")
 
 
 @register("english_only", LANG_SQL + " SELECT c.comment_id, c.year, p.pred_lang FROM comments c"
           " LEFT JOIN pick p ON p.comment_id = c.comment_id WHERE COALESCE(p.pred_lang, 'en') = 'en'")
 def q_english_only(spark, sf_dir):
-    """P4 over M3's output: keep English, keep unknown (fails open); rows-only."""
+    """P4 over M3's output: keep English, keep unknown (fails open)."""
     return lg.english_only(_identified(spark, sf_dir)).select("comment_id", "year", "pred_lang")
 
 
@@ -840,6 +876,24 @@ def q_predict_multitask(spark, sf_dir):
     return _round_preds(preds).select("comment_id", *PREDICTION_COLS)
 
 
+@register("predict_invariants", "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, CAST(0 AS BIGINT) AS bad_probs,"
+          " CAST(0 AS BIGINT) AS bad_sums, CAST(0 AS BIGINT) AS bad_preds, CAST(0 AS BIGINT) AS bad_sentiments FROM documents")
+def q_predict_invariants(spark, sf_dir):
+    """M5, stated invariants over real predictions: every row once, probabilities in range, the three
+    sentiments summing to 1, each prediction equal to its probability cut at the model's threshold."""
+    model, *_ = clf.train_main(V.gold(spark, sf_dir))
+    p = clf.predict(model, _docs_with_titles(spark, sf_dir))
+    probs = [f"{c}_ft_prob" for c in LABELS] + ["sent_neg_prob", "sent_neu_prob", "sent_pos_prob"]
+    any_of = lambda cs: reduce(lambda a, b: a | b, cs)
+    s = [F.col(c) for c in probs[-3:]]
+    best = F.when((s[0] >= s[1]) & (s[0] >= s[2]), -1).when(s[1] >= s[2], 0).otherwise(1)
+    return p.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("comment_id").alias("n_ids"),
+                 F.count_if(any_of([~F.coalesce(F.col(c).between(0, 1), F.lit(False)) for c in probs])).alias("bad_probs"),
+                 F.count_if(F.abs(s[0] + s[1] + s[2] - 1) > 1e-9).alias("bad_sums"),
+                 F.count_if(any_of([F.col(f"{c}_ft_pred") != (F.col(f"{c}_ft_prob") >= t).cast("int") for c, t in zip(LABELS, model.thresholds)])).alias("bad_preds"),
+                 F.count_if(F.col("sent_pred") != best).alias("bad_sentiments"))
+
+
 @register("predict_hybrid")
 def q_predict_hybrid(spark, sf_dir):
     """M6: base and specialist presets on the same input, merged by id; rows-only."""
@@ -854,7 +908,6 @@ def q_predict_hybrid(spark, sf_dir):
 # Landed pages -> rows. Pages are landed from the driver tables by Spark
 # (a page holds at most 100 / 50 items, as an API page does), then flattened.
 
-from tenor.sources import pages as pg  # noqa: E402
 
 
 def _landed_comment_pages(spark, sf_dir):

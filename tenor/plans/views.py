@@ -11,16 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenor.functions.text import LETTER
 from tenor.functions.time import iso, plus_seconds, year_start_ntz
 from tenor.schemas import LABELS
 
 # Multipliers of the two pseudo-model probability views (base, specialist).
 BASE_MULT = 7919
 IRONY_MULT = 104729
-# Fixed values from the reference's run artifacts: per-label thresholds of the
-# base run and of the specialist (irony) run, in label order.
-BASE_THRESHOLDS = [0.5, 0.2, 0.3, 0.15, 0.2, 0.5, 0.5, 0.1, 0.5, 0.15]
-IRONY_THRESHOLDS = [0.05, 0.05, 0.2, 0.2, 0.25, 0.1, 0.05, 0.05, 0.5, 0.1]
+# Own values: any will do, as long as labels differ.
+BASE_THRESHOLDS = [round(0.25 + 0.05 * j, 2) for j in range(10)]
+IRONY_THRESHOLDS = [round(0.7 - 0.05 * j, 2) for j in range(10)]
 
 # Gold labels: two come from the labels table, the rest by arithmetic on doc_id.
 LABEL_EXPR = {
@@ -36,7 +36,6 @@ LABEL_EXPR = {
     "discrim_manual": "CASE WHEN doc_id % 29 = 0 THEN 1 ELSE 0 END",
 }
 SENTIMENT_EXPR = "CAST(doc_id % 3 - 1 AS INT)"
-REMOVED_TEXT = "123 !!"
 TITLE_RE = "<title>([^<]*)</title>"
 HOST_RE = "://([^/]+)"
 
@@ -60,19 +59,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def comments(spark: SparkSession, sf_dir: str, with_removed: bool = False) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     year = (F.lit(2010) + F.col("doc_id") % 15).cast("int")
-    text = (F.when(F.col("doc_id") % 10 == 0, F.lit(REMOVED_TEXT)).otherwise(F.col("text"))
-            if with_removed else F.col("text"))
-    return d.select(
+    rows = d.select(
         F.col("doc_id").cast("string").alias("comment_id"),
         F.col("doc_id"),
         F.col("source").alias("video_id"),
         year.alias("year"),
         iso(plus_seconds(year_start_ntz(year), (F.col("doc_id") * 7919) % 31536000)).alias("published_at"),
-        text.alias("text"),
+        F.col("text"),
         F.col("lang"),
         F.expr("CAST(doc_id div 100 AS INT)").alias("page"),
         F.expr("CAST(doc_id % 100 AS INT)").alias("pos"),
     )
+    if not with_removed:
+        return rows
+    # Every document stays; one in ten comes again under a new id without its letters.
+    bare = rows.filter(F.col("doc_id") % 10 == 0).withColumns({
+        "comment_id": F.concat(F.lit("r"), F.col("comment_id")), "text": F.regexp_replace("text", LETTER, "")})
+    return rows.unionByName(bare)
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +129,9 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
                text, lang, CAST(doc_id // 100 AS INTEGER) AS page, CAST(doc_id % 100 AS INTEGER) AS pos
         FROM documents"""),
     "raw_comments": (["comments"], f"""
-        SELECT comment_id, doc_id, video_id, year, published_at,
-               CASE WHEN doc_id % 10 = 0 THEN '{REMOVED_TEXT}' ELSE text END AS text,
-               lang, page, pos
-        FROM comments"""),
+        SELECT * FROM comments UNION ALL
+        SELECT 'r' || comment_id, doc_id, video_id, year, published_at, regexp_replace(text, '{LETTER}', '', 'g'), lang, page, pos
+        FROM comments WHERE doc_id % 10 = 0"""),
     "videos": ([], f"""
         SELECT 'src' || CAST(page_id AS VARCHAR) AS video_id,
                regexp_extract(html, '{TITLE_RE}', 1) AS title,

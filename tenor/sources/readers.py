@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from tenor.schemas import COMMENT, LABEL_CONFIG, LABELLED
 
-YEAR_FROM_FILE = r"comments_(\d{4})\.ndjson"
+# ``comments_2015.ndjson``, or a file of the per-year sink (``year=2015/part-...``).
+YEAR_FROM_FILE = r"(?:comments_|/year=)(\d{4})(?=\.ndjson|/[^/]*$)"
 
 
 def expand_globs(spark: SparkSession, patterns) -> list[str]:
@@ -22,20 +23,26 @@ def expand_globs(spark: SparkSession, patterns) -> list[str]:
     for pat in patterns:
         path = jvm.org.apache.hadoop.fs.Path(pat)
         statuses = path.getFileSystem(conf).globStatus(path)
-        for st in statuses or []:
+        todo = list(statuses or [])
+        while todo:
+            st = todo.pop()
             if st.isFile():
                 found.add(st.getPath().toString())
+            else:  # a folder stands for its files, but for markers and hidden ones
+                fs = st.getPath().getFileSystem(conf)
+                todo += [x for x in fs.listStatus(st.getPath()) if x.getPath().getName()[:1] not in ("_", ".")]
     return sorted(found)
 
 
 def read_comments(spark: SparkSession, patterns, schema: T.StructType = COMMENT) -> DataFrame:
     """S1 + U1: NDJSON comment files over many glob patterns, one JSON object per
     line, ``year`` from the file name. A file matched by several patterns is read
-    once. A matching file without a four-digit year in its name fails the job."""
+    once; a folder, such as the per-year sink writes, stands for its files. A file
+    without a four-digit year in its name, and a line that is no JSON, fail the job."""
     files = expand_globs(spark, patterns)
     if not files:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("year", T.IntegerType())]))
-    df = spark.read.schema(schema).json(files)
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(files)
     path = F.col("_metadata.file_path")
     year = F.regexp_extract(path, YEAR_FROM_FILE, 1)
     return df.withColumn("year", F.when(year != "", year.cast("int")).otherwise(

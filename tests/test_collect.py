@@ -23,12 +23,12 @@ def test_year_bounds_now_caps_current_year():
     assert co.year_bounds_py(2024, "2024-06-30T12:00:00Z")[1] == "2024-06-30T12:00:00Z"
 
 
-def py_walk(hits, eligible, start, end, terms, variant, target, limit, page):
+def py_walk(hits, eligible, start, end, terms, variant, target, page):
     """The reference's loop with distinct videos."""
     def search(s, e, term, order):
         hs = [h for h in hits if s <= h[1] <= e and h[3] == term]
         key = (lambda h: (-h[2], h[0])) if order == "viewCount" else (lambda h: (-h[1], h[0]))
-        return [h[0] for h in sorted(hs, key=key)][:limit]
+        return [h[0] for h in sorted(hs, key=key)]
 
     def fetch(s, e):
         ids = []
@@ -80,15 +80,15 @@ def test_window_fill_equals_the_loop(spark, variant, seed):
         eligible[vid] = rnd.random() < 0.8
     # one video per (video, term, ts) row; keep the first of exact duplicates
     hits = list({(h[0], h[3]): h for h in hits}.values())
-    target, limit, page = 25, 12, 5
-    expect = py_walk(hits, eligible, s0, e0, terms, variant, target, limit, page)
+    target, page = 25, 5
+    expect = py_walk(hits, eligible, s0, e0, terms, variant, target, page)
 
     hdf = spark.createDataFrame([(v, ts, vw, t, 2015) for v, ts, vw, t in hits],
                                 "video_id string, ts_s long, views double, term string, year int")
     vdf = spark.createDataFrame(
         [(v, 2015, "music lyrics" if not ok else "t", "", "ch", "2015-01-02T00:00:00Z") for v, ok in eligible.items()],
         "video_id string, year int, title string, description string, channel_title string, published_at string")
-    got = co.window_fill(hdf, vdf, [(2015, start_iso, end_iso)], terms, variant, target, limit, page_size=page)
+    got = co.window_fill(hdf, vdf, [(2015, start_iso, end_iso)], terms, variant, target, page_size=page)
     got = [r.video_id for r in got.orderBy("video_rank").collect()]
     assert got == expect
 

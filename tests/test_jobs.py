@@ -16,7 +16,7 @@ def test_language_identification(spark):
          ("2", "der hund und die katze sind in dem haus mit dem mann", "de"),
          ("3", "le chat et le chien sont dans la maison avec le monsieur", "fr")],
         "comment_id string, text string, lang string")
-    prof = lg.train_profiles(train, top_k=200)
+    prof = lg.train_profiles(train)
     test = spark.createDataFrame([("a", "the man and the house"), ("b", "die katze und der hund"),
                                   ("c", ""), ("d", "zzzz qqqq")], "comment_id string, text string")
     got = {r.comment_id: r.pred_lang for r in lg.identify(test, prof).collect()}

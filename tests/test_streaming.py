@@ -39,3 +39,14 @@ def test_ingest_writes_per_year_files_once(spark, tmp):
     start_ingest(spark, land, out, ckpt, available_now=True).awaitTermination(120)   # rerun: nothing new
     got = spark.read.json(out).collect()
     assert [(r.comment_id, r.year, r.is_trust) for r in got] == [("a", 2011, False)]
+
+
+def test_older_years_that_land_later_are_kept(spark, tmp):
+    from tenor.streaming.ingest import start_ingest
+    land, out, ckpt = (os.path.join(tmp, x) for x in ("land3", "out3", "ckpt3"))
+    os.makedirs(land)
+    for year in (2012, 2010, 2013):
+        with open(os.path.join(land, f"comments_{year}.ndjson"), "w") as fh:
+            fh.write(json.dumps({"comment_id": f"c{year}", "text": "hello", "published_at": f"{year}-03-01T00:00:00Z"}) + "\n")
+        start_ingest(spark, land, out, ckpt, available_now=True).awaitTermination(120)
+    assert sorted(r.year for r in spark.read.json(out).collect()) == [2010, 2012, 2013]
