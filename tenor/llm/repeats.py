@@ -47,9 +47,9 @@ RUN = 4096
 #: Contents of an anchor beyond which its windows are dealt one by one.
 HOT = 4096
 #: Segments that a task gathers before it packs them by bucket.
-PACKED = 1_000_000
+PACKED = 500_000
 #: Bytes of text that a bucket of anchors, of documents, and a shard of open segments stands for.
-TEXT_PER_BUCKET = 16 << 20
+TEXT_PER_BUCKET = 8 << 20
 #: Stands for a null id in the order of documents: after all others.
 LAST = np.iinfo(np.int64).max
 
