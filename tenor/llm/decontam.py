@@ -28,7 +28,6 @@ from tenor.llm.common import byte_views, fan_out
 BLOCK_WORDS = 200_000
 #: A word is a run of 0-9, a-z (after lower-casing A-Z) and anything beyond ASCII; other bytes become blanks.
 _KEEP = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-_SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: memoryview | bytes | None) -> list[bytes]:
