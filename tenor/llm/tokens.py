@@ -32,7 +32,7 @@ WIDTHS = (8, 8, 16)
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 20
 #: Chunks whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 600_000
 TEXT_PER_RANGE = 24 << 20
 
 
