@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Characters a word is read in at once; longer ones are read in parts, which keeps the products in range.
+#: Characters a word is read in at once; longer ones are read in parts.
 WORD_PART = 24
 #: Words whose scores a worker remembers.
 CACHE = 300_000
@@ -62,8 +62,12 @@ class Scorer:
 
     def __init__(self, path: str, table: np.ndarray):
         """``table``: probabilities, one row per piece and a last one for an odd character; a column per language."""
-        _, self.ids, self.beginnings = vocabulary(path)
-        self.table = table
+        sp, self.ids, self.beginnings = vocabulary(path)
+        # Products of the rarest pieces leave the range of doubles once the counts are large enough. So each character
+        # counts for the inverse square root of the least probability, which is taken out again at the end.
+        self.per_character = -0.5 * np.log(table[-1]) if len(table) else np.zeros(0)
+        lengths = np.array([len(sp.id_to_piece(i)) for i in range(len(sp))] + [1])
+        self.table = table * np.exp(np.minimum(lengths, WORD_PART)[:, None] * self.per_character)
         self.known: dict[str, int] = {}
         self.logs, self.uses = np.zeros((0, table.shape[1])), np.zeros(0, np.int32)
 
@@ -97,7 +101,8 @@ class Scorer:
                 w = edge >> 30
                 new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))  # words come in order
                 alpha[w[new], j] = np.add.reduceat(alpha[w, edge >> 24 & 63] * self.table[edge & 0xFFFFFF], new, axis=0)
-        return np.log(alpha[np.arange(len(parts)), [len(s) for s in parts]])
+        lengths = np.array([len(s) for s in parts])
+        return np.log(alpha[np.arange(len(parts)), lengths]) - lengths[:, None] * self.per_character
 
     def words(self, words: list[str]) -> np.ndarray:
         """One row per word; those that were used only once are forgotten when there are too many."""

@@ -10,6 +10,8 @@ split of the 64 bits into m parts with thresholds t1 + ... + tm = t - m + 1
   probes and candidates; how full the parts' buckets are is counted over all fingerprints.
 * Every fingerprint is indexed under its value of each part, and probes the
   values within the part's threshold; what meets is verified on all 64 bits.
+* Where very many rows meet under one value, they are cut into slices, and every
+  two slices meet in a bucket of their own.
 
 Documents are reduced to different fingerprints first, so copies cost nothing.
 A task that joins buckets returns links that keep what it found connected (a
@@ -33,6 +35,9 @@ from tenor.llm.common import byte_views, fan_out, stage
 BITS = 64
 #: Rows of index and probes in one bucket join.
 ROWS_PER_BUCKET = 400_000
+#: Rows that meet under one value from which they are dealt to several buckets. There are about ``HEAVY_VALUES`` such
+#: values at most (they are broadcast): with over ``ROWS_PER_VALUE * HEAVY_VALUES`` rows in all, it takes more to be one.
+ROWS_PER_VALUE, HEAVY_VALUES = 200_000, 100_000
 #: Pairs held at once when the rows of a value are compared.
 PAIRS_AT_ONCE = 4_000_000
 #: Cost of a probe row against a candidate pair: probes are shuffled, pairs only compared.
@@ -185,6 +190,48 @@ def crowding(fps: DataFrame, n: int, p: np.ndarray, groups: list[list[int]]) ->
     return [max(1e-3, pairs.get(k, 0.0) / max(1.0, n + n * (n - 1.0) * within(p[g], 0)[0])) for k, g in enumerate(groups)]
 
 
+def crowded_values(fps: DataFrame, used: list[tuple[list[int], int]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the values under which more than ``most`` rows can meet, in order, slices of each).
+
+    A value's rows are those that have it and those that probe it, so a value with over ``most / 2`` fingerprints
+    counts for every value it probes, and one with fewer only by itself. What comes back is bounded, as ``most`` is
+    at least the number of all rows by ``HEAVY_VALUES``.
+    """
+    value = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(g)))).alias("value")) for k, (g, _) in enumerate(used)])
+    counts = fps.select(F.explode(value).alias("x")).select("x.*").groupBy("part", "value").count().filter(F.col("count") > most // 2).collect()
+    load: dict[int, int] = {}
+    for r in counts:
+        around = (np.uint64(r["value"] % (1 << 64)) ^ _flips(*used[r["part"]]))
+        for key in _mixed(around, r["part"]).tolist():
+            load[key] = load.get(key, 0) + r["count"]
+    heavy = sorted(k for k, n in load.items() if n > most // 2)
+    return np.array(heavy, np.uint64), np.array([fan_out(2 * load[k], most) for k in heavy], np.int64)
+
+
+def _flips(group: list[int], t: int) -> np.ndarray:
+    """What turns a value into itself and into the values it probes."""
+    return np.array([0, *[_mask(c) for k in range(1, t + 1) for c in itertools.combinations(group, k)]], np.uint64)
+
+
+def _mixed(value: np.ndarray, part: int) -> np.ndarray:
+    key = (value ^ (value >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (key ^ (key >> np.uint64(29))) + np.uint64(part)
+
+
+def spread(key: np.ndarray, fp: np.ndarray, home: np.ndarray, heavy: np.ndarray, slices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows, those of heavy keys once for each slice that theirs is to meet: under a new key for the two slices."""
+    if not len(heavy):
+        return key, fp, home
+    place = np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)
+    times = np.where(heavy[place] == key, slices[place], 1)
+    row = np.repeat(np.arange(len(key)), times)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    n = times[row]
+    own = ((_mixed(fp, 0) >> np.uint64(7))[row] % n.astype(np.uint64)).astype(np.int64)
+    pair = (np.minimum(own, other) * n + np.maximum(own, other)).astype(np.uint64)
+    return np.where(n > 1, _mixed(key[row] + pair * np.uint64(0xC2B2AE3D27D4EB4F), 0), key[row]), fp[row], home[row]
+
+
 def _mask(bits: list[int]) -> int:
     return sum(1 << b for b in bits)
 
@@ -260,13 +307,12 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     groups, thresholds, n = plan(fps, distance)
     used = [(g, t) for g, t in zip(groups, thresholds) if t >= 0]
     each = sum(1 + probes(len(g), t) for g, t in used)
-    buckets = fan_out(n * each, ROWS_PER_BUCKET)
-    flips = [np.array([0, *[_mask(c) for k in range(1, t + 1) for c in itertools.combinations(g, k)]], np.uint64) for g, t in used]
+    flips = [_flips(g, t) for g, t in used]
     masks = [np.uint64(_mask(g)) for g, _ in used]
-
-    def mixed(key: np.ndarray) -> np.ndarray:
-        key = (key ^ (key >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        return key ^ (key >> np.uint64(29))
+    most = max(ROWS_PER_VALUE, n * each // HEAVY_VALUES)
+    heavy, slices = crowded_values(fps, used, most)
+    buckets = fan_out(n * each + most * int((slices * (slices - 1)).sum()), ROWS_PER_BUCKET)
+    sent = fps.sparkSession.sparkContext.broadcast((heavy, slices))
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows (bucket; keys, fingerprints, index or probe), packed per bucket. A row is an index row under its own
@@ -276,10 +322,10 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
             for some in np.array_split(every, fan_out(len(every) * each, 2_000_000)):
                 keys, fps_, home = [], [], []
                 for k, (mask, flip) in enumerate(zip(masks, flips)):
-                    keys.append(mixed(((some & mask)[:, None] ^ flip[None, :]).ravel()) + np.uint64(k))
+                    keys.append(_mixed(((some & mask)[:, None] ^ flip[None, :]).ravel(), k))
                     fps_.append(np.repeat(some, len(flip)))
                     home.append(np.tile(np.arange(len(flip)) == 0, len(some)))
-                key, fp, own = np.concatenate(keys), np.concatenate(fps_), np.concatenate(home)
+                key, fp, own = spread(np.concatenate(keys), np.concatenate(fps_), np.concatenate(home), *sent.value)
                 bucket = (key >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 key, fp, own, bucket = key[order], fp[order], own[order], bucket[order]

@@ -174,6 +174,16 @@ def test_forward_sums_all_segmentations():
         assert g == pytest.approx([np.log(total("▁" + w, k)) for k in (0, 1)])
 
 
+def test_rare_pieces_stay_in_range():
+    """Counts of some 10^15: a part of odd characters has a probability below the smallest double."""
+    path = queries.tokenizer_path(queries.PIECES)
+    table = np.full((32001, 2), 1e-16)
+    table[-1] = [1e-17, 1e-18]
+    logs = langid.Scorer(path, table).words(["\U00010400" * 23, "a"])
+    assert np.isfinite(logs).all()
+    assert logs[0] == pytest.approx(np.log(1e-16) + 23 * np.log(table[-1]), rel=1e-6)
+
+
 def test_languages_held_out(spark, documents, edge, wide, nothing):
     path = queries.tokenizer_path(queries.PIECES)
     model = queries.language_model(spark.read.parquet(f"{SF}/../sf0.01/documents.parquet"))

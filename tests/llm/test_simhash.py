@@ -38,9 +38,12 @@ def test_keep_one(edge, wide):
     assert sorted((r["doc_id"] for r in kept.collect()), key=order) == want
 
 
-@pytest.mark.parametrize("seed,n", [(1, 400), (2, 800)])
-def test_links_of_crowded_fingerprints(spark, seed, n):
-    """Fingerprints in tight groups, with skewed bits and chains: the same components as all pairs give."""
+@pytest.mark.parametrize("seed,n,most", [(1, 400, None), (2, 800, None), (3, 600, 20)])
+def test_links_of_crowded_fingerprints(spark, monkeypatch, seed, n, most):
+    """Fingerprints in tight groups, with skewed bits and chains: the same components as all pairs give, also where
+    the rows of a value are cut into slices."""
+    if most:
+        monkeypatch.setattr(simhash, "ROWS_PER_VALUE", most)
     rng = np.random.default_rng(seed)
     centres = rng.integers(0, 1 << 63, 20, dtype=np.uint64) & rng.integers(0, 1 << 63, 20, dtype=np.uint64)
     fps = set()
@@ -63,6 +66,17 @@ def test_links_of_crowded_fingerprints(spark, seed, n):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_slices_meet_each_other():
+    rng = np.random.default_rng(5)
+    key, fp = np.repeat(np.array([7, 9], np.uint64), 50), rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    k, f, h = simhash.spread(key, fp, np.ones(100, bool), np.array([9], np.uint64), np.array([4]))
+    assert (k[:50] == 7).all() and len(k) == 50 + 50 * 4 and h.all()
+    together = {(a, b) for x in set(k.tolist()) for a in f[k == x].tolist() for b in f[k == x].tolist()}
+    hot = fp[50:].tolist()
+    assert {(a, b) for a in hot for b in hot} <= together
+    assert max((k == x).sum() for x in set(k[50:].tolist())) < 50
+
+
 def test_thresholds_add_up():
     for distance in (0, 1, 3, 4, 6):
         for m in range(1, distance + 2):
