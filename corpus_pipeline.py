@@ -15,6 +15,8 @@ from tenor.llm import decontam, langid, mixing, simhash, tokens
 from tenor.llm.common import shared_dir, stage
 from tenor.llm.queries import END_ID, PIECES, WORD_BPE, language_model, prepare, table, tokenizer_path
 
+#: Words and chunks that a worker remembers: the stages share their executors' memory.
+WORDS, CHUNKS = 150_000, 300_000
 #: A language is rejected where its posterior is below this, as are texts without letters.
 LEAST_LANGUAGE_SCORE = 0.5
 
@@ -22,7 +24,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows and is sure of."""
     prepare(spark)
-    found = langid.identify(docs, language_model(docs), tokenizer_path(PIECES), carry=tuple(docs.columns))
+    found = langid.identify(docs, language_model(docs), tokenizer_path(PIECES), carry=tuple(docs.columns), remember=WORDS)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
@@ -45,7 +47,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and returns, from them, a row per document."""
     where = f"{shared_dir(prepare(spark))}/tenor-llm/tokens-{uuid.uuid4().hex}"
-    tokens.write_tokens(docs, where, lambda: tokenizer_path(WORD_BPE), END_ID)
+    tokens.write_tokens(docs, where, lambda: tokenizer_path(WORD_BPE), END_ID, remember=CHUNKS)
     return tokens.read_tokens(spark, where).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -60,8 +60,10 @@ def vocabulary(path: str):
 class Scorer:
     """Log probabilities of words in every language."""
 
-    def __init__(self, path: str, table: np.ndarray):
-        """``table``: probabilities, one row per piece and a last one for an odd character; a column per language."""
+    def __init__(self, path: str, table: np.ndarray, most: int = CACHE):
+        """``table``: probabilities, one row per piece and a last one for an odd character; a column per language.
+        ``most``: words to remember."""
+        self.most = most
         sp, self.ids, self.beginnings = vocabulary(path)
         # Products of the rarest pieces leave the range of doubles once the counts are large enough. So each character
         # counts for the inverse square root of the least probability, which is taken out again at the end.
@@ -106,7 +108,7 @@ class Scorer:
 
     def words(self, words: list[str]) -> np.ndarray:
         """One row per word; those that were used only once are forgotten when there are too many."""
-        if len(self.known) > CACHE:
+        if len(self.known) > self.most:
             names = list(self.known)
             stay = np.flatnonzero(self.uses > 1)
             self.known = {names[i]: k for k, i in enumerate(stay.tolist())}
@@ -181,12 +183,13 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, vocabulary_path: st
     return langs, np.vstack([table, least * ODD_CHARACTER])
 
 
-def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), remember: int = CACHE) -> DataFrame:
     """-> the columns of ``carry`` plus ``lang_pred string, score double``: the most probable language (of equals the
     first by name) and its posterior with equal priors.
 
     A null text, one without any letter, and any text of a model without languages get ``und`` and 0. Rows are judged
-    one by one, so repeated rows get equal results; an empty table gives no rows.
+    one by one, so repeated rows get equal results; an empty table gives no rows. ``remember``: words whose scores a
+    worker keeps.
     """
     langs, table = model
     spark = documents.sparkSession
@@ -196,7 +199,7 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], vocabula
     held = [f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(vocabulary_path, sent.value) if langs else None
+        scorer = Scorer(vocabulary_path, sent.value, remember) if langs else None
         for batch in batches:
             texts = batch.column(at)
             lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)

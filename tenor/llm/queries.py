@@ -27,9 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Whole texts pass to Python: Arrow batches are kept small so that a few long texts fit as well."""
+    """Whole texts and token blocks pass to Python: Arrow batches are bounded in rows and in bytes."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 

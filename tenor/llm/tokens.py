@@ -92,9 +92,11 @@ class Encoder:
     Any other tokenizer gets whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
+        """``most``: chunks to remember (``CACHE`` if None)."""
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tok = Tokenizer.from_file(path)
         conf = json.loads(open(path, encoding="utf-8").read())
         kinds = [n.get("type") for n in (conf.get("normalizer") or {}).get("normalizers", [])]
@@ -171,7 +173,7 @@ class Encoder:
 
     def _chunks(self, chunks: list[str]) -> np.ndarray:
         """The entries of the chunks, which are encoded first where they are new."""
-        if len(self.names) > CACHE:
+        if len(self.names) > (CACHE if self.most is None else self.most):
             self._forget(np.flatnonzero(self.uses > 1))
         index = self.index
         new = [c for c in chunks if c not in index]
@@ -226,23 +228,25 @@ def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, room: np.ndar
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int | None = None) -> Encoder:
     if path not in _ENCODERS:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
 
 
 _BLOCK = "part int, block int, doc_ids binary, sizes binary, nulls binary, " + ", ".join(f"chunk{k} binary, bitmap{k} binary, ranks{k} binary" for k in range(len(WIDTHS)))
 
 
-def write_tokens(documents: DataFrame, to: str, tokenizer: str | None, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text", vocabulary=None) -> None:
+def write_tokens(documents: DataFrame, to: str, tokenizer: str | None, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text", remember: int | None = None) -> None:
     """Encode every whole text (null: empty) and write blocks in ascending order of id, null ids last.
 
     ``tokenizer``: a path that every executor has, or a function that gives it there. Rows that repeat an id follow
-    each other in no fixed order unless their texts are equal. Other columns are not read.
+    each other in no fixed order unless their texts are equal. Other columns are not read. ``remember``: chunks whose
+    ids a worker keeps (``CACHE`` if None), for executors with little memory.
     """
     _, size = text_size(documents, text_col)
     own = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
@@ -251,7 +255,7 @@ def write_tokens(documents: DataFrame, to: str, tokenizer: str | None, end: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer() if callable(tokenizer) else tokenizer)
+        encode = encoder(tokenizer() if callable(tokenizer) else tokenizer, remember)
         part, block = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         held_tokens = 0
