@@ -7,7 +7,8 @@ depends on these lines alone, so two equal runs always share it at the same
 place. Positions are joined on fingerprints that occur twice at least; around a
 joined position the match is extended to the runs of T lines it stands for, and
 overlapping runs join to longer ones. Of equal runs the first in the order of
-document and line stays; the lines of the later ones go.
+document and line stays; the lines of the later ones go. Shorter runs take part
+on request (``short_run_words``).
 
 A fingerprint or run is first reduced to its count and first place with
 map-side sums, and then joined, so a passage in a third of all documents adds
@@ -29,42 +30,57 @@ def _row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id")), F.xxhash64(text_col)
 
 
-def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
+def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W, short_run_words: int | None = None) -> DataFrame:
     """-> ``doc, body, lines``: the document's key, its text's hash and the sorted line numbers (from 0, blank lines
-    counted) that repeat an earlier run of ``k + w - 1`` lines. Documents without such lines have no row."""
+    counted) that repeat an earlier run of ``k + w - 1`` lines. Documents without such lines have no row.
+
+    With ``short_run_words``, a run of fewer lines counts too if it has that many words in all (parted by blanks), and
+    so do all lines of a document that has fewer. Such a run repeats runs of as many lines only."""
     t = k + w - 1
     doc, body = _row_key(id_col, text_col)
-    piece = F.transform(F.split(F.col(text_col), "\n"), lambda s, i: F.struct(F.xxhash64(F.trim(s)).alias("h"), F.xxhash64(F.lit(7), F.trim(s)).alias("g"), i.alias("i"), (F.length(F.trim(s)) == 0).alias("blank")))
-    lines = documents.filter(F.col(text_col).isNotNull()).select(doc.alias("doc"), body.alias("body"), F.filter(piece, lambda x: ~x["blank"]).alias("line")).filter(F.size("line") >= t)
+    piece = F.transform(F.split(F.col(text_col), "\n"), lambda s, i: F.struct(F.xxhash64(F.trim(s)).alias("h"), F.xxhash64(F.lit(7), F.trim(s)).alias("g"), i.alias("i"), (F.length(F.trim(s)) == 0).alias("blank"), *([] if short_run_words is None else [F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")])))
+    lines = documents.filter(F.col(text_col).isNotNull()).select(doc.alias("doc"), body.alias("body"), F.filter(piece, lambda x: ~x["blank"]).alias("line")).filter(F.size("line") >= (t if short_run_words is None else 1))
     at = lambda i: F.element_at("line", i + 1)
     grams = F.transform(F.sequence(F.lit(0), F.size("line") - k), lambda i: F.struct(F.xxhash64(*[at(i + j)["h"] for j in range(k)]).alias("h"), (-i).alias("i")))
     chosen = F.transform(F.sequence(F.lit(0), F.size("line") - t), lambda s: F.struct(F.array_min(F.slice(F.col("grams"), s + 1, w))["h"].alias("fp"), s.alias("s")))
     # Each selected position with the runs of t lines it was selected for: their two hashes and line numbers.
-    run = F.transform("chosen", lambda c: F.struct(
-        c["fp"].alias("fp"),
-        F.xxhash64(*[at(c["s"] + j)["h"] for j in range(t)]).alias("a"), F.xxhash64(*[at(c["s"] + j)["g"] for j in range(t)]).alias("b"),
-        c["s"].alias("s"), F.transform(F.slice("line", c["s"] + 1, t), lambda x: x["i"]).alias("lines")))
-    runs = lines.withColumn("grams", grams).withColumn("chosen", chosen).select("doc", "body", F.explode(run).alias("run")).select("doc", "body", "run.*")
+    run = lambda s, n, fp: F.struct(
+        fp.alias("fp"), F.xxhash64(*[at(s + j)["h"] for j in range(n)]).alias("a"), F.xxhash64(*[at(s + j)["g"] for j in range(n)]).alias("b"),
+        s.alias("s"), F.lit(n).alias("n"), F.transform(F.slice("line", s + 1, n), lambda x: x["i"]).alias("lines"))
+    none = F.array().cast("array<int>")
+    long_runs = F.transform("chosen", lambda c: run(c["s"], t, c["fp"]))
+    found = [long_runs]
+    for n in range(1, t) if short_run_words is not None else ():
+        starts = F.when(F.size("line") >= n, F.sequence(F.lit(0), F.size("line") - n)).otherwise(none)
+        enough = lambda s: (F.size("line") == n) | (sum((at(s + j)["words"] for j in range(1, n)), at(s)["words"]) >= short_run_words)  # noqa: B023, E731
+        found.append(F.transform(F.filter(starts, enough), lambda s: run(s, n, F.xxhash64(*[at(s + j)["h"] for j in range(n)]))))  # noqa: B023
+    if short_run_words is None:
+        every = long_runs
+    else:
+        every = F.flatten(F.array_compact(F.array(*found)))
+        grams, chosen = (F.when(F.size("line") >= t, x) for x in (grams, chosen))
+    runs = lines.withColumn("grams", grams).withColumn("chosen", chosen).select("doc", "body", F.explode(every).alias("run")).select("doc", "body", "run.*")
     runs = stage(runs, "line-runs")
     # Only fingerprints of several places can begin a match.
     twice = runs.groupBy("fp").agg(F.min(F.struct("doc", "body", "s")).alias("lo"), F.max(F.struct("doc", "body", "s")).alias("hi")).filter("lo != hi").select("fp")
     joined = runs.join(twice, "fp", "left_semi")
-    first = joined.groupBy("fp", "a", "b").agg(F.min(F.struct("doc", "body", "s")).alias("first"), F.max(F.struct("doc", "body", "s")).alias("last")).filter("first != last").drop("last")
+    first = joined.groupBy("fp", "n", "a", "b").agg(F.min(F.struct("doc", "body", "s")).alias("first"), F.max(F.struct("doc", "body", "s")).alias("last")).filter("first != last").drop("last")
     # A run that overlaps its own first occurrence is no copy.
     same = (F.col("doc") == F.col("first.doc")) & (F.col("body") == F.col("first.body"))
-    later = joined.join(first, ["fp", "a", "b"]).filter(~(same & (F.col("s") < F.col("first.s") + t)))
+    later = joined.join(first, ["fp", "n", "a", "b"]).filter(~(same & (F.col("s") < F.col("first.s") + F.col("n"))))
     return later.select("doc", "body", F.explode("lines").alias("line")).groupBy("doc", "body").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
+def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W,
+                        short_run_words: int | None = None) -> DataFrame:
     """The documents with their columns, later copies of runs of ``k + w - 1`` lines removed from their texts, and two
     more: ``removed_lines array<int>`` and ``n_lines int`` (underscores are added to a name that is taken).
 
     Lines end at line feeds and are compared without outer blanks; blank lines take no part and stay. A null text
     stays null with 0 lines; an empty one stays; an empty table gives an empty table. Rows that repeat id and text are
-    one document and get the same result; a null id comes after all others.
+    one document and get the same result; a null id comes after all others. ``short_run_words``: see ``repeated_lines``.
     """
-    found = repeated_lines(documents, id_col, text_col, k, w)
+    found = repeated_lines(documents, id_col, text_col, k, w, short_run_words)
     lines_col, n_col = free_name(documents, "removed_lines"), free_name(documents, "n_lines")
     doc, body = _row_key(id_col, text_col)
     keyed = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row"), doc.alias("doc"), body.alias("body"))

@@ -1,5 +1,6 @@
+from brute import order, xx_signed
 from brute import repeated_lines as plain
-from conftest import edge_rows, rows
+from conftest import edge_rows, passage, rows
 
 from tenor.llm import linedup
 
@@ -25,3 +26,33 @@ def test_documents(documents):
 
 def test_empty_table(nothing):
     assert linedup.drop_repeated_lines(nothing).collect() == []
+
+
+def plain_short(docs, words, t=3):
+    """Like brute.repeated_lines, with runs of fewer lines of ``words`` words and whole documents of fewer lines."""
+    keys = sorted({(order(d), xx_signed(x), x) for d, x in docs if x is not None}, key=lambda k: k[:2])
+    first, at = {}, {}
+    for o, _, x in keys:
+        own = [(i, s.strip(" ")) for i, s in enumerate(x.split("\n")) if s.strip(" ")]
+        for n in range(1, t + 1):
+            for s in range(len(own) - n + 1):
+                run = tuple(own[s + j][1] for j in range(n))
+                if n < t and len(own) > n and sum(len(r.split()) for r in run) < words:
+                    continue
+                if run not in first:
+                    first[run] = (o, x, s)
+                elif first[run][:2] != (o, x) or s >= first[run][2] + n:
+                    at.setdefault((o, x), set()).update(own[s + j][0] for j in range(n))
+    return sorted(((d, None if x is None else "\n".join(s for i, s in enumerate(x.split("\n")) if i not in at.get((order(d), x), ()))) for d, x in docs), key=repr)
+
+
+def test_short_runs(spark, documents):
+    """Passages on one or two lines and copies of texts of one or two lines."""
+    p, two = passage(1, 60), f"{passage(2, 30)}\n{passage(3, 30)}"
+    docs = [(1, f"own a\n{p}\nown b\nown c"), (2, f"x\n  {p}\ny"), (3, f"u\n{two}\nv"), (4, f"k\n\n{two}\nl"), (5, "few words"), (6, "few words"), (7, "few words\nand\nmore"), (8, "\n "),
+            (9, f"{p}\n{p}"), (10, two), (11, "one\ntwo"), (12, "one\n\ntwo"), (None, "few words"), (13, None), (13, None)]
+    got = {d: x for d, x in rows(linedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), short_run_words=50), "doc_id", "text")}
+    assert rows(linedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), short_run_words=50), "doc_id", "text") == plain_short(docs, 50)
+    assert [got[d] for d in (2, 4, 6, 7, 9, 10, 12)] == ["x\ny", "k\n\nl", "", "few words\nand\nmore", "", "", ""]
+    real = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    assert rows(linedup.drop_repeated_lines(documents, short_run_words=50), "doc_id", "text") == plain_short(real, 50) != plain(real)
