@@ -1,18 +1,16 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of runs of lines.
 
-Lines that are not blank are hashed; ``K`` consecutive lines make a gram, and
-from every ``W`` consecutive grams the smallest hash is selected (the last one
-of equals). Any run of T = K + W - 1 lines therefore has a fingerprint that
-depends on these lines alone, so two equal runs always share it at the same
-place. Positions are joined on fingerprints that occur twice at least; around a
-joined position the match is extended to the runs of T lines it stands for, and
-overlapping runs join to longer ones. Of equal runs the first in the order of
-document and line stays; the lines of the later ones go. Shorter runs take part
-on request (``short_run_words``).
+Lines that are not blank are hashed; every run of T = K + W - 1 consecutive
+ones is a shingle with two hashes of its lines. Equal shingles are reduced to
+their count and first place with map-side sums and then joined with all their
+places, so a passage in a third of all documents adds one row per place; no
+pairs of places are made. Of equal runs the first in the order of document and
+line stays; the lines of the later ones go, and those of overlapping runs go
+together. Shorter runs take part on request (``short_run_words``).
 
-A fingerprint or run is first reduced to its count and first place with
-map-side sums, and then joined, so a passage in a third of all documents adds
-one row per place; no pairs of places are made.
+This is not winnowing: of the runs that share a selected gram only the first
+could be extended without making pairs of places, and a run that repeats
+another of them would be lost. So every run is kept, not the selected alone.
 """
 
 from __future__ import annotations
@@ -41,33 +39,22 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     piece = F.transform(F.split(F.col(text_col), "\n"), lambda s, i: F.struct(F.xxhash64(F.trim(s)).alias("h"), F.xxhash64(F.lit(7), F.trim(s)).alias("g"), i.alias("i"), (F.length(F.trim(s)) == 0).alias("blank"), *([] if short_run_words is None else [F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")])))
     lines = documents.filter(F.col(text_col).isNotNull()).select(doc.alias("doc"), body.alias("body"), F.filter(piece, lambda x: ~x["blank"]).alias("line")).filter(F.size("line") >= (t if short_run_words is None else 1))
     at = lambda i: F.element_at("line", i + 1)
-    grams = F.transform(F.sequence(F.lit(0), F.size("line") - k), lambda i: F.struct(F.xxhash64(*[at(i + j)["h"] for j in range(k)]).alias("h"), (-i).alias("i")))
-    chosen = F.transform(F.sequence(F.lit(0), F.size("line") - t), lambda s: F.struct(F.array_min(F.slice(F.col("grams"), s + 1, w))["h"].alias("fp"), s.alias("s")))
-    # Each selected position with the runs of t lines it was selected for: their two hashes and line numbers.
-    run = lambda s, n, fp: F.struct(
-        fp.alias("fp"), F.xxhash64(*[at(s + j)["h"] for j in range(n)]).alias("a"), F.xxhash64(*[at(s + j)["g"] for j in range(n)]).alias("b"),
+    # Each run of n lines: its two hashes and its line numbers.
+    run = lambda s, n: F.struct(
+        F.xxhash64(*[at(s + j)["h"] for j in range(n)]).alias("a"), F.xxhash64(*[at(s + j)["g"] for j in range(n)]).alias("b"),
         s.alias("s"), F.lit(n).alias("n"), F.transform(F.slice("line", s + 1, n), lambda x: x["i"]).alias("lines"))
     none = F.array().cast("array<int>")
-    long_runs = F.transform("chosen", lambda c: run(c["s"], t, c["fp"]))
-    found = [long_runs]
+    starts = lambda n: F.when(F.size("line") >= n, F.sequence(F.lit(0), F.size("line") - n)).otherwise(none)
+    found = [F.transform(starts(t), lambda s: run(s, t))]
     for n in range(1, t) if short_run_words is not None else ():
-        starts = F.when(F.size("line") >= n, F.sequence(F.lit(0), F.size("line") - n)).otherwise(none)
         enough = lambda s: (F.size("line") == n) | (sum((at(s + j)["words"] for j in range(1, n)), at(s)["words"]) >= short_run_words)  # noqa: B023, E731
-        found.append(F.transform(F.filter(starts, enough), lambda s: run(s, n, F.xxhash64(*[at(s + j)["h"] for j in range(n)]))))  # noqa: B023
-    if short_run_words is None:
-        every = long_runs
-    else:
-        every = F.flatten(F.array_compact(F.array(*found)))
-        grams, chosen = (F.when(F.size("line") >= t, x) for x in (grams, chosen))
-    runs = lines.withColumn("grams", grams).withColumn("chosen", chosen).select("doc", "body", F.explode(every).alias("run")).select("doc", "body", "run.*")
+        found.append(F.transform(F.filter(starts(n), enough), lambda s: run(s, n)))  # noqa: B023
+    runs = lines.select("doc", "body", F.explode(F.concat(*found)).alias("run")).select("doc", "body", "run.*")
     runs = stage(runs, "line-runs")
-    # Only fingerprints of several places can begin a match.
-    twice = runs.groupBy("fp").agg(F.min(F.struct("doc", "body", "s")).alias("lo"), F.max(F.struct("doc", "body", "s")).alias("hi")).filter("lo != hi").select("fp")
-    joined = runs.join(twice, "fp", "left_semi")
-    first = joined.groupBy("fp", "n", "a", "b").agg(F.min(F.struct("doc", "body", "s")).alias("first"), F.max(F.struct("doc", "body", "s")).alias("last")).filter("first != last").drop("last")
+    first = runs.groupBy("n", "a", "b").agg(F.min(F.struct("doc", "body", "s")).alias("first"), F.max(F.struct("doc", "body", "s")).alias("last")).filter("first != last").drop("last")
     # A run that overlaps its own first occurrence is no copy.
     same = (F.col("doc") == F.col("first.doc")) & (F.col("body") == F.col("first.body"))
-    later = joined.join(first, ["fp", "n", "a", "b"]).filter(~(same & (F.col("s") < F.col("first.s") + F.col("n"))))
+    later = runs.join(first, ["n", "a", "b"]).filter(~(same & (F.col("s") < F.col("first.s") + F.col("n"))))
     return later.select("doc", "body", F.explode("lines").alias("line")).groupBy("doc", "body").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 

@@ -56,3 +56,10 @@ def test_short_runs(spark, documents):
     assert [got[d] for d in (2, 4, 6, 7, 9, 10, 12)] == ["x\ny", "k\n\nl", "", "few words\nand\nmore", "", "", ""]
     real = [(r["doc_id"], r["text"]) for r in documents.collect()]
     assert rows(linedup.drop_repeated_lines(documents, short_run_words=50), "doc_id", "text") == plain_short(real, 50) != plain(real)
+
+
+def test_later_place_of_a_gram(spark):
+    """A run is met by its copy, though its first two lines stand earlier in another context."""
+    docs = [(1, "a\nb\nx"), (2, "a\nb\nc"), (3, "0\na\nb\nc"), (4, "a\nb\ny")]
+    got = rows(linedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "text")
+    assert got == plain(docs) and (3, "0") in got
