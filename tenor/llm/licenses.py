@@ -5,6 +5,10 @@ ASCII case ignored. Blocks are runs of ``BLOCK`` words, one every ``STRIDE``,
 so any stretch of ``BLOCK - STRIDE + 1`` words lies in one block. A block meets
 a template of n different words when it holds at least o = ceil(0.8 n) of them.
 
+Words that name the license of a short template count several times, so that a
+block without one of them falls below the template's least overlap: a word that
+counts c times stands for c elements of the sets.
+
 * Words are ordered by the number of documents that have them, rarest first,
   counted over all documents; words of no template cannot add to an overlap.
 * Prefix filter: of a set with n words, one of the first n - o + 1 is shared.
@@ -39,7 +43,20 @@ TEMPLATES = (
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license"),
+    # And clauses of license bodies, of BLOCK - STRIDE + 1 words at most, so that one block holds them.
+    ("mit", "under the terms of the mit license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform"),
+    ("gpl-3", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-3", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed the gnu general public license is a free copyleft license"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability"),
 )
+#: Words that name a license; a template of fewer than SHORT different words is only met by a block with all of them
+#: that it has. "mit" is a common word of German, so it needs another beside it.
+NAMING = {"mit": {"mit", "released", "terms"}, "apache-2": {"apache"}, "gpl-3": {"gnu"}, "cc-by-nc": {"cc", "by", "nc"}, "cc-by": {"creative", "commons", "attribution"}, "mpl-2": {"mozilla"}}
+SHORT = 20
 #: A word is a run of 0-9, A-Z, a-z and anything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -67,11 +84,14 @@ def phrase_places(text: Column, words: str) -> Column:
 
 
 def template_sets(templates=TEMPLATES) -> list[tuple[int, str, list[str], int]]:
-    """(number, label, different words, least overlap)."""
+    """(number, label, different words, least overlap). The naming words of a short template are listed as often as
+    it takes that a block without one of them has less than the least overlap."""
     out = []
     for k, (label, words) in enumerate(templates):
         own = sorted(set(words.split()))
-        out.append((k, label, own, math.ceil(CONTAINMENT * len(own) - 1e-9)))
+        spare = len(own) - math.ceil(CONTAINMENT * len(own) - 1e-9)
+        own = sorted(own + [w for w in own if w in NAMING.get(label, ()) and len(own) < SHORT] * spare)
+        out.append((k, label, own, len(own) - spare))
     return out
 
 
@@ -79,7 +99,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """-> ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks``, one row per document.
 
     ``blocks``: the (block, label, containment) found by the join. ``score`` is 1 where a phrase stands, else the
-    largest containment of a template that was met, else 0. A null or empty text has no words and no labels; rows
+    largest containment of a template that was met (see ``template_sets``), else 0. A null or empty text has no words and no labels; rows
     that repeat an id each get their own result; an empty table gives no rows; other columns are not read.
     """
     sets = template_sets(templates)
@@ -95,16 +115,18 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     counted = own.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").count()
     seen = {r["w"]: r["count"] for r in counted.collect()}  # one row for each word of the templates at most
-    rank = {w: k for k, w in enumerate(sorted(universe, key=lambda w: (seen.get(w, 0), w)))}
-    ordered = [(k, label, sorted(rank[w] for w in ws), o) for k, label, ws, o in sets]
+    times = {w: max(ws.count(w) for _, _, ws, _ in sets) for w in universe}
+    elements = [(w, c) for w in sorted(universe, key=lambda w: (seen.get(w, 0), w)) for c in range(times[w])]
+    rank = {x: k for k, x in enumerate(elements)}
+    ordered = [(k, label, sorted(rank[w, c] for w in set(ws) for c in range(ws.count(w))), o) for k, label, ws, o in sets]
     prefixes = [(ranks[i], k, i, len(ranks), o) for k, _, ranks, o in ordered for i in range(len(ranks) - o + 1)]
     spark = documents.sparkSession
     index = F.broadcast(spark.createDataFrame(prefixes, "w int, template int, i int, n int, o int"))
-    rank_of = F.create_map(*[F.lit(x) for w, k in rank.items() for x in (w, k)])
+    ranks_of = F.create_map(*[x for w in universe for x in (F.lit(w), F.array(*[F.lit(rank[w, c]) for c in range(times[w])]))])
     rare = sorted({p[0] for p in prefixes})
     first = F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda h: h["r"].isin(rare)), lambda h: F.array((h["i"] / STRIDE).cast("int"), (h["i"] / STRIDE).cast("int") - 1))))
     in_block = lambda h: (h["i"] >= F.col("block") * STRIDE) & (h["i"] < F.col("block") * STRIDE + BLOCK)
-    blocks = (own.select("row", F.transform("hits", lambda h: F.struct(rank_of[h["w"]].alias("r"), h["i"].alias("i"))).alias("hits"))
+    blocks = (own.select("row", F.flatten(F.transform("hits", lambda h: F.transform(ranks_of[h["w"]], lambda r: F.struct(r.alias("r"), h["i"].alias("i"))))).alias("hits"))
               .select("row", "hits", F.explode(first).alias("block")).filter("block >= 0")
               .select("row", "block", F.array_sort(F.array_distinct(F.transform(F.filter("hits", in_block), lambda h: h["r"]))).alias("ranks")))
     m = F.size("ranks")
