@@ -98,20 +98,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     largest product of floor(scale * component), ties to the smaller id.
 
     Rows whose id or vector is null, or whose vector holds a null or non-finite component, take no part. Rows that
-    share an id are one entry (the smallest of their vectors). Vectors of another length than the query's are no
+    share an id are entries of their own: none is a candidate of another, and as queries they share one list of the
+    ``k`` best pairs. Vectors of another length than the query's are no
     candidates; empty vectors score 0 with each other. An empty table gives no rows; other columns are not read.
     """
     x = F.col(vector_col)
     sound = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     entries = (vectors.filter(sound)
                .select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"), is_query.alias("q"))
-               .groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("dim", F.size("v")))
+               .withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
     entries = stage(entries, "topk-entries")
     n = entries.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
     n_q, n_c = fan_out(n["q"], QUERIES_PER_BLOCK), fan_out(n["n"], CANDIDATES_PER_BLOCK)
 
     def packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-        named = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        named = rows.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
         return named.groupBy("dim", name).applyInPandas(_pack(["dim", name]), f"dim int, {name} int, ids binary, m binary")
 
     queries = packed(entries.filter("q"), n_q, "qb").withColumnsRenamed({"ids": "q_ids", "m": "q_m"})

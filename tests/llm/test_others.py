@@ -137,6 +137,16 @@ def test_top_k_edges(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_top_k_rows_that_share_an_id(spark):
+    """Every row is a candidate and a query, as in the SQL."""
+    rng = np.random.default_rng(2)
+    data = [(i % 70, [float(x) for x in rng.normal(size=8)]) for i in range(200)] + [(1, [9.0] * 8)] * 4 + [(0, [1.0] * 8)] * 8 + [(0, [1e3] * 8)] * 8
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    cols, want = duck(queries.ORACLES["op5_exact_top_k"], embeddings=df)
+    assert rows(topk.top_k(df, F.col("vec_id") % 50 == 0), *cols) == want
+    assert [r[2] for r in want if r[0] == 50][:4] == [0] * 4
+
+
 def test_top_k_exact_beyond_floats():
     q = np.array([[2 ** 40, 3, -1]]), np.array([[2 ** 13 + 1, 1, 0], [2 ** 13 + 1, 2, 0], [2 ** 13, 2 ** 20, 5]])
     got = topk.block_top_k(np.array([9]), q[0], np.array([1, 2, 3]), q[1], 2)
