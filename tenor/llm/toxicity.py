@@ -28,8 +28,8 @@ from tenor.llm.common import stage
 
 #: Bound of the labelled sample that lexicon and model are fitted on.
 FIT_ROWS = 20_000
-#: Terms of the lexicon at most.
-TERMS = 128
+#: Toxic texts of the sample that a term must be in.
+LEAST_TEXTS = 3
 #: Words on either side of a hit that make its context.
 WINDOW = 8
 REPORTING = frozenset("said says wrote writes quoted quotes called reported cited".split())
@@ -173,8 +173,8 @@ def is_quoted(context: list[str], at: int) -> bool:
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Terms and weights from ``body, toxic``: words in at least 1 % (and 3) of the toxic texts whose log-odds, less
-    two standard errors, are highest. At most ``TERMS`` rows come back."""
+    """Terms and weights from ``body, toxic``: all words in at least ``LEAST_TEXTS`` toxic texts whose log-odds, less
+    two standard errors, are above 1. Only those come back, out of the words of a sample of bounded size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,8 +190,8 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], np.ndarray]:
     counts = sample.select("body", "toxic").mapInArrow(count, "w string, clean long, bad long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     odds = F.log((F.col("bad") + 0.5) / (sizes["bad"] - F.col("bad") + 0.5)) - F.log((F.col("clean") + 0.5) / (sizes["clean"] - F.col("clean") + 0.5))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = (counts.filter((F.col("bad") >= max(3, sizes["bad"] // 100)) & (F.length("w") >= 3))
-            .withColumn("weight", odds - 2 * error).filter("weight > 1").orderBy(F.col("weight").desc(), "w").limit(TERMS).collect())
+    best = (counts.filter((F.col("bad") >= LEAST_TEXTS) & (F.length("w") >= 3))
+            .withColumn("weight", odds - 2 * error).filter("weight > 1").orderBy(F.col("weight").desc(), "w").collect())
     return [r["w"] for r in best], np.array([r["weight"] for r in best])
 
 

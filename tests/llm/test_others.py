@@ -226,6 +226,14 @@ def test_automaton_against_distances():
         assert auto.find(w) == (None if want is None else (want[1], want[0])), w
 
 
+def test_lexicon_holds_all_terms(spark):
+    """More than 128 terms, each in 3 of 600 toxic texts."""
+    bad = [f"term{i % 200:03} filler" for i in range(600)]
+    sample = spark.createDataFrame([(t, 1) for t in bad] + [("plain filler text", 0)] * 6000, "body string, toxic int")
+    terms, weights = toxicity.learn_lexicon(sample)
+    assert sorted(terms) == [f"term{i:03}" for i in range(200)] and (weights > 1).all()
+
+
 def test_quotation():
     s = 'He said "you are trash" today'.split()
     assert toxicity.is_quoted(s, 4)
