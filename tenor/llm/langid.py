@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Characters a word is read in at once; longer ones are read in parts.
+#: Characters a word is read in at once; the sums of a longer one are carried from part to part.
 WORD_PART = 24
 #: Words whose scores a worker remembers.
 CACHE = 300_000
@@ -37,12 +37,6 @@ def letter_words(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.utf8_trim_whitespace(pc.replace_substring_regex(low, r"[^\p{L}\p{M}]+", " ")), " ")
 
 
-def parts_of(word: str) -> list[str]:
-    """What the forward algorithm reads: the word with its start mark, in parts of bounded length."""
-    s = "▁" + word
-    return [s[a:a + WORD_PART] for a in range(0, len(s), WORD_PART)]
-
-
 _VOCABULARIES: dict[str, tuple] = {}
 
 
@@ -69,12 +63,33 @@ class Scorer:
         # counts for the inverse square root of the least probability, which is taken out again at the end.
         self.per_character = -0.5 * np.log(table[-1]) if len(table) else np.zeros(0)
         lengths = np.array([len(sp.id_to_piece(i)) for i in range(len(sp))] + [1])
-        self.table = table * np.exp(np.minimum(lengths, WORD_PART)[:, None] * self.per_character)
+        self.longest = max(map(len, self.ids))
+        self.table = table * np.exp(np.minimum(lengths, self.longest)[:, None] * self.per_character)
         self.known: dict[str, int] = {}
         self.logs, self.uses = np.zeros((0, table.shape[1])), np.zeros(0, np.int32)
 
-    def parts(self, parts: list[str]) -> np.ndarray:
-        """Forward algorithm over all parts: alpha[j] = sum over pieces s[i:j] of alpha[i] * p(piece)."""
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Forward algorithm over words with their start mark: alpha[j] = sum over pieces s[i:j] of alpha[i] * p(piece).
+        Of each part of a word, the sums that its pieces bring beyond its end are the beginning of the next part's."""
+        marked = ["▁" + word for word in words]
+        lengths = np.array([len(s) for s in marked])
+        out = -lengths[:, None] * self.per_character
+        live, begin = np.arange(len(marked)), np.ones((len(marked), 1, self.table.shape[1]))
+        for a in range(0, int(lengths.max(initial=0)), WORD_PART):
+            # A piece starts in this part and is at most ``longest`` characters long.
+            left = lengths[live] - a
+            alpha = self._part([marked[w][a:a + WORD_PART + self.longest - 1] for w in live.tolist()], begin)
+            ends = left <= WORD_PART
+            out[live[ends]] += np.log(alpha[ends, left[ends]])
+            live, begin = live[~ends], alpha[~ends, WORD_PART:]
+            if len(live):
+                most = begin.max(axis=1, keepdims=True)
+                begin = begin / most
+                out[live] += np.log(most[:, 0])
+        return out
+
+    def _part(self, parts: list[str], begin: np.ndarray) -> np.ndarray:
+        """The sums at every place, from those of ``begin`` and the pieces that start in the first ``WORD_PART``."""
         ids, beginnings, odd = self.ids, self.beginnings, len(self.table) - 1
         longest = max(map(len, parts))
         # An edge as one number: word, start (below 2^6) and piece (below 2^24), by end.
@@ -82,7 +97,7 @@ class Scorer:
         get = ids.get
         for w, s in enumerate(parts):
             n = len(s)
-            for i in range(n):
+            for i in range(min(n, WORD_PART)):
                 at = w << 30 | i << 24
                 for j in range(i + 1, n + 1):
                     piece = s[i:j]
@@ -95,16 +110,15 @@ class Scorer:
                             break
                     elif piece not in beginnings:
                         break
-        alpha = np.zeros((len(parts), longest + 1, self.table.shape[1]))
-        alpha[:, 0] = 1
+        alpha = np.zeros((len(parts), max(longest + 1, begin.shape[1]), self.table.shape[1]))
+        alpha[:, :begin.shape[1]] = begin
         for j in range(1, longest + 1):
             if ends[j]:
                 edge = np.array(ends[j], np.int64)
                 w = edge >> 30
                 new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))  # words come in order
-                alpha[w[new], j] = np.add.reduceat(alpha[w, edge >> 24 & 63] * self.table[edge & 0xFFFFFF], new, axis=0)
-        lengths = np.array([len(s) for s in parts])
-        return np.log(alpha[np.arange(len(parts)), lengths]) - lengths[:, None] * self.per_character
+                alpha[w[new], j] += np.add.reduceat(alpha[w, edge >> 24 & 63] * self.table[edge & 0xFFFFFF], new, axis=0)
+        return alpha
 
     def words(self, words: list[str]) -> np.ndarray:
         """One row per word; those that were used only once are forgotten when there are too many."""
@@ -118,11 +132,7 @@ class Scorer:
         found = [self.logs]
         for a in range(0, len(todo), 4096):
             some = todo[a:a + 4096]
-            cut = [parts_of(w) for w in some]
-            of = np.repeat(np.arange(len(some)), [len(c) for c in cut])
-            logs = np.zeros((len(some), self.table.shape[1]))
-            np.add.at(logs, of, self.parts([p for c in cut for p in c]))
-            found.append(logs)
+            found.append(self.forward(some))
         self.known.update(zip(todo, range(len(self.known), len(self.known) + len(todo))))
         self.logs, self.uses = np.concatenate(found), np.concatenate([self.uses, np.zeros(len(todo), np.int32)])
         which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))

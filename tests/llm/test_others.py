@@ -184,6 +184,21 @@ def test_forward_sums_all_segmentations():
         assert g == pytest.approx([np.log(total("▁" + w, k)) for k in (0, 1)])
 
 
+def test_long_words_are_summed_whole():
+    """Pieces across the parts of a word count, whatever its length."""
+    path = queries.tokenizer_path(queries.PIECES)
+    _, ids, _ = langid.vocabulary(path)
+    table = np.random.default_rng(3).random((32001, 2)) * 1e-2
+    words = ["unbelievable" * n for n in (2, 3, 9)] + ["donaudampfschifffahrtsgesellschaft", "internationalisation" * 40, "t" * 23, "t" * 24, "the"]
+    for w, got in zip(words, langid.Scorer(path, table).words(words)):
+        s = "▁" + w
+        logs = [np.zeros(2)]  # of each end, in logarithms
+        for j in range(1, len(s) + 1):
+            ways = [logs[i] + np.log(table[ids[s[i:j]]]) for i in range(j) if s[i:j] in ids] or [logs[j - 1] + np.log(table[-1])]
+            logs.append(np.logaddexp.reduce(ways, axis=0))
+        assert got == pytest.approx(logs[-1], rel=1e-9), w
+
+
 def test_rare_pieces_stay_in_range():
     """Counts of some 10^15: a part of odd characters has a probability below the smallest double."""
     path = queries.tokenizer_path(queries.PIECES)
