@@ -5,7 +5,7 @@ ASCII case ignored. Blocks are runs of ``BLOCK`` words, one every ``STRIDE``,
 so any stretch of ``BLOCK - STRIDE + 1`` words lies in one block. A block meets
 a template of n different words when it holds at least o = ceil(0.8 n) of them.
 
-Words that name the license of a short template count several times, so that a
+Words that name the license of a template count several times, so that a
 block without one of them falls below the template's least overlap: a word that
 counts c times stands for c elements of the sets.
 
@@ -50,13 +50,10 @@ TEMPLATES = (
     ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("apache-2", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform"),
     ("gpl-3", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-3", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed the gnu general public license is a free copyleft license"),
     ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability"),
 )
-#: Words that name a license; a template of fewer than SHORT different words is only met by a block with all of them
-#: that it has. "mit" is a common word of German, so it needs another beside it.
-NAMING = {"mit": {"mit", "released", "terms"}, "apache-2": {"apache"}, "gpl-3": {"gnu"}, "cc-by-nc": {"cc", "by", "nc"}, "cc-by": {"creative", "commons", "attribution"}, "mpl-2": {"mozilla"}}
-SHORT = 20
+#: Words that name a license; a template is only met by a block with all of them that it has. "mit" is a common word of German, so it needs another beside it.
+NAMING = {"mit": {"mit", "released", "terms"}, "apache-2": {"apache"}, "gpl-3": {"gnu", "3"}, "cc-by-nc": {"cc", "by", "nc"}, "cc-by": {"creative", "commons", "attribution"}, "mpl-2": {"mozilla"}}
 #: A word is a run of 0-9, A-Z, a-z and anything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -84,13 +81,13 @@ def phrase_places(text: Column, words: str) -> Column:
 
 
 def template_sets(templates=TEMPLATES) -> list[tuple[int, str, list[str], int]]:
-    """(number, label, different words, least overlap). The naming words of a short template are listed as often as
+    """(number, label, different words, least overlap). The naming words of a template are listed as often as
     it takes that a block without one of them has less than the least overlap."""
     out = []
     for k, (label, words) in enumerate(templates):
         own = sorted(set(words.split()))
         spare = len(own) - math.ceil(CONTAINMENT * len(own) - 1e-9)
-        own = sorted(own + [w for w in own if w in NAMING.get(label, ()) and len(own) < SHORT] * spare)
+        own = sorted(own + [w for w in own if w in NAMING.get(label, ())] * spare)
         out.append((k, label, own, len(own) - spare))
     return out
 

@@ -288,17 +288,18 @@ def test_licenses_edges(spark, edge, wide, nothing):
 
 
 def test_licenses_named(spark):
-    """A short template needs the words that name its license; clauses of license bodies are met."""
+    """A template needs the words that name its license; clauses of license bodies are met."""
     texts = [(1, "it was released under the terms of a license"), (2, "released under MIT license"), (3, "licensed under CC BY 4.0"), (4, "licensed under CC BY-ND 4.0"),
              (5, "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
              (6, "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
              (7, "x " * 50 + "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-             (8, "den mit einer. Licensed under the Apache License, Version 2.0."), (9, "under the terms of the MIT license")]
+             (8, "den mit einer. Licensed under the Apache License, Version 2.0."), (9, "under the terms of the MIT license"),
+             (10, "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     cols, want = duck(queries.ORACLES["op10_license_scan"], documents=df)
     assert rows(licenses.scan(df), *cols) == want
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect()}
-    assert got == {1: "", 2: "mit", 3: "", 4: "", 5: "mit", 6: "gpl-3", 7: "apache-2", 8: "apache-2", 9: "mit"}
+    assert got == {1: "", 2: "mit", 3: "", 4: "", 5: "mit", 6: "gpl-3", 7: "apache-2", 8: "apache-2", 9: "mit", 10: ""}
     for _, words in licenses.TEMPLATES:
         assert len(words.split()) <= licenses.BLOCK - licenses.STRIDE + 1
 
