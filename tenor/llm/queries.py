@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenor.llm import decontam, langid, licenses, linedup, mixing, repeats, simhash, tokens, topk, toxicity, veccodes
+from tenor.llm import decontam, langid, licenses, linedup, mixing, repeats, sharding, simhash, tokens, topk, toxicity, veccodes
 from tenor.llm.common import shared_dir
 from tenor.session import tune
 
@@ -98,7 +98,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(veccodes.codebooks_digest(book)).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_toxicity, op4_source_mixing, op5_exact_top_k, op6_language_id, op7_decontamination, op8_simhash_dedup, op9_token_output, op10_license_scan, op11_vector_codes)}
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(prepare(spark), sf_dir, "documents"), shards=40)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_toxicity, op4_source_mixing, op5_exact_top_k, op6_language_id, op7_decontamination, op8_simhash_dedup, op9_token_output, op10_license_scan, op11_vector_codes, op12_sharding)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
