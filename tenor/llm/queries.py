@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenor.llm import decontam, langid, licenses, linedup, mixing, repeats, sharding, simhash, tokens, topk, toxicity, veccodes
+from tenor.llm import decontam, langid, licenses, linedup, mixing, repeats, sharding, simhash, tokens, topk, toxicity, turns, veccodes
 from tenor.llm.common import shared_dir
 from tenor.session import tune
 
@@ -103,7 +103,27 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_toxicity, op4_source_mixing, op5_exact_top_k, op6_language_id, op7_decontamination, op8_simhash_dedup, op9_token_output, op10_license_scan, op11_vector_codes, op12_sharding)}
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The contract's damage, by the CRC-32 of ``conv_id:turn`` mod 20 (nulls: one space)."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    key = F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    marked = conversations.select("conv_id", "turn", part("role").alias("role"), text.alias("text"), key.alias("key")).filter("key <> 0")
+    return marked.select("conv_id", "turn", F.when(F.col("key") == 4, "user").otherwise(F.col("role")).alias("role"),
+                         F.when(F.col("key") == 1, "").when(F.col("key") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+                         F.explode(F.when(F.col("key") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(prepare(spark), sf_dir, "conversations")
+    found, steps = turns.repair(damaged(conversations))
+    every = conversations.select("conv_id").distinct()
+    done = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv").join(turns.digests(steps), F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return done.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_toxicity, op4_source_mixing, op5_exact_top_k, op6_language_id, op7_decontamination, op8_simhash_dedup, op9_token_output, op10_license_scan, op11_vector_codes, op12_sharding, op13_turn_repair)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -203,5 +223,63 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+#: CRC-32 by its polynomial: a table of 256 remainders, and {text} folded over it byte by byte.
+_CRC_TABLE = """rem AS (SELECT i, i AS c, 0 AS k FROM range(0, 256) t(i) UNION ALL SELECT i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM rem WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM rem WHERE k = 8)"""
+_CRC = ("xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)),"
+        " lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])), 4294967295)")
+
+
+def _sharding_sql(shards: int = 40, seed: int = 0) -> str:
+    """The permutation round by round, walking by recursion."""
+    def step(source: str) -> str:
+        inner = f"SELECT k, p // b AS x, p % b AS y, a, b, n FROM {source} WHERE NOT done"
+        for i, (times, plus, again) in enumerate(sharding.keys(seed)):
+            once = f"SELECT *, (y * {times} + {plus}) % {sharding.PRIME} AS f FROM ({inner})"
+            inner = f"SELECT k, y AS x, (x + ((xor(f, f >> 15) + 1) * {again}) % {sharding.PRIME}) % {'b' if i % 2 else 'a'} AS y, a, b, n FROM ({once})"
+        return f"SELECT k, x * b + y AS p, a, b, n, x * b + y < n AS done FROM ({inner})"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(text)) - 1 AS k FROM d),
+n AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM d)),
+w AS (SELECT k, k AS p, a, b, n, false AS done FROM o, n UNION ALL {step('w')}),
+c AS (SELECT text, CAST({_CRC.format(text='text')} AS BIGINT) AS crc FROM (SELECT DISTINCT text FROM d), tab)
+SELECT doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(p % {shards} AS INTEGER) AS shard, CAST(p // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM o JOIN w USING (k) JOIN c USING (text) WHERE done
+"""
+
+
+def _turns_sql() -> str:
+    """A walk over the grammar's states (nothing yet, after s, u, a), each with its cost and least audit as one string."""
+    add = lambda s, n, e: f"CASE WHEN {s} = '~' THEN '~' ELSE lpad(CAST(CAST({s}[1:9] AS BIGINT) + {n} AS VARCHAR), 9, '0') || {s}[10:] || '{e}' END"
+    stay = lambda s, to: f"CASE WHEN del THEN '~' WHEN c = '{to}' THEN {add(s, 'x', 'K')} ELSE {add(s, '2 + x', 'R')} END"
+    inserted = f"""SELECT *, least(u1, {add('a1', 2, 'I')}) AS u2 FROM (SELECT *, least(a, {add('u1', 2, 'I')}) AS a1 FROM (SELECT *, least(u, {add('e', 2, 'I')}, {add('s', 2, 'I')}, {add('a', 2, 'I')}) AS u1 FROM"""
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(text='k')} % 20 AS k FROM (SELECT *, {key} AS k FROM conversations), tab),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d0 WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again FROM d),
+f AS (SELECT *, role[1:1] AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN again > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM o),
+y AS (SELECT conv_id, i, c, fault IN (1, 2) AS del, CASE fault WHEN 3 THEN 1 ELSE 0 END AS x FROM f),
+w AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS e, '~' AS s, '~' AS u, '~' AS a FROM y
+  UNION ALL SELECT conv_id, i, {add('e', 3, 'D')}, least({add('s', 3, 'D')}, CASE WHEN NOT del AND c = 's' THEN {add('e', 'x', 'K')} ELSE '~' END),
+    least({add('u2', 3, 'D')}, {stay('e', 'u')}, {stay('s', 'u')}, {stay('a1', 'u')}), least({add('a1', 3, 'D')}, {stay('u2', 'a')})
+  FROM ({inserted} (SELECT w.*, y.c, y.del, y.x, y.i AS j FROM w JOIN y ON w.conv_id IS NOT DISTINCT FROM y.conv_id AND y.i = w.i + 1)))) t(conv_id, k, e, s, u, a, c, del, x, i, u1, a1, u2)),
+n AS (SELECT conv_id, max(i) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM f) GROUP BY conv_id),
+b AS (SELECT *, least(e, a1) AS best FROM ({inserted} (SELECT w.*, n.* EXCLUDE (conv_id, n) FROM w JOIN n ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.i = n.n))))),
+l AS (SELECT conv_id, best[10:] AS audit, unnest(range(1, len(best) - 8)) AS p FROM b),
+q AS (SELECT conv_id, p, audit[p:p] AS edit, len(replace(audit[1:p], 'I', '')) AS i, len(replace(audit[1:p], 'D', '')) - 1 AS spot FROM l),
+h AS (SELECT q.*, f.role, f.text, max(CASE WHEN spot = 0 AND edit = 'K' AND f.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY q.conv_id) AS head FROM q LEFT JOIN f ON q.conv_id IS NOT DISTINCT FROM f.conv_id AND q.i = f.i),
+r AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (spot - head) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS hash FROM h WHERE edit <> 'D' GROUP BY conv_id)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(best[1:9] AS BIGINT), 0) AS cost, coalesce(best[10:], '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) z LEFT JOIN b ON z.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN r ON z.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
 #: XXH64, tokenizers, suffix order and learnt models are not in SQL: tests/llm compares those with brute force.
-ORACLES = {"op2_line_dedup": _LINE_SQL, "op4_source_mixing": _MIX_SQL, "op5_exact_top_k": _TOPK_SQL, "op7_decontamination": _DECONTAM_SQL, "op10_license_scan": _license_sql(), "op11_vector_codes": _codes_sql()}
+ORACLES = {"op2_line_dedup": _LINE_SQL, "op4_source_mixing": _MIX_SQL, "op5_exact_top_k": _TOPK_SQL, "op7_decontamination": _DECONTAM_SQL, "op10_license_scan": _license_sql(), "op11_vector_codes": _codes_sql(), "op12_sharding": _sharding_sql(), "op13_turn_repair": _turns_sql()}
