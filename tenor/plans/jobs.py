@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tenor.functions.numeric import IRONY_SENT_EXTRA, LAMBDA_MULTI, LAMBDA_SENT, whole_number
 from tenor.functions.text import DISTRUST_TERMS, TRUST_TERMS
+from tenor.functions.time import epoch_seconds, parse_iso
 from tenor.operators import classifier as clf
 from tenor.operators import collect as co
 from tenor.operators import labels as lb
@@ -34,7 +35,7 @@ from tenor.session import tune
 from tenor.sources import pages as pg
 from tenor.sources import readers as rd
 from tenor.sources import sinks as sk
-from tenor.staging import stage
+from tenor.staging import release, stage
 
 
 def _json(spark: SparkSession, obj: dict) -> DataFrame:
@@ -74,25 +75,33 @@ def collect_job(spark: SparkSession, search_pages: DataFrame, video_pages: DataF
     tune(spark)
     bounds = [b if isinstance(b, tuple) else (b, *co.year_bounds_py(int(b), now_iso or "9999")) for b in years]
     limits = spark.createDataFrame([(int(y), s, e) for y, s, e in bounds], "year int, lo string, hi string")
+    staged = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        staged.append(stage(df, name))
+        return staged[-1]
+
     videos = co.one_per_video(pg.flatten_video_pages(video_pages))
-    videos = stage(videos.withColumn("year", F.substring("published_at", 1, 4).try_cast("int")), "videos")
+    videos = kept(videos.withColumn("year", F.substring("published_at", 1, 4).try_cast("int")), "videos")
     if lang_profiles is not None:
-        videos = stage(lg.identify(videos, lang_profiles, "video_id", "title"), "videos-with-language")
+        videos = kept(lg.identify(videos, lang_profiles, "video_id", "title"), "videos-with-language")
+    when = lambda c: epoch_seconds(parse_iso(c))  # noqa: E731  (as times: ...00Z and ...00.000Z are one)
     hits = (pg.flatten_search_pages(search_pages).withColumn("year", F.col("year").cast("int")).join(limits, "year")
-            .filter((F.col("window_start") >= F.col("lo")) & (F.col("window_end") <= F.col("hi"))).drop("lo", "hi"))
-    sampled = stage(co.fill_landed(hits, videos, terms, variant, target,
+            .filter((when("window_start") >= when("lo")) & (when("window_end") <= when("hi"))).drop("lo", "hi"))
+    sampled = kept(co.fill_landed(hits, videos, terms, variant, target,
                                    english="pred_lang" if lang_profiles is not None else None), "sampled")
     comments = pg.flatten_comment_pages(comment_pages).join(sampled.select("year", "video_id"), "video_id")
     english = None
     if lang_profiles is not None:
-        comments = stage(lg.identify(comments, lang_profiles), "comments-with-language")
+        comments = kept(lg.identify(comments, lang_profiles), "comments-with-language")
         english = "pred_lang"
     collected = co.collect_comments(comments, sampled, english=english)
-    final = stage(co.attach_video(collected, videos).select(
+    final = kept(co.attach_video(collected, videos).select(
         "comment_id", "video_id", "text", "published_at", "video_title", "video_published_at", "year"), "collected")
-    sk.write_ndjson_by_year(final, f"{out}/comments")
+    sk.write_ndjson_by_year(final, f"{out}/comments", years=[int(y) for y, _, _ in bounds])
     summary = stage(co.ingest_summary(sampled, final), "ingest-summary")
     sk.write_json_record(summary, f"{out}/summary")
+    release(*staged)
     return summary
 
 
@@ -120,6 +129,7 @@ def lexicon_job(spark: SparkSession, patterns, out: str, valence_lex: DataFrame
     n = len(DISTRUST_TERMS)
     for name, own in (("distrust", F.col("term_no") < n), ("trust", F.col("term_no") >= n)):
         sk.write_csv(counts.filter(own).orderBy("term_no").select("term", "count"), f"{out}/{name}_term_counts")
+    release(capped, scored, counts)
     return summary
 
 

@@ -33,6 +33,12 @@ COMMENT = T.StructType([
     T.StructField("video_title", S), T.StructField("video_published_at", S),
 ])
 
+#: Record of a committed year of a per-year sink.
+YEAR_COMMIT = T.StructType([
+    T.StructField("year", T.IntegerType()), T.StructField("run", S), T.StructField("written_at", S),
+    T.StructField("n_files", T.IntegerType()), T.StructField("n_bytes", T.LongType()),
+])
+
 SEARCH_PAGE = T.StructType([
     T.StructField("year", T.IntegerType()), T.StructField("window_start", S),
     T.StructField("window_end", S), T.StructField("term", S), T.StructField("ord", S),

@@ -49,6 +49,44 @@ def test_ndjson_sink_keeps_nulls_per_year(spark, tmp):
     assert '"text":null' in line
 
 
+def _by_year(spark, out):
+    return {y: sorted(r.comment_id for r in g) for y, g in
+            {y: [r for r in spark.read.json(out).collect() if r.year == y] for y in (2011, 2012, 2013)}.items()}
+
+
+def test_ndjson_sink_keeps_other_years(spark, tmp):
+    """Reruns replace their own years only; years without rows are emptied if the run names them."""
+    out = os.path.join(tmp, "years")
+    rows = lambda year, *ids: spark.createDataFrame([(i, None, year) for i in ids], "comment_id string, text string, year int")
+    sk.write_ndjson_by_year(rows(2011, "a", "b"), out)
+    sk.write_ndjson_by_year(rows(2012, "c"), out)
+    assert _by_year(spark, out) == {2011: ["a", "b"], 2012: ["c"], 2013: []}
+    last = sk.write_ndjson_by_year(rows(2011, "d").union(rows(2013, "e")), out, years=[2011, 2013])
+    assert _by_year(spark, out) == {2011: ["d"], 2012: ["c"], 2013: ["e"]}
+    commits = {r.year: r for r in sk.year_commits(spark, out).collect()}
+    assert {y for y, r in commits.items() if r.run == last} == {2011, 2013} and all(r.n_files and r.n_bytes for r in commits.values())
+    sk.write_ndjson_by_year(rows(2011, "f"), out, years=[2011, 2013])
+    assert _by_year(spark, out) == {2011: ["f"], 2012: ["c"], 2013: []} and sk.uncommitted_years(spark, out) == []
+    assert {r.year: r.n_files > 0 for r in sk.year_commits(spark, out).collect()} == {2011: True, 2012: True, 2013: False}
+
+
+def test_failed_year_leaves_the_old_one(spark, tmp):
+    out = os.path.join(tmp, "years")
+    good = spark.createDataFrame([("a", 2011), ("b", 2012)], "comment_id string, year int")
+    sk.write_ndjson_by_year(good, out)
+    before = [tuple(r) for r in sk.year_commits(spark, out).orderBy("year").collect()]
+    bad = spark.range(100).select(F.when(F.col("id") < 99, F.col("id").cast("string")).otherwise(F.raise_error(F.lit("broken row"))).alias("comment_id"), F.lit(2011).alias("year"))
+    with pytest.raises(Exception, match="broken row"):
+        sk.write_ndjson_by_year(bad.repartition(4), out)
+    assert _by_year(spark, out) == {2011: ["a"], 2012: ["b"], 2013: []}
+    assert [tuple(r) for r in sk.year_commits(spark, out).orderBy("year").collect()] == before
+    # A run that dies between its commit and its record is seen, and mended by a rerun.
+    good.filter("year = 2012").withColumn("comment_id", F.lit("z")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").json(out)
+    assert sk.uncommitted_years(spark, out) == ["2012"]
+    sk.write_ndjson_by_year(good.filter("year = 2012"), out)
+    assert sk.uncommitted_years(spark, out) == []
+
+
 def test_label_config_and_ids(spark, tmp):
     cfg = {"label_names": ["a", "b"], "thresholds": [0.05, 0.2], "preprocessing": {"use_title_prefix": True,
                                                                                    "clean_like_old": True}}

@@ -98,6 +98,28 @@ def test_collect_nothing_and_current_year(spark, tmp):
     assert s.collect() == []
 
 
+def test_window_bounds_are_times(spark, tmp):
+    """A window at the year's first second is of the year, with fractions of a second or without."""
+    from tenor.schemas import COMMENT_PAGE
+    search, videos = pages_of(spark, VIDS, [["v1"]])
+    search = search.withColumn("window_start", F.lit("2015-01-01T00:00:00.000Z")).withColumn("window_end", F.lit("2015-01-21T00:00:00.000Z"))
+    s = jobs.collect_job(spark, search, videos, spark.createDataFrame([], COMMENT_PAGE), BOUNDS, ["news"], os.path.join(tmp, "a")).collect()
+    assert [(r.year, r.videos) for r in s] == [(2015, 1)]
+
+
+def test_collecting_a_year_keeps_the_others(spark, tmp):
+    from tenor.schemas import COMMENT_PAGE
+    search, videos = pages_of(spark, VIDS, [["v1", "v4"]])
+    comments = spark.createDataFrame([("v1", 0, [item("c1", "2015-02-01T00:00:00Z", "hello")])], COMMENT_PAGE)
+    out = os.path.join(tmp, "collect")
+    jobs.collect_job(spark, search, videos, comments, BOUNDS, ["news"], out)
+    jobs.collect_job(spark, search, videos, comments, [2014], ["news"], out, now_iso="2020-01-01T00:00:00Z")
+    assert [(r.comment_id, r.year) for r in spark.read.json(os.path.join(out, "comments")).collect()] == [("c1", 2015)]
+    # The year is collected again and holds nothing now: its file is empty, as a rewritten one would be.
+    jobs.collect_job(spark, search, videos, comments.limit(0), BOUNDS, ["news"], out)
+    assert spark.read.schema("comment_id string, year int").json(os.path.join(out, "comments")).count() == 0
+
+
 def test_broken_line_fails(spark, tmp):
     import pytest
     from tenor.sources import readers as rd
