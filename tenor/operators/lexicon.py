@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tenor.functions.numeric import sentiment_label
 from tenor.functions.text import DISTRUST_TERMS, TRUST_TERMS, contains_any, tokens
+from tenor.operators.cutoff import DATE_STEPS, Key, first_n_by_cutoff
 from tenor.operators.joins import local_table
-from tenor.operators.ranking import first_n
 
 # ---------------------------------------------------------------------------
 # Rule constants of the rule-based valence model (Hutto & Gilbert, 2014).
@@ -292,14 +292,12 @@ def year_range(df: DataFrame) -> DataFrame:
 
 
 def cap_per_year(df: DataFrame, n: int = MAX_PER_YEAR, key: str = "comment_id") -> DataFrame:
-    """The earliest n per year by published_at (nulls last), ties by id."""
-    return first_n(df, ["year"], [F.col("published_at").asc_nulls_last(), F.col(key)], n,
-                   salt_cols=[key])
+    """The earliest n per year by published_at (nulls last), ties by id; rows beyond the cut-off are filtered where they are read."""
+    return first_n_by_cutoff(df, ["year"], [Key("published_at", nulls_last=True, steps=DATE_STEPS), key], n)
 
 
 def review_sample(df: DataFrame, n: int = SAMPLE_PER_YEAR, seed: int = SAMPLE_SEED,
                   key: str = "comment_id") -> DataFrame:
     """min(n, rows) per year, pseudo-random but seeded: order by md5(id:seed)."""
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    return first_n(df.withColumn("__h", h), ["year"], [F.col("__h"), F.col(key)], n,
-                   salt_cols=[key]).drop("__h")
+    return first_n_by_cutoff(df.withColumn("__h", h), ["year"], ["__h", key], n).drop("__h")
