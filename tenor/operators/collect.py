@@ -8,23 +8,26 @@ The reference walks an API loop. Here the jobs start from landed pages (see
 window fill (W6) — the depth-first walk over halved windows visits windows in
 ``(start, level)`` order, appends each window's ranked raw hits that are new
 and eligible, and stops at the target. So: build the window tree (small,
-bounded, broadcast), join hits to windows, rank per (window, term, order) with
-the per-search result limit, order everything by ``(start, level, term_no,
-ord_no, rank)``, keep each video's first occurrence, drop ineligible videos
-and keep the first ``target`` per year. Ranking limits apply to raw hits,
-before the eligibility filter, as in the reference.
+bounded, broadcast), put each hit into its leaf window, keep the leaf's first
+results per (term, order) by cut-off selection, and rank upwards: a parent's
+first n results are the first n of its children's first n. Then order everything
+by ``(start, level, term_no, ord_no, rank)``, keep each video's first occurrence,
+drop ineligible videos and keep the first ``target`` per year. Ranking limits apply
+to raw hits, before the eligibility filter, as in the reference.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenor.functions.text import is_music_video
 from tenor.functions.time import epoch_seconds, in_year, parse_iso
+from tenor.operators.cutoff import Key, first_n_by_cutoff
 from tenor.operators.ranking import first_n, first_per_key
+from tenor.staging import stage
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference for the same samples.
@@ -73,28 +76,96 @@ def window_tree(bounds) -> list[tuple]:
     return out
 
 
+TREE_SCHEMA = "year int, level int, idx int, start_s long, end_s long, window_start string, window_end string"
+
+
+def _leaf_cells(tree: list[tuple]) -> list[tuple]:
+    """Rows (year, cell, origin, width, leaves): the year's span in equal cells no longer than its shortest leaf
+    window, each with the few leaves that touch it. Bounded: some 400 cells for a full year."""
+    out = []
+    halved = {(y, level - 1, idx // 2) for y, level, idx, *_ in tree if level}
+    for year in sorted({r[0] for r in tree}):
+        leaves = [r for r in tree if r[0] == year and (year, r[1], r[2]) not in halved]
+        leaves.sort(key=lambda r: r[3])
+        origin, end = leaves[0][3], leaves[-1][4]
+        width = max(1, min(r[4] - r[3] for r in leaves))
+        for cell in range((end - origin) // width + 1):
+            lo, hi = origin + cell * width, origin + (cell + 1) * width
+            near = [(r[1], r[2], r[3], r[4], r[4] < end) for r in leaves if r[3] <= hi and r[4] >= lo]
+            out.append((year, cell, origin, width, near))
+    return out
+
+
+def attach_leaves(hits: DataFrame, tree: list[tuple], ts: str = "ts_s") -> DataFrame:
+    """Every hit with its leaf window: columns of ``hits`` + ``leaf_level, leaf_idx, at_end``.
+
+    One probe of a small table by (year, cell). Windows are closed at both ends, so a hit on a bound that two leaves
+    share enters the left one too, there with ``at_end`` true. Hits outside the tree drop out."""
+    spark = hits.sparkSession
+    near = "array<struct<level:int,idx:int,start_s:long,end_s:long,shared:boolean>>"
+    cells = spark.createDataFrame(_leaf_cells(tree), f"year int, __cell int, __s0 long, __w long, __near {near}")
+    roots = cells.filter("__cell = 0").select("year", "__s0", "__w")
+    t = F.col(ts)
+    at = F.floor((t - F.col("__s0")) / F.col("__w")).cast("int")
+    probed = hits.join(F.broadcast(roots), "year").filter(t >= F.col("__s0")).withColumn("__cell", at).join(F.broadcast(cells.drop("__s0", "__w")), ["year", "__cell"])
+    own = F.filter("__near", lambda w: (w["start_s"] <= t) & (t <= w["end_s"]))
+    found = probed.select(*hits.columns, F.explode(own).alias("__leaf"))
+    return found.select(*hits.columns, F.col("__leaf.level").alias("leaf_level"), F.col("__leaf.idx").alias("leaf_idx"),
+                        (F.col("__leaf.shared") & (t == F.col("__leaf.end_s"))).alias("at_end"))
+
+
+def _in_window(level) -> Column:
+    """Whether a row of ``attach_leaves`` lies in its ancestor of that level as a hit of its own: a hit at a shared end
+    counts for the windows that end there (below, the leaf to the right holds it)."""
+    below = F.col("leaf_level") - level
+    last = (F.col("leaf_idx") + 1) % F.pow(F.lit(2), F.greatest(below, F.lit(0))).cast("int") == 0   # the rightmost leaf of the window
+    return (below >= 0) & (~F.col("at_end") | last)
+
+
 def attach_windows(hits: DataFrame, windows: DataFrame, max_level: int, ts: str = "ts_s") -> DataFrame:
-    """Every (hit, window) with window_start <= ts <= window_end (closed both ends).
-
-    A range join, run as an equi-join: at level l a hit can only fall in the
-    windows next to floor((ts - start) * 2^l / span), so each hit probes
-    3 * (max_level + 1) (year, level, idx) keys of a broadcast hash table, then
-    the exact bounds are checked. No nested loop over windows."""
-    roots = windows.filter(F.col("level") == 0).select(
-        "year", F.col("start_s").alias("__s0"), (F.col("end_s") - F.col("start_s")).alias("__span"))
-    cand = (hits.join(F.broadcast(roots), "year")
-                .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_level))))
-                .withColumn("__est", F.floor((F.col(ts) - F.col("__s0")) * F.pow(F.lit(2.0), F.col("level"))
-                                             / F.greatest(F.col("__span"), F.lit(1))).cast("int"))
-                .withColumn("idx", F.explode(F.array(F.col("__est") - 1, F.col("__est"), F.col("__est") + 1)))
-                .drop("__s0", "__span", "__est"))
-    joined = cand.join(F.broadcast(windows), ["year", "level", "idx"])
-    return joined.filter((F.col(ts) >= F.col("start_s")) & (F.col(ts) <= F.col("end_s")))
-
-
-def rank_candidates(hw: DataFrame, terms, variant: str = "general", target: int = VIDEO_SAMPLE_SIZE,
+    """Every (hit, window) with window_start <= ts <= window_end (closed both ends): the leaf's ancestors."""
+    tree = [tuple(r) for r in windows.select("year", "level", "idx", "start_s", "end_s", "window_start", "window_end").collect()]   # bounded: 511 a year
+    each = attach_leaves(hits, tree, ts).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_level))))
+    inside = each.filter(_in_window(F.col("level"))).withColumn("idx", F.expr("shiftright(leaf_idx, leaf_level - level)"))
+    return inside.drop("leaf_level", "leaf_idx", "at_end").join(F.broadcast(windows), ["year", "level", "idx"])
+
+
+def window_lists(hits: DataFrame, tree: list[tuple], terms, most: int, orders=GENERAL_ORDERS) -> DataFrame:
+    """The first ``most`` hits of every (window, term, order), bottom-up: columns of ``hits`` +
+    ``level, idx, term_no, ord_no, rank``.
+
+    Both orders are rows of one table. Each leaf's list comes by cut-off selection, so what goes on is bounded by the
+    tree: ``most`` hits per leaf, term and order, and as many at its end. Then each level, from the leaves up, ranks the
+    rows that its children's lists hold: one window function a level, over one table."""
+    score = F.lit(None).cast("double")
+    for i, order in enumerate(orders):
+        score = F.when(F.col("ord_no") == i, (F.col("views") if order == "viewCount" else F.col("ts_s")).cast("double")).otherwise(score)
+    placed = (attach_leaves(hits, tree).withColumn("term_no", F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("term")) - 1).filter("term_no >= 0")
+              .withColumn("ord_no", F.explode(F.array(*[F.lit(i) for i in range(len(orders))]))).withColumn("score", score))
+    search = ["year", "term_no", "ord_no"]
+    rows = first_n_by_cutoff(placed, [*search, "leaf_level", "leaf_idx", "at_end"], [Key("score", descending=True), "video_id"], most)
+    deepest = max((r[1] for r in tree), default=0)
+    own, places = ~F.col("at_end"), []
+    kept, rows = rows.columns, rows.withColumn("__own", F.lit(None).cast("long"))
+    for level in range(deepest, -1, -1):
+        # A hit that was not among the first of the window below is not among the first of this one.
+        alive = _in_window(level) & (F.col("at_end") | (F.col("leaf_level") == level) | F.coalesce(F.col("__own") <= most, F.lit(False)))
+        idx = F.expr(f"shiftright(leaf_idx, greatest(leaf_level - {level}, 0))")
+        # The other rows stand apart, leaf by leaf, so that no window function meets them in one group.
+        rows = rows.select("*", alive.alias("__alive"), F.when(alive, idx).otherwise(-1 - F.col("leaf_idx")).alias("__idx"))
+        by = Window.partitionBy(*search, "__alive", "__idx").orderBy(F.col("score").desc(), "video_id")
+        rows = rows.select("*", F.row_number().over(by).alias("__rank"), F.sum(F.when(own, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("__n"))
+        place = F.when(F.col("__alive") & (F.col("__rank") <= most), F.struct(F.lit(level).alias("level"), F.col("__idx").alias("idx"), F.col("__rank").alias("rank")))
+        rows = rows.select(*kept, *places, place.alias(f"__p{level}"), F.when(F.col("__alive"), F.col("__n")).alias("__own"))
+        places.append(f"__p{level}")
+    spots = F.filter(F.array(*places), lambda p: p.isNotNull())
+    found = rows.withColumn("__p", F.explode(spots))
+    return found.select(*hits.columns, "__p.level", "__p.idx", "term_no", "ord_no", "__p.rank")
+
+
+def rank_candidates(hits: DataFrame, tree: list[tuple], terms, variant: str = "general", target: int = VIDEO_SAMPLE_SIZE,
                     orders=GENERAL_ORDERS, page_size: int = SEARCH_PAGE_SIZE) -> DataFrame:
-    """W7 (+U2): ranked raw hits per window and search.
+    """W7 (+U2): ranked raw hits per window and search, with the window's start_s and window_start.
 
     Both variants rank each (window, term, order) search by views desc
     ("viewCount") or date desc ("date"), ties by video id. general: the first
@@ -102,36 +173,22 @@ def rank_candidates(hw: DataFrame, terms, variant: str = "general", target: int
     only if the first returned fewer than ``target`` hits, and only for the pages
     needed to reach it. early: every term and order, all pages, then the first
     ``target`` of the concatenation. A search has no other limit, so no rank past
-    these bounds can matter. Output adds term_no, ord_no, rank."""
+    these bounds can matter. Output adds level, idx, term_no, ord_no, rank."""
     pages_target = -(-target // page_size) * page_size
-    most = pages_target if variant == "general" else target
     wkey = ["year", "level", "idx"]
-    hw = hw.withColumn("term_no", F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("term")) - 1) \
-        .filter(F.col("term_no") >= 0)
-    if variant == "general":
-        hw = hw.filter(F.col("term_no") == 0)
-    per_order = []
-    for ord_no, order in enumerate(orders):
-        key = F.col("views").desc() if order == "viewCount" else F.col("ts_s").desc()
-        r = first_n(hw.withColumn("ord_no", F.lit(ord_no)), wkey + ["term_no"], [key, F.col("video_id")],
-                    most, rank_col="rank", salt_cols=["video_id"])
-        per_order.append(r)
-    ranked = per_order[0]
-    for r in per_order[1:]:
-        ranked = ranked.unionByName(r)
+    wins = hits.sparkSession.createDataFrame(tree, TREE_SCHEMA).select(*wkey, "start_s", "window_start")
     if variant == "general":
         # Pages of the first order stop once the target is met; the second order
         # runs only when short, for ceil((target - n1) / page) more pages.
-        n1 = (ranked.filter((F.col("ord_no") == 0) & (F.col("rank") <= pages_target))
-                    .groupBy(*wkey).agg(F.count(F.lit(1)).alias("__n1")))
-        # One row per window (the tree is bounded), so the counts are broadcast.
-        ranked = ranked.join(F.broadcast(n1), wkey, "left").fillna(0, ["__n1"])
+        ranked = window_lists(hits, tree, list(terms)[:1], pages_target, orders)
+        n1 = F.count(F.when(F.col("ord_no") == 0, 1)).over(Window.partitionBy(*wkey))
+        ranked = ranked.withColumn("__n1", n1)
         need = F.ceil((F.lit(target) - F.col("__n1")) / F.lit(page_size)) * page_size
-        keep = (((F.col("ord_no") == 0) & (F.col("rank") <= pages_target))
-                | ((F.col("ord_no") == 1) & (F.col("__n1") < target) & (F.col("rank") <= need)))
-        return ranked.filter(keep).drop("__n1")
-    order = [F.col("term_no"), F.col("ord_no"), F.col("rank")]
-    return first_n(ranked, wkey, order, target, salt_cols=["video_id", "term_no", "ord_no"])
+        ranked = ranked.filter((F.col("ord_no") == 0) | ((F.col("__n1") < target) & (F.col("rank") <= need))).drop("__n1")
+    else:
+        ranked = window_lists(hits, tree, terms, target, orders)
+        ranked = first_n(ranked, wkey, ["term_no", "ord_no", "rank"], target, salt_cols=[])
+    return ranked.join(F.broadcast(wins), wkey)
 
 
 def one_per_video(videos: DataFrame, keys=("video_id",)) -> DataFrame:
@@ -156,22 +213,20 @@ def window_fill(hits: DataFrame, videos: DataFrame, bounds, terms, variant: str
     ``hits``: (video_id, ts_s, views, term, year); ``videos``: metadata with
     (video_id, year, title, description, channel_title, published_at)."""
     target = target or (VIDEO_SAMPLE_SIZE if variant == "general" else VIDEO_SAMPLE_SIZE_EARLY)
-    spark = hits.sparkSession
-    tree = window_tree(bounds)
-    wins = spark.createDataFrame(
-        tree, "year int, level int, idx int, start_s long, end_s long, window_start string, window_end string")
-    max_level = max(r[1] for r in tree) if tree else 0
-    hw = attach_windows(hits, wins, max_level)
-    ranked = rank_candidates(hw, terms, variant, target, page_size=page_size)
+    ranked = rank_candidates(hits, window_tree(bounds), terms, variant, target, page_size=page_size)
     order = ["start_s", "level", "term_no", "ord_no", "rank"]
-    return _fill(ranked, order, videos, target, english).select("year", "video_rank", "video_id", "level", "window_start")
+    return _fill(ranked, order, videos, target, english, bounded=True).select("year", "video_rank", "video_id", "level", "window_start")
 
 
-def _fill(ranked: DataFrame, order: list[str], videos: DataFrame, target: int, english: str | None) -> DataFrame:
-    """The first occurrence of each video, then the first ``target`` eligible ones per year."""
-    first = first_per_key(ranked, ["year", "video_id"], order)
-    eligible = first.join(video_eligible(videos, english), ["year", "video_id"]).filter("eligible")
-    return first_n(eligible, ["year"], [*order, "video_id"], target, rank_col="video_rank", salt_cols=["video_id"])
+def _fill(ranked: DataFrame, order: list[str], videos: DataFrame, target: int, english: str | None, bounded: bool) -> DataFrame:
+    """The first occurrence of each video, then the first ``target`` eligible ones per year: by a window alone if the
+    window lists bound the rows of a year, else by cut-off selection."""
+    place = [c for c in ("level", "window_start") if c in ranked.columns and c not in order]
+    first = first_per_key(ranked.select("year", "video_id", *order, *place), ["year", "video_id"], order)
+    eligible = first.join(video_eligible(videos, english), ["year", "video_id"]).filter("eligible").drop("eligible")
+    if bounded:
+        return first_n(eligible, ["year"], [*order, "video_id"], target, rank_col="video_rank", salt_cols=[])
+    return first_n_by_cutoff(stage(eligible, "eligible-videos"), ["year"], [*order, "video_id"], target, rank_col="video_rank")
 
 
 def fill_landed(hits: DataFrame, videos: DataFrame, terms, variant: str = "general", target: int | None = None,
@@ -191,7 +246,7 @@ def fill_landed(hits: DataFrame, videos: DataFrame, terms, variant: str = "gener
              .withColumn("longer", -epoch_seconds(parse_iso("window_end"))))
     h = h.filter((F.col("term_no") == 0) if variant == "general" else (F.col("term_no") >= 0)).filter("ord_no >= 0")
     order = ["start_s", "longer", "term_no", "ord_no", "page", "pos"]
-    return _fill(h, order, videos, target, english).select("year", "video_rank", "video_id", "window_start")
+    return _fill(h, order, videos, target, english, bounded=False).select("year", "video_rank", "video_id", "window_start")
 
 
 def collect_comments(comments: DataFrame, sampled: DataFrame, english: str | None = "lang",
@@ -202,33 +257,28 @@ def collect_comments(comments: DataFrame, sampled: DataFrame, english: str | Non
     pos) — an id is claimed before the language check, as in the reference —
     then P4, W2 (per video), W3 (per year); a cap that is None is skipped.
 
-    Dedup and caps run on ids and places alone; the surviving ones then bring
-    the other columns (text) in one join.
+    The comments of sampled videos are written once, with a number per row. Dedup
+    and caps run on ids, places and that number, with cut-off selection; one join on
+    the number brings the other columns. A comment that landed twice is one from the
+    dedup on, so no step groups texts.
 
     ``comments``: (year, video_id, page, pos, comment_id, published_at, text[, lang]);
     ``sampled``: (year, video_id, video_rank)."""
-    places = ["year", "video_id", "page", "pos", "comment_id"]
-    narrow = comments.select(*places, "published_at", *([english] if english is not None else []))
-    c = narrow.join(sampled.select("year", "video_id", "video_rank"), ["year", "video_id"])
-    c = c.filter(in_year("published_at", "year"))
+    ranks = sampled.select("year", "video_id", "video_rank")
+    mine = comments.filter(in_year("published_at", "year")).join(ranks, ["year", "video_id"])
+    mine = stage(mine.withColumn("__row", F.monotonically_increasing_id()).select(*comments.columns, "video_rank", "__row"), "sampled-comments")
     order = ["video_rank", "page", "pos"]
-    c = first_per_key(c, ["year", "comment_id"], order)
+    narrow = mine.select("year", "video_id", "comment_id", *order, "__row", *([english] if english is not None else []))
+    c = first_per_key(narrow, ["year", "comment_id"], order)
     if english is not None:
         c = c.filter(F.coalesce(F.col(english), F.lit("en")) == "en")
+    if per_video is not None or per_year is not None:
+        c = stage(c, "claimed-comments")
     if per_video is not None:
-        c = first_n(c, ["year", "video_id"], order, per_video, salt_cols=["comment_id"])
+        c = first_n_by_cutoff(c, ["year", "video_id"], [*order, "comment_id"], per_video)
     if per_year is not None:
-        c = first_n(c, ["year"], order, per_year, salt_cols=["comment_id"])
-    kept = c.select(*places, "video_rank")
-    k = kept.select(*[F.col(x).alias(f"__{x}") for x in places], "video_rank")
-    same = None
-    for x in places:
-        e = comments[x].eqNullSafe(k[f"__{x}"])
-        same = e if same is None else same & e
-    # A place that landed twice is one comment.
-    rest = [x for x in comments.columns if x not in places]
-    joined = comments.join(k, same).select(*[comments[x] for x in comments.columns], "video_rank")
-    return first_per_key(joined, places, ["video_rank", *rest])
+        c = first_n_by_cutoff(c, ["year"], [*order, "comment_id"], per_year)
+    return mine.join(c.select("__row"), "__row", "left_semi").drop("__row")
 
 
 def attach_video(comments: DataFrame, videos: DataFrame) -> DataFrame:

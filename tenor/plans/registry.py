@@ -754,11 +754,7 @@ def q_window_fill_early(spark, sf_dir):
 @register("candidate_rank", _fill_sql("early")
           + " SELECT year, level, idx, term_no, ord_no, CAST(rank AS INTEGER) AS rank, video_id FROM k")
 def q_candidate_rank(spark, sf_dir):
-    tree = co.window_tree(FILL_BOUNDS)
-    wins = spark.createDataFrame(
-        tree, "year int, level int, idx int, start_s long, end_s long, window_start string, window_end string")
-    hw = co.attach_windows(V.event_hits(spark, sf_dir), wins, max(r[1] for r in tree))
-    r = co.rank_candidates(hw, EARLY_TERMS, "early", co.VIDEO_SAMPLE_SIZE_EARLY)
+    r = co.rank_candidates(V.event_hits(spark, sf_dir), co.window_tree(FILL_BOUNDS), EARLY_TERMS, "early", co.VIDEO_SAMPLE_SIZE_EARLY)
     return r.select("year", "level", "idx", F.col("term_no").cast("int"), "ord_no", "rank", "video_id")
 
 

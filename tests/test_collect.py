@@ -93,6 +93,64 @@ def test_window_fill_equals_the_loop(spark, variant, seed):
     assert got == expect
 
 
+@pytest.mark.parametrize("variant", ["general", "early"])
+def test_leaves_of_several_depths(spark, variant):
+    """A year whose first quarter is one second too short to be halved again; many hits on shared bounds and equal views."""
+    rnd = random.Random(9)
+    start_iso, end_iso = "2015-01-01T00:00:00Z", "2015-01-08T23:59:59Z"
+    tree = co.window_tree([(2015, start_iso, end_iso)])
+    halved = {(lv - 1, ix // 2) for _, lv, ix, *_ in tree if lv}
+    assert len({lv for _, lv, ix, *_ in tree if (lv, ix) not in halved}) > 1
+    bounds = sorted({b for r in tree for b in r[3:5]})
+    hits = list({(h[0], h[3]): h for h in [(f"v{rnd.randrange(90):02d}", rnd.choice(bounds) if rnd.random() < 0.5 else rnd.randrange(bounds[0], bounds[-1] + 1), float(rnd.randrange(4)), rnd.choice(["news", "report"])) for _ in range(300)]}.values())
+    eligible = {h[0]: rnd.random() < 0.7 for h in hits}
+    hdf = spark.createDataFrame([(v, t, w, x, 2015) for v, t, w, x in hits] + [("out", bounds[0] - 1, 9.0, "news", 2015), ("out", bounds[-1] + 1, 9.0, "news", 2015)], "video_id string, ts_s long, views double, term string, year int")
+    vdf = spark.createDataFrame([(v, 2015, "t" if ok else "lyrics", "", "ch", "2015-01-02T00:00:00Z") for v, ok in eligible.items()] + [("out", 2015, "t", "", "ch", "2015-01-02T00:00:00Z")],
+                                "video_id string, year int, title string, description string, channel_title string, published_at string")
+    for target in (6, 40):
+        got = co.window_fill(hdf, vdf, [(2015, start_iso, end_iso)], ["news", "report"], variant, target, page_size=3)
+        assert [r.video_id for r in got.orderBy("video_rank").collect()] == py_walk(hits, eligible, bounds[0], bounds[-1], ["news", "report"], variant, target, 3)
+    lists = {}
+    for r in co.window_lists(hdf, tree, ["news", "report"], 5).collect():
+        lists.setdefault((r.level, r.idx, r.term_no, r.ord_no), {})[r["rank"]] = r.video_id
+    for _, lv, ix, s, e, *_ in tree:
+        for term_no, term in enumerate(["news", "report"]):
+            for ord_no in (0, 1):
+                own = sorted((h for h in hits if s <= h[1] <= e and h[3] == term), key=lambda h: (-h[2 - ord_no], h[0]))[:5]
+                assert lists.get((lv, ix, term_no, ord_no), {}) == {k + 1: h[0] for k, h in enumerate(own)}
+
+
+def test_plan_of_the_window_fill(spark):
+    """Hits are copied for the two orders and at shared bounds only, before the leaf's filter; no union of two branches."""
+    tree = co.window_tree([(2015, "2015-01-01T00:00:00Z", "2015-12-31T23:59:59Z")])
+    hits = spark.createDataFrame([("v", 1420070400, 1.0, "news", 2015)], "video_id string, ts_s long, views double, term string, year int")
+    plan = co.window_lists(hits, tree, ["news"], 3000)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    last = max(i for i, x in enumerate(lines) if "Window [" in x)
+    below = [x for x in lines[last:] if "Generate" in x]
+    assert len(below) == 2 and "Union" not in plan
+
+
+def test_comment_text_is_shuffled_by_no_window(spark):
+    """Dedup and caps run without the text; it comes by one join on a row number."""
+    rows = [(2011, "A", p, i, f"c{p}-{i}", "2011-05-01T00:00:00Z", "text " * 5, "en") for p in range(30) for i in range(20)]
+    comments = spark.createDataFrame(rows + rows[:50], "year int, video_id string, page int, pos int, comment_id string, published_at string, text string, lang string")
+    sampled = spark.createDataFrame([(2011, "A", 1)], "year int, video_id string, video_rank int")
+    got = co.collect_comments(comments, sampled, per_video=250, per_year=240)
+    plan = got._jdf.queryExecution().optimizedPlan()
+    windows = []
+
+    def walk(node):
+        if node.nodeName() == "Window" or node.nodeName() == "Aggregate":
+            windows.append(node.output().mkString(","))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    assert windows and not any("text#" in w for w in windows)
+    assert sorted(r.comment_id for r in got.collect()) == sorted(r[4] for r in sorted(rows, key=lambda r: (r[2], r[3]))[:240])
+
+
 def test_attach_windows_equals_range_join(spark):
     rnd = random.Random(5)
     tree = co.window_tree([(2012, "2012-01-01T00:00:00Z", "2012-12-31T23:59:59Z")])

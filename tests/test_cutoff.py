@@ -64,6 +64,9 @@ def test_rows_equal_in_the_whole_order(spark):
     got = ct.first_n_by_cutoff(df, ["g"], ["id"], 40).groupBy("id").count().collect()
     assert {r["id"]: r["count"] for r in got} == {"a": 10, "b": 30}
     assert ct.first_n_by_cutoff(df.limit(0), ["g"], ["id"], 40).collect() == []
+    numbers = df.select("g", F.lit(1).alias("one"), F.when(F.col("id") == "a", 1.0).otherwise(2.0).alias("v"))
+    got = ct.first_n_by_cutoff(numbers, ["g"], ["one", "v", "one"], 40).groupBy("v").count().collect()
+    assert {r["v"]: r["count"] for r in got} == {1.0: 10, 2.0: 30}
 
 
 def test_several_group_columns_and_small_groups(spark):
