@@ -24,6 +24,9 @@ def tune(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(WINDOW_GROUP_LIMIT))
+    # Whole texts go to Python where languages are told: batches are bounded in rows and in bytes.
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
