@@ -1,132 +1,113 @@
-"""Two-task text classifier on Spark ML: training (M4), batch inference (M5),
-hybrid inference (M6).
+"""Two-task text classifier: training (M4), batch inference (M5), hybrid inference (M6).
 
 Contract kept from the reference: ten binary outputs with per-label thresholds
 tuned on the validation split, one 3-class sentiment output whose rows weigh
-``1 + 0.5 * irony``, input text = cleaned text with a title prefix, sliding
-word windows whose probabilities are averaged per comment, predictions
-appended as ``<label>_ft_prob/_ft_pred`` and ``sent_*``.
-
-Re-aimed: hashed word features + IDF and logistic regressions replace the
-transformer. "base" and "specialist" are two feature presets (words; words +
-word bigrams). Training uses every window of a text (whole texts, never a
-truncated prefix); each window weighs 1 / n_windows so a comment counts once.
+``1 + 0.5 * irony``, one joint loss (A11), input text = cleaned text with a title
+prefix, sliding word windows whose probabilities are averaged per comment,
+predictions appended as ``<label>_ft_prob/_ft_pred`` and ``sent_*``.
+
+Re-aimed: hashed words with IDF and one shared low-rank layer under both heads
+(:mod:`tenor.operators.joint`) replace the transformer. "base" and "specialist"
+are two feature presets (words; words + word bigrams). Training uses every window of
+a text (whole texts, never a truncated prefix); each window weighs 1 / n_windows so a
+comment counts once.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import json
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenor.functions.numeric import IRONY_SENT_EXTRA, at_threshold
+from tenor.operators import joint as jt
 from tenor.operators.hybrid import check_label_lists, hybrid_merge
 from tenor.operators.labels import build_labels, stratified_split
 from tenor.operators.metrics import multilabel_report, sentiment_f1, tune_thresholds
 from tenor.operators.model import MAX_LENGTH, STRIDE_FRAC, prediction_columns, token_windows, window_mean
 from tenor.operators.text import add_text_proc
-from tenor.schemas import LABELS, PREDICTION_COLS
-from tenor.staging import stage
+from tenor.schemas import LABELS, PREDICTION_COLS, SENTIMENT_PROB_COLS
+from tenor.staging import release, stage
 
 PRESETS = {"base": {"bigrams": False}, "specialist": {"bigrams": True}}
-NUM_FEATURES = 1 << 16
-# Independent fits run as concurrent Spark jobs (as CrossValidator's parallelism):
-# one per head (ten labels + sentiment), at most this many.
-FIT_PARALLELISM = 16
 
 
 @dataclass
 class MultiTaskModel:
-    features: PipelineModel
-    label_models: list
-    sent_model: LogisticRegressionModel
+    idf: np.ndarray
+    theta: np.ndarray
+    shape: jt.Shape
     labels: list = field(default_factory=lambda: list(LABELS))
     thresholds: list = field(default_factory=lambda: [0.5] * len(LABELS))
     config: dict = field(default_factory=dict)
+    history: list = field(default_factory=list)   # A11 on the training rows, before the first round and after each
 
     def with_thresholds(self, thresholds) -> "MultiTaskModel":
-        return MultiTaskModel(self.features, self.label_models, self.sent_model, self.labels,
-                              [float(t) for t in thresholds], self.config)
+        return MultiTaskModel(self.idf, self.theta, self.shape, self.labels, [float(t) for t in thresholds], self.config, self.history)
 
 
-def featurizer(preset: str = "base", num_features: int = NUM_FEATURES) -> Pipeline:
-    stages = []
-    if PRESETS[preset]["bigrams"]:
-        stages += [NGram(n=2, inputCol="tokens", outputCol="__bi"),
-                   SQLTransformer(statement="SELECT *, concat(tokens, __bi) AS __terms FROM __THIS__")]
-    else:
-        stages += [SQLTransformer(statement="SELECT *, tokens AS __terms FROM __THIS__")]
-    stages += [HashingTF(inputCol="__terms", outputCol="__tf", numFeatures=num_features),
-               IDF(inputCol="__tf", outputCol="features")]
-    return Pipeline(stages=stages)
+def hashed_terms(tokens: str | Column, preset: str, num_features: int) -> Column:
+    """The terms of a window (words; with the bigrams of the specialist preset) as numbers below ``num_features``."""
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    number = lambda x: F.pmod(F.hash(x), F.lit(num_features))
+    words = F.transform(t, lambda x: number(x))
+    if not PRESETS[preset]["bigrams"]:
+        return words
+    pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, y: number(F.concat_ws(" ", x, y)))
+    return F.concat(words, pairs)
 
 
 def _windows(df: DataFrame, key: str, keep, config: dict) -> DataFrame:
     d = add_text_proc(df, "text", "video_title", config.get("use_title_prefix", True),
                       config.get("clean_like_old", True))
-    return token_windows(d, key, "text_proc", config.get("max_length", MAX_LENGTH),
-                         config.get("stride_frac", STRIDE_FRAC), config.get("slide", True), keep=keep)
+    w = token_windows(d, key, "text_proc", config.get("max_length", MAX_LENGTH),
+                      config.get("stride_frac", STRIDE_FRAC), config.get("slide", True), keep=keep)
+    return w.withColumn("terms", hashed_terms("tokens", config["preset"], config["num_features"])).drop("tokens")
 
 
 def df_parallelism(df: DataFrame) -> int:
     return max(1, df.sparkSession.sparkContext.defaultParallelism)
 
 
+def inverse_frequencies(windows: DataFrame, num_features: int) -> np.ndarray:
+    """log((n + 1) / (windows with the term + 1)) per hashed term."""
+    seen = windows.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    counts = np.zeros(num_features)
+    for r in seen.collect():   # at most num_features rows
+        counts[r["t"]] = r["n"]
+    return np.log((windows.count() + 1.0) / (counts + 1.0))
+
+
 def fit(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labels=LABELS,
-        max_iter: int = 25, reg_param: float = 0.01, irony_extra: float = IRONY_SENT_EXTRA,
-        config: dict | None = None, parallelism: int = FIT_PARALLELISM) -> MultiTaskModel:
-    """M4 on rows already restricted to the training split."""
+        max_iter: int = 25, reg_param: float = 1e-5, irony_extra: float = IRONY_SENT_EXTRA,
+        config: dict | None = None, num_features: int = jt.NUM_FEATURES, rank: int = jt.RANK, seed: int = 42) -> MultiTaskModel:
+    """M4 on rows already restricted to the training split: both heads over one shared layer, minimising A11."""
     config = {"preset": preset, "max_length": MAX_LENGTH, "stride_frac": STRIDE_FRAC, "slide": True,
-              "use_title_prefix": True, "clean_like_old": True, **(config or {})}
-    keep = [*labels, "sent_class"]
-    # The windows feed both the IDF fit and the staged features: compute them once.
-    w = _windows(labelled, key, keep, config).withColumn("__w", 1.0 / F.col("n_windows")).persist()
-    feats = featurizer(preset).fit(w)
-    train = feats.transform(w).select("features", "__w", *[F.col(c).cast("double").alias(c) for c in keep])
-    train = train.withColumn("__ws", F.col("__w") * (1.0 + irony_extra * F.col("irony")))
-    staged = train.persist()
-    # Every optimizer iteration is a job over all partitions: as many as there are cores.
-    train = staged.coalesce(df_parallelism(labelled)).persist()
-    train.count()
-    staged.unpersist()
-    w.unpersist()
+              "use_title_prefix": True, "clean_like_old": True, "num_features": num_features, "rank": rank, **(config or {})}
+    w = _windows(labelled, key, [*labels, "sent_class"], config)
+    rows = w.select("terms", F.array(*[F.col(c).cast("double") for c in labels]).alias("y"), F.col("sent_class").cast("int").alias("sent"),
+                    (F.col("irony").cast("double") if "irony" in labels else F.lit(0.0)).alias("irony"), (1.0 / F.col("n_windows")).alias("weight"))
+    written = stage(rows, "training-windows")
+    idf, shape = inverse_frequencies(written, num_features), jt.Shape(num_features, rank, len(labels))
+    # Every round is a job over all partitions: as many as there are cores, held where they fit.
+    train = jt.vectorised(written.repartition(df_parallelism(labelled)), idf).persist()
     try:
-        estimators = [
-            LogisticRegression(featuresCol="features", labelCol=name, weightCol="__w", maxIter=max_iter,
-                               regParam=reg_param, family="binomial", probabilityCol=f"__prob{i}",
-                               rawPredictionCol=f"__raw{i}", predictionCol=f"__pred{i}")
-            for i, name in enumerate(labels)]
-        estimators.append(
-            LogisticRegression(featuresCol="features", labelCol="sent_class", weightCol="__ws",
-                               maxIter=max_iter, regParam=reg_param, family="multinomial",
-                               probabilityCol="__sprob", rawPredictionCol="__sraw", predictionCol="__spred"))
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(estimators)))) as pool:
-            fitted = list(pool.map(lambda est: est.fit(train), estimators))
-        models, sent = fitted[:-1], fitted[-1]
+        theta, history = jt.minimise(lambda t: jt.evaluate(train, t, shape, reg_param, irony_extra), shape.start(seed), max_iter)
     finally:
         train.unpersist()
-    return MultiTaskModel(feats, models, sent, list(labels), [0.5] * len(labels), config)
+    release(written)
+    return MultiTaskModel(idf, theta, shape, list(labels), [0.5] * len(labels), config, history)
 
 
 def window_probabilities(model: MultiTaskModel, df: DataFrame, key: str = "comment_id") -> DataFrame:
     """Per ``key``: mean window probabilities ``<label>_p`` and ``sent_*_prob``."""
-    w = _windows(df, key, [], model.config)
-    f = model.features.transform(w)
-    for m in model.label_models:
-        f = m.transform(f)
-    f = model.sent_model.transform(f)
-    probs = [vector_to_array(F.col(f"__prob{i}"))[1].alias(f"{name}_p") for i, name in enumerate(model.labels)]
-    sp = vector_to_array(F.col("__sprob"))
-    sent = [sp[k].alias(c) for k, c in enumerate(["sent_neg_prob", "sent_neu_prob", "sent_pos_prob"])]
-    per_window = f.select(key, *probs, *sent)
-    return window_mean(per_window, [f"{n}_p" for n in model.labels]
-                       + ["sent_neg_prob", "sent_neu_prob", "sent_pos_prob"], key).drop("n_windows")
+    names = [*[f"{c}_p" for c in model.labels], *SENTIMENT_PROB_COLS]
+    scored = _windows(df, key, [], model.config).select(key, jt.scores(model.theta, model.shape, model.idf)("terms").alias("__p"))
+    per_window = scored.select(key, *[F.col("__p")[i].alias(n) for i, n in enumerate(names)])
+    return window_mean(per_window, names, key).drop("n_windows")
 
 
 def predict(model: MultiTaskModel, df: DataFrame, key: str = "comment_id") -> DataFrame:
@@ -140,7 +121,7 @@ def predict(model: MultiTaskModel, df: DataFrame, key: str = "comment_id") -> Da
     base = df.withColumn("__row", F.struct(F.col(key), F.xxhash64(F.col("text"), *title)))
     probs = window_probabilities(model, base, "__row")
     preds = prediction_columns(probs, model.labels, model.thresholds, "_p",
-                               sent_probs=["sent_neg_prob", "sent_neu_prob", "sent_pos_prob"])
+                               sent_probs=SENTIMENT_PROB_COLS)
     keep = [c for c in base.columns if c not in PREDICTION_COLS]
     return base.select(*keep).join(preds.select("__row", *PREDICTION_COLS), "__row", "left").drop("__row")
 
@@ -150,24 +131,32 @@ def at_thresholds(preds: DataFrame, labels, thresholds) -> DataFrame:
     return preds.withColumns({f"{c}_ft_pred": at_threshold(f"{c}_ft_prob", t) for c, t in zip(labels, thresholds)})
 
 
-def train_main(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labels=LABELS,
-               seed: int = 42, **kw):
-    """The training job: labels, split, fit on train, metrics on test at 0.5,
-    thresholds tuned on validation. Returns (model, split table, test metrics,
-    thresholds table)."""
+def train_held_out(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labels=LABELS,
+                   seed: int = 42, **kw):
+    """The training job: labels, split, fit on train, thresholds tuned on validation. The held-out rows are
+    predicted once. Returns (model, split table, held-out predictions at 0.5, thresholds table)."""
     df = stage(stratified_split(build_labels(labelled, labels), key, seed), "split")
     model = fit(df.filter(F.col("split") == "train"), preset, key, labels, **kw)
     scored = stage(predict(model, df.filter(F.col("split") != "train"), key), "held-out")   # at 0.5
     tuned = tune_thresholds(scored.filter(F.col("split") == "val"), labels, "_ft_prob")
     rows = {r["label"]: r["threshold"] for r in tuned.collect()}   # ten rows
-    model = model.with_thresholds([rows[c] for c in labels])
-    test = scored.filter(F.col("split") == "test")
-    rep = multilabel_report(test, labels)
-    metrics = (rep.filter(F.col("label").isin("micro avg", "macro avg"))
-                  .groupBy().pivot("label", ["micro avg", "macro avg"]).agg(F.first("f1"))
-                  .withColumnsRenamed({"micro avg": "ml_test_f1_micro_default",
-                                       "macro avg": "ml_test_f1_macro_default"}))
-    sent = sentiment_f1(test).select(F.col("sent_macro_f1").alias("sent_test_macro_f1"))
+    return model.with_thresholds([rows[c] for c in labels]), df, scored, tuned
+
+
+def default_metrics(test: DataFrame, labels=LABELS) -> tuple[DataFrame, DataFrame]:
+    """Of predictions at 0.5: (micro and macro F1 of the labels, macro F1 of the sentiment)."""
+    metrics = (multilabel_report(test, labels).filter(F.col("label").isin("micro avg", "macro avg"))
+               .groupBy().pivot("label", ["micro avg", "macro avg"]).agg(F.first("f1"))
+               .withColumnsRenamed({"micro avg": "ml_test_f1_micro_default",
+                                    "macro avg": "ml_test_f1_macro_default"}))
+    return metrics, sentiment_f1(test).select(F.col("sent_macro_f1").alias("sent_test_macro_f1"))
+
+
+def train_main(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labels=LABELS,
+               seed: int = 42, **kw):
+    """:func:`train_held_out` with its reports: (model, split table, test metrics, sentiment metric, thresholds table)."""
+    model, df, scored, tuned = train_held_out(labelled, preset, key, labels, seed, **kw)
+    metrics, sent = default_metrics(scored.filter(F.col("split") == "test"), labels)
     return model, df, metrics, sent, tuned
 
 
@@ -179,29 +168,20 @@ def predict_hybrid(base_model: MultiTaskModel, specialist: MultiTaskModel, df: D
 
 
 def save_model(model: MultiTaskModel, path: str) -> None:
-    """Persist to shared storage: feature pipeline, one folder per head, and a
-    one-row config (labels, thresholds, preprocessing, window policy)."""
-    import json
-
-    model.features.write().overwrite().save(f"{path}/features")
-    for i, m in enumerate(model.label_models):
-        m.write().overwrite().save(f"{path}/label_{i}")
-    model.sent_model.write().overwrite().save(f"{path}/sentiment")
-    from pyspark.sql import SparkSession
+    """Persist to shared storage: the numbers in rows of a Parquet table, and a one-row config (labels, thresholds,
+    preprocessing, window policy, shape)."""
     s = SparkSession.getActiveSession()
+    rows = [(name, i // 1024, a[i:i + 1024].tolist()) for name, a in (("idf", model.idf), ("theta", model.theta)) for i in range(0, len(a), 1024)]
+    s.createDataFrame(rows, "name string, part int, numbers array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
     cfg = {"label_names": model.labels, "thresholds": model.thresholds, **model.config}
     s.createDataFrame([(json.dumps(cfg),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
 
 def load_model(path: str) -> MultiTaskModel:
-    import json
-
-    from pyspark.sql import SparkSession
     s = SparkSession.getActiveSession()
     cfg = json.loads(s.read.text(f"{path}/config").first()["value"])
     labels = cfg.pop("label_names")
     thresholds = cfg.pop("thresholds")
-    feats = PipelineModel.load(f"{path}/features")
-    heads = [LogisticRegressionModel.load(f"{path}/label_{i}") for i in range(len(labels))]
-    sent = LogisticRegressionModel.load(f"{path}/sentiment")
-    return MultiTaskModel(feats, heads, sent, labels, thresholds, cfg)
+    parts = s.read.parquet(f"{path}/weights").orderBy("name", "part").collect()   # the model's size
+    numbers = {n: np.concatenate([np.array(r["numbers"]) for r in parts if r["name"] == n]) for n in ("idf", "theta")}
+    return MultiTaskModel(numbers["idf"], numbers["theta"], jt.Shape(cfg["num_features"], cfg["rank"], len(labels)), labels, thresholds, cfg)

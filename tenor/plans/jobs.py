@@ -145,7 +145,9 @@ def train_job(spark: SparkSession, labelled_csv: str, out: str, preset: str = "b
     df = stage(tx.fill_defaults(df, labels=LABELS), "labelled")
     sk.write_json_record(lb.class_frequency(lb.build_labels(df)).groupBy().pivot("label", LABELS).agg(
         F.first("freq")), f"{out}/class_frequencies")
-    model, split, metrics, sent, tuned = clf.train_main(df, preset, key, **kw)
+    model, split, scored, _ = clf.train_held_out(df, preset, key, **kw)
+    test = scored.filter(F.col("split") == "test")
+    metrics, sent = clf.default_metrics(test, model.labels)
     sk.write_split_ids(split, f"{out}/split_ids", key)
     sk.write_json_record(one_row({
         "ml_test_f1_micro_default": metrics.select("ml_test_f1_micro_default"),
@@ -160,8 +162,8 @@ def train_job(spark: SparkSession, labelled_csv: str, out: str, preset: str = "b
                          "base_model": f"tenor-{preset}", "loss_weights": {"lambda_sent": LAMBDA_SENT, "lambda_multi": LAMBDA_MULTI, "irony_sent_extra": IRONY_SENT_EXTRA},
                          "timestamp": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")},
                  f"{out}/label_config")
-    test = clf.predict(model, split.filter(F.col("split") == "test"), key)
-    sk.write_report(mt.multilabel_report(test, model.labels), f"{out}/test_report_multilabel_tuned")
+    sk.write_report(mt.multilabel_report(clf.at_thresholds(test, model.labels, model.thresholds), model.labels), f"{out}/test_report_multilabel_tuned")
+    release(df, split, scored)
     return model
 
 

@@ -900,6 +900,27 @@ def q_predict_hybrid(spark, sf_dir):
     return _round_preds(preds).select("comment_id", *PREDICTION_COLS)
 
 
+@register("hybrid_invariants", "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, CAST(0 AS BIGINT) AS other_irony, CAST(0 AS BIGINT) AS other_sentiment,"
+          " CAST(0 AS BIGINT) AS other_labels, CAST(0 AS BIGINT) AS specialist_like_base FROM documents")
+def q_hybrid_invariants(spark, sf_dir):
+    """M6, stated invariants: every row once; irony and sentiment are those that the specialist predicts alone, the other
+    labels those of the base; and the two models do differ (else nothing would be told apart)."""
+    from tenor.staging import stage
+    gold = V.gold(spark, sf_dir)
+    base, *_ = clf.train_held_out(gold, preset="base")
+    spec, *_ = clf.train_held_out(gold, preset="specialist")
+    docs = stage(_docs_with_titles(spark, sf_dir), "hybrid-docs")
+    own = ["irony_ft_prob", "irony_ft_pred", "sent_neg_prob", "sent_neu_prob", "sent_pos_prob", "sent_pred"]
+    rest = [c for c in PREDICTION_COLS if c not in own]
+    h = clf.predict_hybrid(base, spec, docs).select("comment_id", *PREDICTION_COLS)
+    alone = lambda m, cols, mark: clf.predict(m, docs).select("comment_id", *[F.col(c).alias(f"{mark}{c}") for c in cols])
+    j = h.join(alone(spec, own, "s_"), "comment_id").join(alone(base, PREDICTION_COLS, "b_"), "comment_id")
+    off = lambda cols, mark: reduce(lambda a, b: a | b, [~(F.abs(F.col(c) - F.col(f"{mark}{c}")) <= 1e-12) for c in cols])
+    return j.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("comment_id").alias("n_ids"), F.count_if(off(own[:2], "s_")).alias("other_irony"),
+                 F.count_if(off(own[2:], "s_")).alias("other_sentiment"), F.count_if(off(rest, "b_")).alias("other_labels"),
+                 (F.count_if(off(["irony_ft_prob"], "b_")) == 0).cast("bigint").alias("specialist_like_base"))
+
+
 # ----------------------------------------------------------------------------
 # Landed pages -> rows. Pages are landed from the driver tables by Spark
 # (a page holds at most 100 / 50 items, as an API page does), then flattened.
