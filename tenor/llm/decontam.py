@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenor.llm.common import byte_views, fan_out
+from tenor.llm.common import byte_views, fan_out, free_name
 
 #: Words an automaton holds at most; items longer than that are cut into overlapping parts.
 BLOCK_WORDS = 200_000
@@ -170,7 +170,8 @@ def scan(documents: DataFrame, items: DataFrame, text_col: str = "text", item_id
 
     A null text has no words, nor has an empty one; an item without words is in no document. Repeated items and
     documents each count for themselves; an item whose id is null has the id ''. With no items nothing is hit.
-    Names in ``carry`` may be any of the columns of ``documents``; the others are not read.
+    Names in ``carry`` may be any of the columns of ``documents``; the others are not read. The three new columns come
+    last, with underscores behind their names if ``carry`` has those.
     """
     spark = documents.sparkSession
     at = len(carry)
@@ -198,7 +199,9 @@ def scan(documents: DataFrame, items: DataFrame, text_col: str = "text", item_id
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at + 1], *new], names=batch.schema.names)
 
         df = df.mapInArrow(run, out)
-    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_words", F.arrays_zip(F.col("firsts").alias("first"), F.col("ends").alias("end")).alias("spans"), "items")
+    own = documents.select(*carry)
+    made = {"n_words": F.col("n_words"), "spans": F.arrays_zip(F.col("firsts").alias("first"), F.col("ends").alias("end")), "items": F.col("items")}
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *[c.alias(free_name(own, name)) for name, c in made.items()])
 
 
 def _automata(spark, items, item_id, item_text, window):
@@ -229,17 +232,18 @@ def clean(documents: DataFrame, items: DataFrame, text_col: str = "text", window
     """The documents that are not contaminated, with their columns. With ``max_span``, spans of more words than that
     are also cut out of the texts that stay (without it such texts stay as they are)."""
     found = scan(documents, items, text_col=text_col, window=window, carry=tuple(documents.columns), **options)
-    kept = found.filter(~verdict(n_hit(), F.col("n_words"), one_in))
+    n_words, spans = found.columns[-3:-1]
+    kept = found.filter(~verdict(n_hit(spans), F.col(n_words), one_in))
     if max_span is None:
         return kept.select(*documents.columns)
 
     @F.pandas_udf("string")
-    def cut(texts, spans):
+    def cut(texts, found_spans):
         import pandas as pd
 
-        return pd.Series([_cut(t, [(s["first"], s["end"]) for s in sp if s["end"] - s["first"] > max_span]) for t, sp in zip(texts, spans)])
+        return pd.Series([_cut(t, [(s["first"], s["end"]) for s in sp if s["end"] - s["first"] > max_span]) for t, sp in zip(texts, found_spans)])
 
-    return kept.withColumn(text_col, F.when(F.size("spans") > 0, cut(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col))).select(*documents.columns)
+    return kept.withColumn(text_col, F.when(F.size(spans) > 0, cut(F.col(text_col), F.col(spans))).otherwise(F.col(text_col))).select(*documents.columns)
 
 
 def _cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenor.llm.common import free_name
+
 UNKNOWN = "und"
 #: Characters a word is read in at once; the sums of a longer one are carried from part to part.
 WORD_PART = 24
@@ -199,7 +201,7 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], vocabula
 
     A null text, one without any letter, and any text of a model without languages get ``und`` and 0. Rows are judged
     one by one, so repeated rows get equal results; an empty table gives no rows. ``remember``: words whose scores a
-    worker keeps.
+    worker keeps. The two new columns come last, with underscores behind their names if ``carry`` has those.
     """
     langs, table = model
     spark = documents.sparkSession
@@ -225,7 +227,15 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], vocabula
 
     own = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("body"))
     done = own.mapInArrow(run, ", ".join([*held, "lang_pred string", "score double"]))
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score")
+    own = documents.select(*carry)
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *[F.col(c).alias(free_name(own, c)) for c in ("lang_pred", "score")])
+
+
+def keep_known(documents: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_path: str, least: float = 0.5, **options) -> DataFrame:
+    """The documents whose language the model knows with a posterior of at least ``least``, with their columns."""
+    found = identify(documents, model, vocabulary_path, carry=tuple(documents.columns), **options)
+    pred, score = found.columns[-2:]
+    return found.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*documents.columns)
 
 
 def fold(id_col: str, folds: int) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenor.llm.common import stage
+from tenor.llm.common import free_name, stage
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -122,5 +122,6 @@ def repeat_documents(documents: DataFrame, **options) -> DataFrame:
     c = chosen.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).dropDuplicates(["__id", "__source", "__size"])
     size = F.coalesce(F.regexp_count(documents[text_col], F.lit(WORD)), F.lit(0)).cast("long")
     joined = documents.join(c, documents[id_col].eqNullSafe(F.col("__id")) & documents[options.get("source_col", "source")].eqNullSafe(F.col("__source")) & (size == F.col("__size")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[documents[c] for c in documents.columns])
+    copy = free_name(documents, "copy")
+    return joined.select(*[documents[x] for x in documents.columns], F.explode(F.sequence(F.lit(1), c["__copies"].cast("int"))).alias(copy)).drop(copy)
 
