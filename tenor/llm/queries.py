@@ -39,8 +39,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: Runs of one or two lines count as copies from so many words on.
+SHORT_RUN_WORDS = 50
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linedup.drop_repeated_lines(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
+    done = linedup.drop_repeated_lines(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"), short_run_words=SHORT_RUN_WORDS)
     return done.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -128,14 +132,15 @@ QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_toxi
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-_LINE_SQL = f"""
+_LINE_SQL = rf"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x, i: {{'s': trim(x), 'i': i - 1}}), lambda x: x.s <> '') AS ls FROM d),
-r AS (SELECT doc_id, text, ls, unnest(range(0, len(ls) - 2)) AS s FROM l),
-k AS (SELECT doc_id, text, s, ls[s + 1].s || chr(10) || ls[s + 2].s || chr(10) || ls[s + 3].s AS run, [ls[s + 1].i, ls[s + 2].i, ls[s + 3].i] AS lines FROM r),
-f AS (SELECT run, min({{'n': doc_id IS NULL, 'd': doc_id, 't': text, 's': s}}) AS f FROM k GROUP BY run HAVING count(*) > 1),
-g AS (SELECT DISTINCT k.doc_id, k.text, unnest(k.lines) AS line FROM k JOIN f USING (run)
-      WHERE NOT (k.doc_id IS NOT DISTINCT FROM f.f.d AND k.text = f.f.t AND k.s < f.f.s + 3)),
+r AS (SELECT doc_id, text, ls, n, unnest(range(0, len(ls) - n + 1)) AS s FROM l, (VALUES (1), (2), (3)) t(n) WHERE len(ls) >= n),
+k0 AS (SELECT doc_id, text, n, s, len(ls) = n AS whole, array_to_string(list_transform(ls[s + 1:s + n], lambda x: x.s), chr(10)) AS run, list_transform(ls[s + 1:s + n], lambda x: x.i) AS lines FROM r),
+k AS (SELECT * FROM k0 WHERE n = 3 OR whole OR len(regexp_extract_all(run, '[^\x20\x09-\x0D]+')) >= {SHORT_RUN_WORDS}),
+f AS (SELECT n, run, min({{'n': doc_id IS NULL, 'd': doc_id, 't': text, 's': s}}) AS f FROM k GROUP BY n, run HAVING count(*) > 1),
+g AS (SELECT DISTINCT k.doc_id, k.text, unnest(k.lines) AS line FROM k JOIN f USING (n, run)
+      WHERE NOT (k.doc_id IS NOT DISTINCT FROM f.f.d AND k.text = f.f.t AND k.s < f.f.s + k.n)),
 a AS (SELECT doc_id, text, list(line) AS gone FROM g GROUP BY ALL)
 SELECT documents.doc_id, CAST(coalesce(len(string_split(documents.text, chr(10))), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_removed,
   sha256(coalesce(CASE WHEN gone IS NULL THEN documents.text ELSE array_to_string(list_transform(list_filter(list_transform(string_split(documents.text, chr(10)), lambda x, i: {{'x': x, 'i': i - 1}}), lambda x: NOT list_contains(gone, x.i)), lambda x: x.x), chr(10)) END, '')) AS kept_sha256

@@ -58,6 +58,24 @@ def test_short_runs(spark, documents):
     assert rows(linedup.drop_repeated_lines(documents, short_run_words=50), "doc_id", "text") == plain_short(real, 50) != plain(real)
 
 
+def test_query_takes_short_runs(spark, documents):
+    """The registered query leaves no later copy of a whole text and none of a line of 50 words."""
+    import hashlib
+
+    from conftest import SF
+
+    from tenor.llm import queries
+
+    real = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    kept = plain_short(real, 50)
+    got = {r["doc_id"]: r["kept_sha256"] for r in queries.op2_line_dedup(spark, SF).collect()}
+    assert got == {d: hashlib.sha256((x or "").encode()).hexdigest() for d, x in kept}
+    long = [s.strip(" ") for _, x in kept for s in (x or "").split("\n") if len(s.split()) >= 50]
+    assert len(long) == len(set(long)) and long
+    whole = [x for _, x in kept if x and x.strip()]
+    assert len(whole) == len(set(whole))
+
+
 def test_later_place_of_a_gram(spark):
     """A run is met by its copy, though its first two lines stand earlier in another context."""
     docs = [(1, "a\nb\nx"), (2, "a\nb\nc"), (3, "0\na\nb\nc"), (4, "a\nb\ny")]
