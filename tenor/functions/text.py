@@ -105,6 +105,12 @@ def occurrences(text_lower, term: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / F.lit(len(term))).cast("bigint")
 
 
+def occurrences_of(text_lower, term: Column) -> Column:
+    """Like :func:`occurrences`, with the term in a column."""
+    c = F.coalesce(col(text_lower), F.lit(""))
+    return ((F.length(c) - F.length(F.replace(c, term, F.lit("")))) / F.length(term)).cast("bigint")
+
+
 def is_music_video(title, description, channel,
                    keywords=MUSIC_KEYWORDS, channel_markers=MUSIC_CHANNEL_MARKERS) -> Column:
     """A keyword in the lowercased title or description, or a marker in the channel."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tenor.functions.numeric import round6, sentiment_label
 from tenor.functions.text import (DISTRUST_TERMS, HANDLE, NON_SPACE, SPACE, TRUST_TERMS, URL,
                                   clean_text, with_title_prefix)
+from tenor.operators import keywords as kw
 from tenor.operators import lexicon as lx
 from tenor.operators import text as tx
 from tenor.plans import sqlgen as sg
@@ -101,6 +102,33 @@ FLAGS_SQL = (f"{sg.contains_any_sql('text_lower', DISTRUST_TERMS)} AS is_distrus
              f"{sg.contains_any_sql('text_lower', TRUST_TERMS)} AS is_trust")
 
 
+# Keyword lists as data: a word and a pair of words of every benchmark item.
+KEYWORD_SQL = """WITH kw AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+terms AS (SELECT DISTINCT * FROM (SELECT 'word' AS list, w[5] AS term FROM kw UNION ALL SELECT 'pair' AS list, w[2] || ' ' || w[3] AS term FROM kw) WHERE length(term) > 0),
+low AS (SELECT doc_id, lower(COALESCE(text, '')) AS t FROM documents),
+hits AS (SELECT doc_id, list, term, CAST((length(t) - length(replace(t, term, ''))) / length(term) AS BIGINT) AS n FROM low, terms WHERE contains(t, term))"""
+
+
+def _keywords(spark, sf_dir):
+    w = F.split(F.lower("text"), " ")
+    pick = F.array(F.struct(F.lit("word").alias("list"), F.get(w, 4).alias("term")), F.struct(F.lit("pair").alias("list"), F.concat(F.get(w, 1), F.lit(" "), F.get(w, 2)).alias("term")))
+    terms = V.table(spark, sf_dir, "benchmark").select(F.inline(pick)).filter(F.length("term") > 0)
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t")), terms
+
+
+@register("keyword_counts", KEYWORD_SQL + """ SELECT list, term, CAST(COALESCE(sum(n), 0) AS BIGINT) AS "count", count(n) AS n_texts
+  FROM terms LEFT JOIN hits USING (list, term) GROUP BY list, term""")
+def q_keyword_counts(spark, sf_dir):
+    """A2 with lists as a table: one pass, whatever their length."""
+    return kw.keyword_counts(*_keywords(spark, sf_dir), text="t")
+
+
+@register("keyword_lists", KEYWORD_SQL + " SELECT doc_id, list, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_hits FROM hits GROUP BY doc_id, list")
+def q_keyword_lists(spark, sf_dir):
+    """P11 with lists as a table."""
+    return kw.keyword_lists(*_keywords(spark, sf_dir), key="doc_id", text="t")
+
+
 @register("trust_flags", V.with_views("comments")
           + f", low AS (SELECT comment_id, COALESCE(lower(text), '') AS text_lower FROM comments)"
           + f" SELECT comment_id, {FLAGS_SQL} FROM low")
