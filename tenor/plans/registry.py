@@ -564,6 +564,23 @@ def q_public_view(spark, sf_dir):
     return pb.public_view(_with_year(spark, sf_dir, V.hybrid(spark, sf_dir)))
 
 
+SMALL_CELL = 30
+
+
+def _suppressed_sql() -> str:
+    """Counts that are small, or leave few others, become null."""
+    few = lambda c: f"({c} > 0 AND {c} < {SMALL_CELL}) OR (n_comments - {c} > 0 AND n_comments - {c} < {SMALL_CELL})"
+    return (HY_YEAR + ", cells AS (SELECT year, count(*) AS n_comments, " + ", ".join(f"CAST(sum({c}_ft_pred) AS BIGINT) AS n_{c}" for c in LABELS) + " FROM hy GROUP BY year)"
+            " SELECT year, n_comments, " + ", ".join(f"CASE WHEN NOT ({few(f'n_{c}')}) THEN n_{c} END AS n_{c}" for c in LABELS) + f" FROM cells WHERE n_comments >= {SMALL_CELL}")
+
+
+@register("public_view_suppressed", _suppressed_sql())
+def q_public_view_suppressed(spark, sf_dir):
+    """The public counts without cells of few comments."""
+    view = pb.public_view(_with_year(spark, sf_dir, V.hybrid(spark, sf_dir)))
+    return pb.suppress_small_cells(view, "n_comments", [f"n_{c}" for c in LABELS], SMALL_CELL)
+
+
 def _windows_input(spark, sf_dir):
     c = V.comments(spark, sf_dir)
     v = V.videos(spark, sf_dir).select("video_id", F.col("title").alias("video_title"))

@@ -78,3 +78,48 @@ def test_publication_is_aggregate_only(spark):
     with pytest.raises(pb.PublicationError):
         pb.assert_public(df)
     assert df.select(F.lit(1)).count() == 3
+
+
+def _comments(spark):
+    return spark.createDataFrame([("c1", "v1", 2011, "hello", 1), ("c2", "v1", 2011, "more", 0), ("c3", "v2", 2012, "text", 1)],
+                                 "comment_id string, video_id string, year int, text string, irony_ft_pred int")
+
+
+REFUSED = {
+    "renamed": lambda d: d.select("year", F.col("comment_id").alias("n")),
+    "derived": lambda d: d.groupBy("year", F.md5("comment_id").alias("h")).count(),
+    "twice": lambda d: d.select("year", F.concat("video_id", F.lit("-")).alias("a")).select("year", F.upper("a").alias("b")),
+    "minimum": lambda d: d.groupBy("year").agg(F.min("text").alias("m")),
+    "collected": lambda d: d.groupBy("year").agg(F.collect_list("comment_id").alias("n")),
+    "first by": lambda d: d.groupBy("year").agg(F.max_by("comment_id", "irony_ft_pred").alias("n")),
+    "joined": lambda d: d.groupBy("year").count().join(d.select("year", F.col("video_id").alias("v")), "year"),
+    "union": lambda d: d.select("year", F.lit("x").alias("k")).unionByName(d.select("year", F.col("text").alias("k"))),
+    "window": lambda d: d.selectExpr("year", "first(text) OVER (PARTITION BY year ORDER BY irony_ft_pred) AS w"),
+    "exploded": lambda d: d.select("year", F.explode(F.split("text", "l")).alias("part")),
+    "subquery": lambda d: d.sparkSession.sql("SELECT year, (SELECT max(text) FROM {d}) AS s FROM {d}", d=d),
+    "struct": lambda d: d.select("year", F.struct("comment_id", "year").alias("s")).select("year", F.col("s.comment_id").alias("i")),
+    "python": lambda d: d.mapInPandas(lambda it: it, d.schema).select("year", F.col("irony_ft_pred").alias("n")),
+}
+
+
+@pytest.mark.parametrize("how", list(REFUSED))
+def test_sensitive_columns_are_refused_by_lineage(spark, how):
+    with pytest.raises(pb.PublicationError, match="show"):
+        pb.assert_public(REFUSED[how](_comments(spark)))
+
+
+def test_aggregates_of_sensitive_columns_are_public(spark):
+    d = _comments(spark)
+    ok = d.groupBy("year").agg(F.count("comment_id").alias("n"), F.countDistinct("video_id").alias("videos"), F.avg(F.length("text")).alias("mean_length"), F.count_if(F.col("text").contains("o")).alias("with_o"),
+                               F.expr("count(*) FILTER (WHERE text LIKE '%e%')").alias("with_e"))
+    assert pb.assert_public(ok) is ok
+    staged = d.select("year", "irony_ft_pred").withColumn("n", F.lit(1)).groupBy("year").agg(F.sum("n").alias("n"))
+    assert pb.assert_public(staged.unionByName(staged)).count() == 4
+    from tenor.operators.lineage import sources
+    assert {s.column for s in sources(ok)["mean_length"]} == {"text"} and all(s.aggregated for s in sources(ok)["mean_length"])
+
+
+def test_small_cells(spark):
+    d = spark.createDataFrame([(2010, 100, 5, 0, 97), (2011, 9, 9, 0, 1), (2012, 10, 10, 0, 9), (2013, 50, 10, 40, 41)], "year int, n long, a long, b long, c long")
+    got = {r.year: (r.a, r.b, r.c) for r in pb.suppress_small_cells(d, "n", ["a", "b", "c"], least=10).collect()}
+    assert got == {2010: (None, 0, None), 2012: (10, 0, None), 2013: (10, 40, None)}
