@@ -82,7 +82,7 @@ def inverse_frequencies(windows: DataFrame, num_features: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labels=LABELS,
-        max_iter: int = 25, reg_param: float = 1e-5, irony_extra: float = IRONY_SENT_EXTRA,
+        max_iter: int = 15, reg_param: float = 1e-5, irony_extra: float = IRONY_SENT_EXTRA,
         config: dict | None = None, num_features: int = jt.NUM_FEATURES, rank: int = jt.RANK, seed: int = 42) -> MultiTaskModel:
     """M4 on rows already restricted to the training split: both heads over one shared layer, minimising A11."""
     config = {"preset": preset, "max_length": MAX_LENGTH, "stride_frac": STRIDE_FRAC, "slide": True,

@@ -25,7 +25,7 @@ def dense(rows, idf):
         for t in r[0]:
             x[i, t] += idf[t]
     norm = np.sqrt((x * x).sum(1, keepdims=True))
-    return x / np.where(norm > 0, norm, 1), *(np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+    return jt.LENGTH * x / np.where(norm > 0, norm, 1), *(np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
 
 
 def plain_loss(theta, data, ridge):
