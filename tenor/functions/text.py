@@ -106,9 +106,9 @@ def occurrences(text_lower, term: str) -> Column:
 
 
 def occurrences_of(text_lower, term: Column) -> Column:
-    """Like :func:`occurrences`, with the term in a column."""
+    """Like :func:`occurrences`, with the term in a column: sizes in bytes, which are known without a look at the text."""
     c = F.coalesce(col(text_lower), F.lit(""))
-    return ((F.length(c) - F.length(F.replace(c, term, F.lit("")))) / F.length(term)).cast("bigint")
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, term, F.lit("")))) / F.octet_length(term)).cast("bigint")
 
 
 def is_music_video(title, description, channel,

@@ -55,3 +55,21 @@ def test_text_is_not_shuffled(spark):
     t, names = spark.createDataFrame(TEXTS, "comment_id string, text_lower string"), spark.createDataFrame(TERMS, "list string, term string")
     plan = kw.found_terms(t, kw.term_anchors(names, t, "text_lower"), "text_lower", ["comment_id"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_windows_are_looked_up_once(spark):
+    """The lookup stands once in the plan: neither repeated by a filter of its own, nor done by a pattern per offset."""
+    t, names = spark.createDataFrame(TEXTS, "comment_id string, text_lower string"), spark.createDataFrame(TERMS, "list string, term string")
+    plan = kw.found_terms(t, kw.term_anchors(names, t, "text_lower"), "text_lower", ["comment_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 17])
+def test_windows_of_many_sizes(spark, monkeypatch, at_once):
+    """Terms up to, at and beyond the bytes of a key, some that overlap themselves, in letters of one to four bytes."""
+    monkeypatch.setattr(kw, "AT_ONCE", at_once)
+    rnd = random.Random(3)
+    word = lambda most: "".join(rnd.choice("aab é漢\U0001F600") for _ in range(rnd.randrange(1, most)))
+    terms = [("x", "a" * n) for n in range(1, 10)] + [("y", "abaaba"), ("y", "abaabaa"), ("y", "漢漢"), ("y", "漢\U0001F600"), ("y", "\U0001F600" * 2)] + [("z", word(12)) for _ in range(60)]
+    texts = [(str(i), word(90)) for i in range(30)] + [("s", "a" * 200), ("t", "abaabaaba" * 9), ("u", "漢" * 31), ("v", None), ("w", ""), ("w", "é")]
+    assert run(spark, texts, terms) == plain(texts, terms)
