@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,29 +51,43 @@ class Shape:
         return np.concatenate([(w / LENGTH).ravel(), c, v.ravel(), b])
 
 
-def sparse_rows(terms: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, values, ends) of hashed terms: counts times IDF, each row of length ``LENGTH`` (empty rows stay empty)."""
-    sizes = np.array([len(t) for t in terms], np.int64)
-    flat = np.concatenate([np.asarray(t, np.int64) for t in terms]) if sizes.sum() else np.zeros(0, np.int64)
-    both, counts = np.unique(np.repeat(np.arange(len(terms)), sizes) * len(idf) + flat, return_counts=True)
+def pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold some AT_ONCE numbers, one row at least."""
+    ends, a, done = np.cumsum(sizes), 0, 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
+        yield a, b
+        a, done = b, ends[b - 1]
+
+
+def sparse_flat(flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, values, ends) of rows of hashed terms that stand one after the other: counts times IDF, each row of length
+    ``LENGTH`` (empty rows stay empty)."""
+    both, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(idf) + flat, return_counts=True)
     row, feature = both // len(idf), both % len(idf)
     value = counts * idf[feature]
-    norm = np.sqrt(np.bincount(row, weights=value * value, minlength=len(terms)))
-    return feature, value * (LENGTH / np.where(norm[row] > 0, norm[row], 1.0)), np.cumsum(np.bincount(row, minlength=len(terms)))
+    norm = np.sqrt(np.bincount(row, weights=value * value, minlength=len(sizes)))
+    return feature, value * (LENGTH / np.where(norm[row] > 0, norm[row], 1.0)), np.cumsum(np.bincount(row, minlength=len(sizes)))
+
+
+def sparse_rows(terms: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`sparse_flat` of a list of rows."""
+    sizes = np.array([len(t) for t in terms], np.int64)
+    return sparse_flat(np.concatenate([np.asarray(t, np.int64) for t in terms]) if sizes.sum() else np.zeros(0, np.int64), sizes, idf)
 
 
 def hidden(feature: np.ndarray, value: np.ndarray, ends: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """tanh(x W + c) of sparse rows."""
-    starts = np.concatenate([[0], ends[:-1]])
-    out = np.zeros((len(ends), w.shape[1]))
-    full = np.nonzero(ends > starts)[0]
-    a = 0
-    while a < len(full):   # as many rows as hold some AT_ONCE features
-        b = max(a + 1, int(np.searchsorted(ends[full], starts[full[a]] + AT_ONCE, side="right")))
-        lo, hi = starts[full[a]], ends[full[b - 1]]
-        out[full[a:b]] = np.add.reduceat(w[feature[lo:hi]] * value[lo:hi, None], starts[full[a:b]] - lo, axis=0)
-        a = b
-    return np.tanh(out + c)
+    """tanh(x W + c) of sparse rows: column by column of the layer, so that what is summed is read in its order."""
+    sizes = np.diff(ends, prepend=0)
+    out, columns = np.zeros((w.shape[1], len(ends))), np.ascontiguousarray(w.T)
+    for a, b in pieces(sizes):
+        lo, hi = ends[a] - sizes[a], ends[b - 1]
+        full = a + np.flatnonzero(sizes[a:b])
+        if len(full):
+            own, v, starts = feature[lo:hi].astype(np.intp), value[lo:hi], ends[full] - sizes[full] - lo
+            for j, column in enumerate(columns):
+                out[j, full] = np.add.reduceat(column.take(own) * v, starts)
+    return np.tanh(out.T + c)
 
 
 def probabilities(logits: np.ndarray, labels: int) -> np.ndarray:
@@ -100,38 +113,59 @@ def row_sums(theta: np.ndarray, shape: Shape, rows: tuple, y: np.ndarray, sent:
     heavier = weight * (1 + extra * irony)
     d = np.hstack([lambda_multi * weight[:, None] * (p[:, :shape.labels] - y) / shape.labels, lambda_sent * heavier[:, None] * (p[:, shape.labels:] - np.eye(SENTIMENTS)[sent])])
     back = (d @ v.T) * (1 - h * h)
-    row = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-    gw, order = np.zeros_like(w), np.argsort(feature, kind="stable")
-    for a in range(0, len(order), AT_ONCE):   # sums over equal features, which stand together
-        some = order[a:a + AT_ONCE]
-        own = feature[some]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        gw[own[first]] += np.add.reduceat(back[row[some]] * value[some, None], first, axis=0)
-    return np.concatenate([gw.ravel(), back.sum(0), (h.T @ d).ravel(), d.sum(0)]), np.array([(weight * bce).sum(), (heavier * ce).sum(), weight.sum()])
+    gw, columns, sizes = np.zeros((shape.rank, shape.features)), np.ascontiguousarray(back.T), np.diff(ends, prepend=0)
+    for a, b in pieces(sizes):   # sums over equal features
+        lo, hi = ends[a] - sizes[a], ends[b - 1]
+        own, v, row = feature[lo:hi].astype(np.intp), value[lo:hi], np.repeat(np.arange(a, b), sizes[a:b])
+        for j, column in enumerate(columns):
+            gw[j] += np.bincount(own, weights=column.take(row) * v, minlength=shape.features)
+    return np.concatenate([gw.T.ravel(), back.sum(0), (h.T @ d).ravel(), d.sum(0)]), np.array([(weight * bce).sum(), (heavier * ce).sum(), weight.sum()])
 
 
-#: Windows as they are hashed, and as they are trained on.
+#: Windows as they are hashed, and as they are trained on: features and values as the bytes of int32 and double.
 TERMS = "terms array<int>, y array<double>, sent int, irony double, weight double"
-TRAIN = "feature array<int>, value array<double>, y array<double>, sent int, irony double, weight double"
+TRAIN = "feature binary, value binary, y array<double>, sent int, irony double, weight double"
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of lists of numbers -> (the numbers one after the other, how many each row has)."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), sizes
+
+
+def _bytes(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Numbers of rows that stand one after the other -> a binary per row."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * np.int32(numbers.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _numbers(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """A column of binaries -> (their numbers one after the other, where each row ends)."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    return data.view(dtype), (offsets[1:] - offsets[0]) // np.dtype(dtype).itemsize
 
 
 def vectorised(windows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``TERMS`` -> ``TRAIN``: every window as a sparse vector, once for all rounds."""
+    """``TERMS`` -> ``TRAIN``: every window as a sparse vector, once for all rounds. A task holds the numbers of some AT_ONCE
+    terms at once, whatever its batches are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = dict(zip(batch.schema.names, batch.columns))
-            feature, value, ends = sparse_rows([np.asarray(t, np.int64) for t in col["terms"].to_pylist()], idf)
-            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-            made = {"feature": pa.ListArray.from_arrays(offsets, pa.array(feature, pa.int32())), "value": pa.ListArray.from_arrays(offsets, pa.array(value))}
-            yield pa.RecordBatch.from_arrays([*made.values(), *[col[c] for c in ("y", "sent", "irony", "weight")]], names=[*made, "y", "sent", "irony", "weight"])
+            flat, sizes = _lists(batch.column(batch.schema.get_field_index("terms")))
+            ends = np.cumsum(sizes)
+            for a, b in pieces(sizes):
+                feature, value, to = sparse_flat(flat[ends[a] - sizes[a]:ends[b - 1]].astype(np.int64), sizes[a:b], idf)
+                rest = batch.select(["y", "sent", "irony", "weight"]).slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([_bytes(feature.astype(np.int32), to), _bytes(value, to), *rest.columns], names=["feature", "value", *rest.schema.names])
     return windows.mapInArrow(run, TRAIN)
 
 
 def _read(batch: pa.RecordBatch) -> tuple:
     col = dict(zip(batch.schema.names, batch.columns))
-    flat = lambda c: col[c].flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(col["feature"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    return (flat("feature"), flat("value"), ends), flat("y").reshape(batch.num_rows, -1), *(col[c].to_numpy(zero_copy_only=False) for c in ("sent", "irony", "weight"))
+    feature, ends = _numbers(col["feature"], np.int32)
+    y = _lists(col["y"])[0].reshape(batch.num_rows, -1)
+    return (feature, _numbers(col["value"], np.float64)[0], ends), y, *(col[c].to_numpy(zero_copy_only=False) for c in ("sent", "irony", "weight"))
 
 
 def evaluate(train: DataFrame, theta: np.ndarray, shape: Shape, ridge: float, extra: float = IRONY_SENT_EXTRA, lambda_multi: float = LAMBDA_MULTI,
@@ -199,8 +233,14 @@ def minimise(loss, theta: np.ndarray, max_iter: int, tolerance: float = 1e-4) ->
 
 def scores(theta: np.ndarray, shape: Shape, idf: np.ndarray):
     """A column function: hashed terms of a window -> probabilities of the labels and the three sentiments."""
-    def of(terms: pd.Series) -> pd.Series:
+    def of(terms: pa.Array) -> pa.Array:
         w, c, v, b = shape.split(theta)
-        h = hidden(*sparse_rows(terms.tolist(), idf), w, c)
-        return pd.Series(list(probabilities(h @ v + b, shape.labels)))
-    return F.pandas_udf(of, "array<double>")
+        flat, sizes = _lists(terms)
+        ends = np.cumsum(sizes)
+        parts = [np.zeros((0, shape.labels + SENTIMENTS))]
+        for lo, hi in pieces(sizes):
+            h = hidden(*sparse_flat(flat[ends[lo] - sizes[lo]:ends[hi - 1]].astype(np.int64), sizes[lo:hi], idf), w, c)
+            parts.append(probabilities(h @ v + b, shape.labels))
+        p = np.concatenate(parts)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+    return F.arrow_udf(of, "array<double>")

@@ -134,3 +134,25 @@ def test_predictions_equal_the_plain_model_and_survive_saving(spark, tmp):
         assert [r[f"{x}_ft_pred"] for x in LABELS] == [int(p >= t) for p, t in zip(want, model.thresholds)]
     assert {r.split for r in scored.select("split").distinct().collect()} == {"val", "test"} and tuned.count() == len(LABELS)
     assert clf.at_thresholds(scored, LABELS, [0.0] * len(LABELS)).filter(F.col("irony_ft_pred") != 1).count() == 0
+
+
+def test_rows_are_worked_on_in_bounded_pieces(monkeypatch):
+    """Whatever a batch holds, some AT_ONCE numbers are worked on at once: sums and vectors are those of the whole."""
+    rows, idf = table(6), np.linspace(0.5, 1, 40)
+    sizes = np.array([len(r[0]) for r in rows])
+    flat = np.concatenate([np.array(r[0], np.int64) for r in rows])
+    whole, theta = jt.sparse_flat(flat, sizes, idf), SHAPE.start(2)
+    rest = [np.array([r[k] for r in rows]) for k in (1, 2, 4, 3)]
+    want = jt.row_sums(theta, SHAPE, whole, *rest, 0.5, 1.0, 1.0)
+    monkeypatch.setattr(jt, "AT_ONCE", 9)
+    parts, seen = [*jt.pieces(sizes)], []
+    assert [a for a, _ in parts[1:]] == [b for _, b in parts[:-1]] and (parts[0][0], parts[-1][1]) == (0, len(rows)) and len(parts) > 10
+    assert all(sizes[a:b].sum() <= 9 or b == a + 1 for a, b in parts) and [*jt.pieces(np.zeros(0, int))] == []
+    for a, b in parts:
+        feature, value, ends = jt.sparse_flat(flat[sizes[:a].sum():sizes[:b].sum()], sizes[a:b], idf)
+        back, to = jt._numbers(jt._bytes(value, ends).slice(1), np.float64)   # as binaries and back, from within a column
+        assert np.array_equal(back, value[ends[0]:]) and np.array_equal(to, ends[1:] - ends[0])
+        seen.append((feature, value))
+    assert all(np.array_equal(np.concatenate([x[k] for x in seen]), whole[k]) for k in (0, 1))
+    got = jt.row_sums(theta, SHAPE, whole, *rest, 0.5, 1.0, 1.0)
+    assert np.allclose(got[0], want[0], atol=1e-12) and np.allclose(got[1], want[1], atol=1e-12)
