@@ -67,17 +67,17 @@ def is_blank(text) -> Column:
     return ~F.coalesce(col(text).rlike(NON_SPACE), F.lit(False))
 
 
-def clean_text(text) -> Column:
+def clean_text(text, collapse: bool = True) -> Column:
     """Lowercase; URLs and @handles -> space; whitespace runs -> one space; strip.
 
-    Null text becomes '' (decision D8, instead of the string 'nan').
-    """
+    Null text becomes '' (decision D8, instead of the string 'nan'). Without ``collapse`` the whitespace stays as it
+    is, for who takes the words next and so drops it anyway."""
     t = F.lower(F.coalesce(col(text), F.lit("")))
-    t = F.regexp_replace(t, URL, " ")
-    t = F.regexp_replace(t, HANDLE, " ")
-    t = F.regexp_replace(t, f"{SPACE}+", " ")
+    # A search for letters that every match has costs far less than a trial of the pattern at every letter.
+    t = F.when(t.contains("://") | t.contains("www."), F.regexp_replace(t, URL, " ")).otherwise(t)
+    t = F.when(t.contains("@"), F.regexp_replace(t, HANDLE, " ")).otherwise(t)
     # After the collapse the only whitespace left at either end is one ' '.
-    return F.trim(t)
+    return F.trim(F.regexp_replace(t, f"{SPACE}+", " ")) if collapse else t
 
 
 def with_title_prefix(text, title) -> Column:
@@ -87,9 +87,9 @@ def with_title_prefix(text, title) -> Column:
                   ).otherwise(col(text))
 
 
-def preprocess(text, title, use_title_prefix: bool = True, clean_like_old: bool = True) -> Column:
+def preprocess(text, title, use_title_prefix: bool = True, clean_like_old: bool = True, collapse: bool = True) -> Column:
     """P7 then P8, each switched by its flag."""
-    t = clean_text(text) if clean_like_old else F.coalesce(col(text), F.lit(""))
+    t = clean_text(text, collapse) if clean_like_old else F.coalesce(col(text), F.lit(""))
     return with_title_prefix(t, title) if use_title_prefix else t
 
 

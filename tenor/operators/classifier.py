@@ -60,12 +60,12 @@ def hashed_terms(tokens: str | Column, preset: str, num_features: int) -> Column
     return F.concat(words, pairs)
 
 
-def _windows(df: DataFrame, key: str, keep, config: dict) -> DataFrame:
+def _windows(df: DataFrame, key: str, keep, config: dict, scorer=None) -> DataFrame:
     d = add_text_proc(df, "text", "video_title", config.get("use_title_prefix", True),
-                      config.get("clean_like_old", True))
-    w = token_windows(d, key, "text_proc", config.get("max_length", MAX_LENGTH),
-                      config.get("stride_frac", STRIDE_FRAC), config.get("slide", True), keep=keep)
-    return w.withColumn("terms", hashed_terms("tokens", config["preset"], config["num_features"])).drop("tokens")
+                      config.get("clean_like_old", True), collapse=False)
+    return token_windows(d, key, "text_proc", config.get("max_length", MAX_LENGTH),
+                         config.get("stride_frac", STRIDE_FRAC), config.get("slide", True), keep=keep,
+                         hashed=(config["num_features"], PRESETS[config["preset"]]["bigrams"]), scorer=scorer)
 
 
 def df_parallelism(df: DataFrame) -> int:
@@ -93,7 +93,7 @@ def fit(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labe
     written = stage(rows, "training-windows")
     idf, shape = inverse_frequencies(written, num_features), jt.Shape(num_features, rank, len(labels))
     # Every round is a job over all partitions: as many as there are cores, held where they fit.
-    train = jt.vectorised(written.repartition(df_parallelism(labelled)), idf).persist()
+    train = jt.vectorised(written, idf, df_parallelism(labelled)).persist()
     try:
         theta, history = jt.minimise(lambda t: jt.evaluate(train, t, shape, reg_param, irony_extra), shape.start(seed), max_iter)
     finally:
@@ -105,8 +105,8 @@ def fit(labelled: DataFrame, preset: str = "base", key: str = "comment_id", labe
 def window_probabilities(model: MultiTaskModel, df: DataFrame, key: str = "comment_id") -> DataFrame:
     """Per ``key``: mean window probabilities ``<label>_p`` and ``sent_*_prob``."""
     names = [*[f"{c}_p" for c in model.labels], *SENTIMENT_PROB_COLS]
-    scored = _windows(df, key, [], model.config).select(key, jt.scores(model.theta, model.shape, model.idf)("terms").alias("__p"))
-    per_window = scored.select(key, *[F.col("__p")[i].alias(n) for i, n in enumerate(names)])
+    scored = _windows(df, key, [], model.config, jt.scorer(model.theta, model.shape, model.idf))
+    per_window = scored.select(key, *[F.col("scores")[i].alias(n) for i, n in enumerate(names)])
     return window_mean(per_window, names, key).drop("n_windows")
 
 

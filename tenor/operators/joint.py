@@ -60,14 +60,20 @@ def pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         a, done = b, ends[b - 1]
 
 
-def sparse_flat(flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, values, ends) of rows of hashed terms that stand one after the other: counts times IDF, each row of length
-    ``LENGTH`` (empty rows stay empty)."""
+def counted_flat(flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, counts, ends, scales) of rows of hashed terms that stand one after the other: a row's vector is counts times
+    IDF times its scale, and has length ``LENGTH`` (empty rows stay empty)."""
     both, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(idf) + flat, return_counts=True)
     row, feature = both // len(idf), both % len(idf)
     value = counts * idf[feature]
     norm = np.sqrt(np.bincount(row, weights=value * value, minlength=len(sizes)))
-    return feature, value * (LENGTH / np.where(norm[row] > 0, norm[row], 1.0)), np.cumsum(np.bincount(row, minlength=len(sizes)))
+    return feature, counts, np.cumsum(np.bincount(row, minlength=len(sizes))), LENGTH / np.where(norm > 0, norm, 1.0)
+
+
+def sparse_flat(flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, values, ends) of :func:`counted_flat`."""
+    feature, counts, ends, scale = counted_flat(flat, sizes, idf)
+    return feature, counts * idf[feature] * np.repeat(scale, np.diff(ends, prepend=0)), ends
 
 
 def sparse_rows(terms: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,17 +83,16 @@ def sparse_rows(terms: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, n
 
 
 def hidden(feature: np.ndarray, value: np.ndarray, ends: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """tanh(x W + c) of sparse rows: column by column of the layer, so that what is summed is read in its order."""
+    """tanh(x W + c) of sparse rows: the layer's rows are gathered for some rows at once, then each is one product."""
     sizes = np.diff(ends, prepend=0)
-    out, columns = np.zeros((w.shape[1], len(ends))), np.ascontiguousarray(w.T)
+    out = np.zeros((len(ends), w.shape[1]))
     for a, b in pieces(sizes):
-        lo, hi = ends[a] - sizes[a], ends[b - 1]
-        full = a + np.flatnonzero(sizes[a:b])
-        if len(full):
-            own, v, starts = feature[lo:hi].astype(np.intp), value[lo:hi], ends[full] - sizes[full] - lo
-            for j, column in enumerate(columns):
-                out[j, full] = np.add.reduceat(column.take(own) * v, starts)
-    return np.tanh(out.T + c)
+        lo = at = ends[a] - sizes[a]
+        own, v = w.take(feature[lo:ends[b - 1]], axis=0), value[lo:ends[b - 1]]
+        for i, to in enumerate(ends[a:b].tolist(), a):
+            np.dot(v[at - lo:to - lo], own[at - lo:to - lo], out[i])
+            at = to
+    return np.tanh(out + c)
 
 
 def probabilities(logits: np.ndarray, labels: int) -> np.ndarray:
@@ -116,15 +121,15 @@ def row_sums(theta: np.ndarray, shape: Shape, rows: tuple, y: np.ndarray, sent:
     gw, columns, sizes = np.zeros((shape.rank, shape.features)), np.ascontiguousarray(back.T), np.diff(ends, prepend=0)
     for a, b in pieces(sizes):   # sums over equal features
         lo, hi = ends[a] - sizes[a], ends[b - 1]
-        own, v, row = feature[lo:hi].astype(np.intp), value[lo:hi], np.repeat(np.arange(a, b), sizes[a:b])
+        own, v, many = feature[lo:hi].astype(np.intp), value[lo:hi], sizes[a:b]
         for j, column in enumerate(columns):
-            gw[j] += np.bincount(own, weights=column.take(row) * v, minlength=shape.features)
+            gw[j] += np.bincount(own, weights=np.repeat(column[a:b], many) * v, minlength=shape.features)
     return np.concatenate([gw.T.ravel(), back.sum(0), (h.T @ d).ravel(), d.sum(0)]), np.array([(weight * bce).sum(), (heavier * ce).sum(), weight.sum()])
 
 
-#: Windows as they are hashed, and as they are trained on: features and values as the bytes of int32 and double.
+#: Windows as they are hashed, and as they are trained on: features (see :func:`_feature_type`) and their counts (uint16) as bytes.
 TERMS = "terms array<int>, y array<double>, sent int, irony double, weight double"
-TRAIN = "feature binary, value binary, y array<double>, sent int, irony double, weight double"
+TRAIN = "feature binary, counts binary, scale double, y array<double>, sent int, irony double, weight double"
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -147,35 +152,59 @@ def _numbers(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return data.view(dtype), (offsets[1:] - offsets[0]) // np.dtype(dtype).itemsize
 
 
-def vectorised(windows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``TERMS`` -> ``TRAIN``: every window as a sparse vector, once for all rounds. A task holds the numbers of some AT_ONCE
-    terms at once, whatever its batches are."""
+def _feature_type(features: int):
+    return np.uint16 if features <= 1 << 16 else np.int32
+
+
+def _small(feature: np.ndarray, counts: np.ndarray, ends: np.ndarray, most: int = 0xFFFF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of at most ``most``: a larger one stands in several parts, whose sum it is."""
+    if not len(counts) or counts.max() <= most:
+        return feature, counts, ends
+    times = -(-counts // most)
+    last = np.cumsum(times)
+    parts = np.full(last[-1], most)
+    parts[last - 1] = counts - (times - 1) * most
+    return np.repeat(feature, times), parts, np.append(0, last)[ends]
+
+
+def vectorised(windows: DataFrame, idf: np.ndarray, partitions: int = 0) -> DataFrame:
+    """``TERMS`` -> ``TRAIN``: every window as a sparse vector, once for all rounds, dealt out evenly to ``partitions`` if
+    given. A task holds the numbers of some AT_ONCE terms at once, whatever its batches are. What is kept for the rounds
+    are four bytes per feature of a window; ``idf``, by which they are the vectors, goes with the frame."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, sizes = _lists(batch.column(batch.schema.get_field_index("terms")))
             ends = np.cumsum(sizes)
             for a, b in pieces(sizes):
-                feature, value, to = sparse_flat(flat[ends[a] - sizes[a]:ends[b - 1]].astype(np.int64), sizes[a:b], idf)
+                feature, counts, to, scale = counted_flat(flat[ends[a] - sizes[a]:ends[b - 1]].astype(np.int64), sizes[a:b], idf)
+                feature, counts, to = _small(feature, counts, to)
                 rest = batch.select(["y", "sent", "irony", "weight"]).slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([_bytes(feature.astype(np.int32), to), _bytes(value, to), *rest.columns], names=["feature", "value", *rest.schema.names])
-    return windows.mapInArrow(run, TRAIN)
+                yield pa.RecordBatch.from_arrays([_bytes(feature.astype(_feature_type(len(idf))), to), _bytes(counts.astype(np.uint16), to), pa.array(scale), *rest.columns],
+                                                 names=["feature", "counts", "scale", *rest.schema.names])
+    out = windows.mapInArrow(run, TRAIN)
+    out = out.repartition(partitions) if partitions else out
+    out.idf = idf
+    return out
 
 
-def _read(batch: pa.RecordBatch) -> tuple:
+def _read(batch: pa.RecordBatch, idf: np.ndarray) -> tuple:
     col = dict(zip(batch.schema.names, batch.columns))
-    feature, ends = _numbers(col["feature"], np.int32)
+    feature, ends = _numbers(col["feature"], _feature_type(len(idf)))
+    value = _numbers(col["counts"], np.uint16)[0] * idf[feature] * np.repeat(col["scale"].to_numpy(zero_copy_only=False), np.diff(ends, prepend=0))
     y = _lists(col["y"])[0].reshape(batch.num_rows, -1)
-    return (feature, _numbers(col["value"], np.float64)[0], ends), y, *(col[c].to_numpy(zero_copy_only=False) for c in ("sent", "irony", "weight"))
+    return (feature, value, ends), y, *(col[c].to_numpy(zero_copy_only=False) for c in ("sent", "irony", "weight"))
 
 
 def evaluate(train: DataFrame, theta: np.ndarray, shape: Shape, ridge: float, extra: float = IRONY_SENT_EXTRA, lambda_multi: float = LAMBDA_MULTI,
              lambda_sent: float = LAMBDA_SENT) -> tuple[float, float, np.ndarray]:
-    """(A11 and ridge, A11, gradient) over all rows of ``train`` (columns of ``TRAIN``): one job."""
+    """(A11 and ridge, A11, gradient) over all rows of ``train`` (made by :func:`vectorised`): one job."""
+    idf = getattr(train, "idf", None)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums = np.zeros_like(theta), np.zeros(3)
         for batch in batches:
             if batch.num_rows:
-                rows, y, sent, irony, weight = _read(batch)
+                rows, y, sent, irony, weight = _read(batch, idf)
                 g, s = row_sums(theta, shape, rows, y, sent, weight, irony, extra, lambda_multi, lambda_sent)
                 total, sums = total + g, sums + s
         if sums[2]:
@@ -231,8 +260,8 @@ def minimise(loss, theta: np.ndarray, max_iter: int, tolerance: float = 1e-4) ->
     return theta, history
 
 
-def scores(theta: np.ndarray, shape: Shape, idf: np.ndarray):
-    """A column function: hashed terms of a window -> probabilities of the labels and the three sentiments."""
+def scorer(theta: np.ndarray, shape: Shape, idf: np.ndarray):
+    """A function of Arrow columns: hashed terms of windows -> probabilities of the labels and the three sentiments."""
     def of(terms: pa.Array) -> pa.Array:
         w, c, v, b = shape.split(theta)
         flat, sizes = _lists(terms)
@@ -243,4 +272,9 @@ def scores(theta: np.ndarray, shape: Shape, idf: np.ndarray):
             parts.append(probabilities(h @ v + b, shape.labels))
         p = np.concatenate(parts)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-    return F.arrow_udf(of, "array<double>")
+    return of
+
+
+def scores(theta: np.ndarray, shape: Shape, idf: np.ndarray):
+    """:func:`scorer` as a column function."""
+    return F.arrow_udf(scorer(theta, shape, idf), "array<double>")

@@ -12,12 +12,17 @@ weighting and thresholds do not.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from tenor.functions.numeric import argmax, at_threshold, class_to_sentiment, softmax
 from tenor.functions.text import words
+from tenor.operators.terms import window_terms
 from tenor.schemas import LABELS, SENTIMENT_PROB_COLS
 
 # ---------------------------------------------------------------------------
@@ -49,11 +54,16 @@ def n_windows(n_tokens, max_length: int = MAX_LENGTH, stride_frac: float = STRID
 
 def token_windows(df: DataFrame, key: str = "comment_id", text: str = "text_proc",
                   max_length: int = MAX_LENGTH, stride_frac: float = STRIDE_FRAC, slide: bool = True,
-                  keep=()) -> DataFrame:
+                  keep=(), hashed: tuple[int, bool] | None = None, scorer=None) -> DataFrame:
     """Overlapping word windows -> (key, *keep, window_no, n_windows, tokens).
 
-    An empty text still yields one (empty) window, as a tokenizer does."""
+    An empty text still yields one (empty) window, as a tokenizer does. With ``hashed``, (numbers of terms, pairs of
+    neighbours too), the windows carry ``terms``, the numbers of their words (and pairs), in place of ``tokens``: every
+    word of a text is hashed once, whatever windows it is in (:mod:`tenor.operators.terms`). With ``scorer``, a function
+    of the terms as an Arrow column, they carry ``scores``, what it makes of them, and the terms don't leave the task."""
     width, step = window_shape(max_length, stride_frac)
+    if hashed:
+        return _hashed_windows(df.select(key, *keep, F.col(text).alias("__text")), width, step, slide, *hashed, scorer)
     w = words(text)
     k = n_windows(F.size(F.col("__w")), max_length, stride_frac, slide)
     wins = F.transform(F.sequence(F.lit(0), F.col("__k") - 1),
@@ -63,6 +73,22 @@ def token_windows(df: DataFrame, key: str = "comment_id", text: str = "text_proc
               .select(key, *keep, F.col("__k").alias("n_windows"), F.posexplode(wins).alias("window_no", "tokens")))
 
 
+def _hashed_windows(df: DataFrame, width: int, step: int, slide: bool, features: int, pairs: bool, scorer) -> DataFrame:
+    """The windows of ``__text`` in Arrow batches, the other columns repeated per window."""
+    own = df.drop("__text").schema
+    made = StructField("scores", ArrayType(DoubleType())) if scorer else StructField("terms", ArrayType(IntegerType()))
+    out = StructType([*own.fields, StructField("n_windows", IntegerType()), StructField("window_no", IntegerType()), made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.select(own.names)
+            for a, b, per, text, terms in window_terms(batch.column("__text"), width, step, slide, features, pairs):
+                rows = kept.slice(a, b - a).take(pa.array(text))
+                number = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(per[text], pa.int32()), pa.array(number, pa.int32()), scorer(terms) if scorer else terms], names=out.names)
+    return df.mapInArrow(run, out)
+
+
 def window_mean(windows: DataFrame, prob_cols, key: str = "comment_id") -> DataFrame:
     """Mean of window probabilities per sample (partial + final avg)."""
     return windows.groupBy(key).agg(F.count(F.lit(1)).alias("n_windows"),

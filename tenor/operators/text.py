@@ -23,10 +23,10 @@ def exclude_music(videos: DataFrame, title: str = "title", description: str = "d
 
 def add_text_proc(df: DataFrame, text: str = "text", title: str = "video_title",
                   use_title_prefix: bool = True, clean_like_old: bool = True,
-                  out: str = "text_proc") -> DataFrame:
-    """P7 + P8: classifier input text."""
+                  out: str = "text_proc", collapse: bool = True) -> DataFrame:
+    """P7 + P8: classifier input text (without ``collapse`` for its words only, see :func:`tenor.functions.text.clean_text`)."""
     title_col = F.col(title) if title in df.columns else F.lit(None).cast("string")
-    return df.withColumn(out, preprocess(F.col(text), title_col, use_title_prefix, clean_like_old))
+    return df.withColumn(out, preprocess(F.col(text), title_col, use_title_prefix, clean_like_old, collapse))
 
 
 def fill_defaults(df: DataFrame, labels=(), text_cols=("text",), string_cols=("video_title",)) -> DataFrame:

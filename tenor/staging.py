@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tenor.session import checkpoint_dir, ensure_checkpoint_dir
 
 
+#: Bytes of a row group of a staged table.
+ROW_GROUP = 16 << 20
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under ``spark.checkpoint.dir`` and read it back. Only a
     local master without that setting (tests) gets a folder of its own."""
@@ -21,7 +25,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir (a shared folder) to stage intermediate tables")
         base = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="tenor-"))
     path = f"{base.rstrip('/')}/tenor-stage/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Row groups are what a scan can deal out: small ones give even tasks, however uneven the files are.
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.staged_at = path
     return back
